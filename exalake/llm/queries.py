@@ -23,6 +23,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exalake.llm.pii import digest_columns, personal_data
+
+    return digest_columns(personal_data(read(spark, sf_dir, "documents")))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exalake.llm.sentencepiece_bpe import round_trip_digests
+
+    return round_trip_digests(read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

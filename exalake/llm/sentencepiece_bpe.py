@@ -24,7 +24,7 @@ BLANK = "▁"
 KEPT_WORDS = 250_000
 LONG_WORD = 200
 #: Characters that one run of merge rounds takes; a longer word is a run of its own.
-ROUND_CHARS = 1 << 20
+ROUND_CHARS = 1 << 17
 NONE = np.int64(2**62)
 _UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -40,8 +40,7 @@ class PieceModel:
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))]
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.is_byte = np.zeros(n, bool)
-        self.is_byte[list(self.byte_id.values())] = True
+        self.byte_value = {i: b for b, i in self.byte_id.items()}
         self.unk, self.eos = sp.unk_id(), sp.eos_id()
         self.silent = {i for i in range(n) if sp.is_control(i)}
         of = {self.pieces[i]: i for i in plain}
@@ -61,57 +60,84 @@ class PieceModel:
                         if rank[i] <= rank[x]:
                             one_by_one[rank[x]] = True
         key = np.array(left, np.int64) * n + np.array(right, np.int64)
-        order = np.argsort(key)
-        self.key, self.out = key[order], np.array(out, np.int64)[order]
-        self.rank = np.array([rank[i] for i in out], np.int64)[order]
+        self._table(key, np.array(out, np.int64), np.array([rank[i] for i in out], np.int64))
         self.one_by_one = one_by_one
         self.char_id = {p: i for p, i in of.items() if len(p) == 1}
+        self.plain = [" \u2047 " if i == self.unk else "" if i in self.silent else p.replace(BLANK, " ") for i, p in enumerate(self.pieces)]
+
+    def _table(self, key: np.ndarray, out: np.ndarray, rank: np.ndarray) -> None:
+        """Open addressing: a pair's slot is its hash, or one of the next few."""
+        self.bits = max(4, int(np.ceil(np.log2(len(key) * 6 + 1))))
+        slots = 1 << self.bits
+        self.slot_key = np.full(slots, -1, np.int64)
+        self.slot_out, self.slot_rank = np.zeros(slots, np.int64), np.full(slots, NONE)
+        left, at, self.probes = np.arange(len(key)), self._slot(key), 0
+        while len(left):
+            free = self.slot_key[at] == -1
+            _, one = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+            won = np.zeros(len(at), bool)
+            won[one] = True
+            won &= free
+            self.slot_key[at[won]], self.slot_out[at[won]], self.slot_rank[at[won]] = key[left[won]], out[left[won]], rank[left[won]]
+            left, at = left[~won], (at[~won] + 1) & (slots - 1)
+            self.probes += 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged id of neighbours; NONE where they don't merge."""
-        if not len(self.key):
-            return np.full(len(a), NONE), np.zeros(len(a), np.int64)
-        known = (a < self.size) & (b < self.size)
-        key = np.where(known, a * self.size + b, -1)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        hit = self.key[at] == key
-        return np.where(hit, self.rank[at], NONE), self.out[at]
+        key = np.where((a < self.size) & (b < self.size), a * self.size + b, -2)
+        at = self._slot(key)
+        found = self.slot_key[at]
+        missed = np.flatnonzero((found != key) & (found != -1))
+        for _ in range(self.probes):
+            if not len(missed):
+                break
+            at[missed] = (at[missed] + 1) & ((1 << self.bits) - 1)
+            found = self.slot_key[at[missed]]
+            missed = missed[(found != key[missed]) & (found != -1)]
+        hit = self.slot_key[at] == key
+        return np.where(hit, self.slot_rank[at], NONE), self.slot_out[at]
 
     def merge(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge rounds over flat symbols; word: the (ascending) word number of each symbol."""
+        if len(sym) < 2:
+            return sym, word
         done_sym, done_word = [], []
-        while len(sym) > 1:
-            rank, out = self.pairs(sym[:-1], sym[1:])
-            rank = np.where(word[:-1] == word[1:], rank, NONE)
-            rank = np.append(rank, NONE)
+        rank, out = self.pairs(sym[:-1], sym[1:])
+        rank, out = np.append(np.where(word[:-1] == word[1:], rank, NONE), NONE), np.append(out, 0)
+        while len(sym):
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.minimum.reduceat(rank, starts)
             size = np.diff(np.append(starts, len(sym)))
             open_word = best < NONE
-            keep = np.repeat(open_word, size)
-            if not keep.all():  # finished words leave the arrays
+            if not open_word.all():  # finished words leave the arrays
+                keep = np.repeat(open_word, size)
                 done_sym.append(sym[~keep]), done_word.append(word[~keep])
-                sym, word, rank, out = sym[keep], word[keep], rank[keep], np.append(out, 0)[keep]
+                sym, word, rank, out = sym[keep], word[keep], rank[keep], out[keep]
                 best, size = best[open_word], size[open_word]
                 if not len(sym):
                     break
-            else:
-                out = np.append(out, 0)
-            which = np.repeat(np.arange(len(size)), size)
-            hit = rank == best[which]
-            at = np.flatnonzero(hit)
-            single = self.one_by_one[best][which[at]]
-            # leftmost without overlap: in a run of places on end, every second one
+            level = np.repeat(best, size)
+            at = np.flatnonzero(rank == level)
+            # leftmost without overlap: in a run of places on end every second one; or the first of the word
+            place = np.arange(len(at))
             run_start = np.append(True, at[1:] != at[:-1] + 1)
-            place = np.arange(len(at)) - np.maximum.accumulate(np.where(run_start, np.arange(len(at)), 0))
-            first = np.append(True, which[at][1:] != which[at][:-1])
-            at = at[np.where(single, first, place % 2 == 0)]
-            sym = sym.copy()
+            place -= np.maximum.accumulate(np.where(run_start, place, 0))
+            first = np.append(True, word[at[1:]] != word[at[:-1]])
+            at = at[np.where(self.one_by_one[level[at]], first, place % 2 == 0)]
             sym[at] = out[at]
             stay = np.ones(len(sym), bool)
             stay[at + 1] = False
-            sym, word = sym[stay], word[stay]
-        done_sym.append(sym), done_word.append(word)
+            sym, word, rank, out = sym[stay], word[stay], rank[stay], out[stay]
+            at -= np.arange(len(at))  # where the merged symbols are now
+            touched = np.concatenate([at, at[at > 0] - 1])
+            last = touched == len(sym) - 1
+            nxt = np.minimum(touched + 1, len(sym) - 1)
+            r, o = self.pairs(sym[touched], sym[nxt])
+            rank[touched] = np.where(last | (word[touched] != word[nxt]), NONE, r)
+            out[touched] = o
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         return sym[order], word[order]
@@ -137,13 +163,15 @@ class PieceModel:
         ids = np.array([self.char_id.get(chr(c), self.size + c) for c in distinct], np.int64)
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
         sym, word = self.merge(ids[inverse] if len(codes) else np.zeros(0, np.int64), word)
-        lists: list[list[int]] = np.split(sym, np.searchsorted(word, np.arange(1, len(words)))) if words else []
-        return [self._bytes(x) for x in lists]
+        flat, odd = sym.tolist(), set(word[sym >= self.size].tolist())
+        ends = np.searchsorted(word, np.arange(1, len(words) + 1)).tolist()
+        out, begin = [], 0
+        for w, end in enumerate(ends):
+            out.append(self._bytes(flat[begin:end]) if w in odd else flat[begin:end])
+            begin = end
+        return out
 
-    def _bytes(self, ids: np.ndarray) -> list[int]:
-        flat = ids.tolist()
-        if not len(ids) or ids.max() < self.size:
-            return flat
+    def _bytes(self, flat: list[int]) -> list[int]:
         out: list[int] = []
         for i in flat:
             if i < self.size:
@@ -156,21 +184,13 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, byte pieces as UTF-8, blank marks as blanks, the first blank dropped; control ids are silent."""
-        parts: list[bytes] = []
-        lead = True
-        for i in ids:
-            if i in self.silent:
-                continue
-            if self.is_byte[i]:
-                parts.append(bytes([int(self.pieces[i][3:5], 16)]))
-                lead = False
-                continue
-            piece = " ⁇ " if i == self.unk else self.pieces[i]
-            if lead and piece.startswith(BLANK):
-                piece = piece[1:]
-            lead = False
-            parts.append(piece.replace(BLANK, " ").encode())
-        return b"".join(parts).decode("utf-8", errors="replace")
+        plain, byte = self.plain, self.byte_value
+        if byte.keys().isdisjoint(ids):
+            text = "".join([plain[i] for i in ids])
+        else:
+            text = b"".join([bytes([byte[i]]) if i in byte else plain[i].encode() for i in ids]).decode("utf-8", errors="replace")
+        first = next((i for i in ids if i not in self.silent), self.unk)
+        return text[1:] if first != self.unk and self.pieces[first][:1] == BLANK else text
 
 
 class Codec:
@@ -180,36 +200,48 @@ class Codec:
         self.model = PieceModel(model_file)
         self.known: dict[str, tuple[int, str, str]] = {}
 
-    def units(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
+        """The text in words, each standing for a blank mark and itself; one that holds marks stands for itself alone."""
         words = safe_words(text)
-        if words is None or BLANK in text:
-            return _UNITS.findall(BLANK + text.replace(" ", BLANK)) if text else []
-        return [BLANK + w for w in words]
-
-    def learn(self, units: set[str]) -> dict[str, tuple[int, str, str]]:
-        new = list(units)
+        if words is None or BLANK in text or "\0" in text:
+            units = _UNITS.findall(BLANK + text.replace(" ", BLANK)) if text else []
+            return [u[1:] if u[:1] == BLANK and BLANK not in u[1:] and u[1:2] not in ("", "\0") else "\0" + u for u in units]
+        return words
+
+    def learn(self, words: set[str]) -> dict[str, tuple[int, str, str]]:
+        """Of each word: number of ids, the ids joined, the decoded word without the blank before it."""
+        new = list(words)
+        units = [w[1:] if w[:1] == "\0" else BLANK + w for w in new]
         out = {}
-        for u, ids in zip(new, self.model.encode_words(new), strict=True):
-            back = self.model.decode([*ids]) if ids else ""
-            # within a text every unit but the first keeps its first blank
-            back = " " + back if u[:1] == BLANK else back
-            out[u] = (len(ids), " ".join(map(str, ids)), back)
+        for w, ids in zip(new, self.model.encode_words(units), strict=True):
+            back = self.model.decode(ids)
+            out[w] = (len(ids), " ".join(map(str, ids)), w if back == w else back)
         return out
 
     def run(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of ids, the ids joined by blanks, the decoded text), with the end id last."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        cut = [self.units(t or "") for t in texts]
-        self.known.update(self.learn({u for units in cut for u in units if len(u) <= LONG_WORD and u not in self.known}))
-        big = self.learn({u for units in cut for u in units if len(u) > LONG_WORD})
+        known, cut, new, big = self.known, [], set(), set()
+        for t in texts:
+            words = self.words(t) if t else []
+            cut.append(words)
+            new.update(words)
+        new -= known.keys()
+        if len(new) > 0:
+            big = {w for w in new if len(w) > LONG_WORD}
+            known.update(self.learn(new - big))
+            known.update(self.learn(big))
         end = str(self.model.eos)
         out = []
-        for units in cut:
-            got = [self.known[u] if len(u) <= LONG_WORD else big[u] for u in units]
-            ids = " ".join([x[1] for x in got] + [end])
-            back = "".join([x[2] for x in got])
-            out.append((sum([x[0] for x in got]) + 1, ids, back[1:] if back[:1] == " " else back))
+        for words in cut:
+            if not words:
+                out.append((1, end, ""))
+                continue
+            n, ids, back = zip(*[known[w] for w in words], strict=True)
+            out.append((sum(n) + 1, f"{' '.join(ids)} {end}", " ".join(back)))
+        for w in big:
+            del known[w]
         return out
 
 
