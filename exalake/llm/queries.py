@@ -29,6 +29,12 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(personal_data(read(spark, sf_dir, "documents")))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exalake.llm.warc import archive_round_trip, new_folder
+
+    return archive_round_trip(read(spark, sf_dir, "pages"), new_folder(spark)).drop("uri", "digest_ok")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from exalake.llm.sentencepiece_bpe import round_trip_digests
 
