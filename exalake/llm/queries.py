@@ -29,6 +29,18 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(personal_data(read(spark, sf_dir, "documents")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exalake.llm.quality import quality
+
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exalake.llm.toxicity import toxicity
+
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from exalake.llm.warc import archive_round_trip, new_folder
 

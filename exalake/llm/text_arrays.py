@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def text_or_empty(column: str = "text"):
 def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each have about `limit` bytes (one longer text stays whole)."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
         total = np.cumsum(sizes)
         start = 0
         while start < len(sizes):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
         lengths = TokenLengths(tokenizer_file)
         for part in byte_slices(batches, "text"):
             n = pa.array(lengths.counts(part.column("text").to_pylist()), pa.int64())
-            size = pa.compute.binary_length(part.column("text")).fill_null(0).cast(pa.int64())
+            size = pc.binary_length(part.column("text")).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("id"), size, n], ["id", "n_bytes", "n_tokens"])
 
     counted = source.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
