@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The most labelled rows that a classifier is fitted on; they are the first by a hash of their id.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 10_000
 
 
 def fold(id_col: str, folds: int) -> Column:
