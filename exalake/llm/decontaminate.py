@@ -12,9 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from exalake.llm.text_arrays import byte_slices
 
@@ -207,6 +209,7 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     """
     source = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind, item_kind = source.schema["id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_col].dataType)
     out = None
     for block in item_blocks(items, item_col, item_text_col, rate):
 
@@ -217,9 +220,6 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
                 ids = pa.array([i for f in found for i, _ in f])
                 yield pa.RecordBatch.from_arrays([part.column("id").take(at), ids.cast(item_type) if len(ids) else pa.nulls(0, item_type), pa.array([d for f in found for _, d in f], pa.int64())], ["id", "item", "distance"])
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        item_type = to_arrow_type(items.schema[item_col].dataType)
         one = source.mapInArrow(search, f"id {kind}, item {item_kind}, distance long")
         out = one if out is None else out.unionByName(one)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col if item_col != id_col else "item"), "distance")
@@ -231,7 +231,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
         @F.pandas_udf("boolean")
         def clean(text, block=block):
-            return text.__class__([not f for f in block.search([t if isinstance(t, str) else None for t in text])], dtype=bool)
+            return pd.Series([not f for f in block.search([t if isinstance(t, str) else None for t in text])], dtype=bool)
 
         docs = docs.where(clean(F.col(text_col)))
     return docs

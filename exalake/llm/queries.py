@@ -23,12 +23,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exalake.llm.decontaminate import contaminations
+
+    return contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from exalake.llm.pii import digest_columns, personal_data
 
     return digest_columns(personal_data(read(spark, sf_dir, "documents")))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exalake.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from exalake.llm.quality import quality
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,8 +151,6 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def toxic(text):  # an Arrow column in and out, so that rows keep all their columns
         column = pa.array(text, pa.string(), from_pandas=True)
         out = [model.score(*utf8(part.column("text"))) for part in byte_slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text")]
-        import pandas as pd
-
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return docs.where(toxic(F.col(text_col)) < THRESHOLD)
