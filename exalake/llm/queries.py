@@ -65,6 +65,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exalake.llm.fingerprints import edit_fingerprints
+
+    return edit_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
