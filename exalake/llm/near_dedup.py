@@ -9,6 +9,7 @@ copies are one node from the start.  Classes are the connected components of the
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exalake.llm.text_arrays import Words, byte_slices, lower_bytes, materialise, mix, prefix_hashes, shingles, span_hashes, utf8
+from exalake.llm.text_arrays import Words, byte_slices, lower_bytes, materialise, mix, prefix_hashes, shared_dir, shingles, span_hashes, utf8
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -24,6 +25,8 @@ SIMILARITY = 0.8
 SKETCHES, PER_SKETCH = 24, 3
 #: What is left of a bucket after its centre's links is paired outright once it has so few members.
 PAIRED_OUTRIGHT = 64
+#: Buckets of at most so many are paired outright at once.
+SMALL = 6
 SCALAR_EDITS = 128
 FAR, BORDER, SIMILAR = 0, 1, 2
 
@@ -89,10 +92,8 @@ def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     tail = int(np.argmin(np.append((a[len(a) - short :] == b[len(b) - short :])[::-1], False)))
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     n, m = len(a), len(b)
-    if not n or not m:
+    if not n or not m or abs(n - m) > limit:
         return min(max(n, m), limit + 1)
-    if bag_distance(a, b) > limit:
-        return limit + 1
     ends: dict[int, list[int]] = {}
 
     def slide(t: int, k: int) -> int:
@@ -150,16 +151,20 @@ def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
 def compare(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> int:
     """SIMILAR if 1 - distance / longer length is at least similarity; FAR if nothing similar to b can be similar to a."""
     limit = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
-    if abs(len(a) - len(b)) <= limit and banded_distance(a, b, limit) <= limit:
-        return SIMILAR
     reach = (1 - similarity) / similarity * (len(a) + len(b))  # by the triangle inequality
-    return FAR if max(abs(len(a) - len(b)), bag_distance(a, b)) > reach else BORDER
+    apart = abs(len(a) - len(b))
+    if apart > reach:
+        return FAR
+    least = max(apart, bag_distance(a, b))
+    if least <= limit and banded_distance(a, b, limit) <= limit:
+        return SIMILAR
+    return FAR if least > reach else BORDER
 
 
 def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, n_words, sketch) of every row with words; key is the digest of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("key"))
+    source = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +174,7 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCHES), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(np.diff(first).astype(np.int64)), lists], ["id", "key", "n_words", "sketch"])
 
-    return source.mapInArrow(run, f"id {kind}, key string, n_words long, sketch array<long>")
+    return source.mapInArrow(run, f"id {kind}, key binary, n_words long, sketch array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -183,46 +188,49 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
             got = [compare(wa[fa[i] : fa[i + 1]], wb[fb[i] : fb[i + 1]], similarity) for i in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(got, pa.int32())], ["a", "b", "outcome"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string, outcome int")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, outcome int")
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, key, n, centre): nodes with an equal sketch, n of them, centre the least key.  Lone nodes have no row."""
+    members = nodes.select("key", F.posexplode("sketch").alias("at", "value")).select("key", F.xxhash64("at", "value").alias("bucket"))
+    return _crowds(members)
+
+
+def _crowds(members: DataFrame) -> DataFrame:
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("centre")).where("n > 1")
+    return materialise(members.join(sizes, "bucket"), "members")
 
 
-def verified_links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified_links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) of similar nodes, enough of them that each class is connected.
 
-    Every bucket (nodes with an equal sketch) is compared with its centre.  Those similar to it leave; those that might be
+    Small buckets are compared pair by pair, others with their centre.  Those similar to it leave; those that might be
     similar to one of these (BORDER) are compared with each of them; those left go on as a smaller bucket, with a centre of
-    its own, or pair by pair once few.  So no bucket is spread into all of its pairs, and no similar pair of a bucket stays
-    unlinked: what the triangle inequality rules out is all that is skipped.
+    its own, or pair by pair once few.  So no large bucket is spread into all of its pairs, and no similar pair of a bucket
+    stays unlinked: what the triangle inequality rules out is all that is skipped.
     """
-    bucket = F.xxhash64(F.col("at"), F.col("value")).alias("bucket")
-    members = nodes.select("key", "n_words", F.posexplode("sketch").alias("at", "value")).select("key", "n_words", bucket)
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("centre")).where("n > 1")
-    members = materialise(members.join(sizes, "bucket"), "members")
-    links, seen = None, None
-    while True:
-        small = members.where(F.col("n") <= PAIRED_OUTRIGHT) if links is not None else members.where("n = 2")
-        large = members.where(F.col("n") > PAIRED_OUTRIGHT) if links is not None else members.where("n > 2")
-        star = large.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
+    spark = members.sparkSession
+    store = shared_dir(spark, "outcomes")
+    pending, outcomes, few = None, None, SMALL
+    for turn in itertools.count():
+        small, large = members.where(F.col("n") <= few), members.where(F.col("n") > few)
         other = small.select("bucket", F.col("key").alias("key_b"))
         outright = small.join(other, "bucket").where(F.col("key") < F.col("key_b")).select(F.col("key").alias("a"), F.col("key_b").alias("b"))
-        wanted = star.unionByName(outright).distinct()
-        if seen is not None:
-            wanted = wanted.join(seen, ["a", "b"], "left_anti")
-        done = materialise(verify(wanted, texts, similarity), "verified")
-        seen = done if seen is None else seen.unionByName(done)
-        known = seen.select(F.col("a").alias("centre"), F.col("b").alias("key"), "outcome")
-        told = large.join(known, ["centre", "key"], "left")
-        near = told.where((F.col("outcome") == SIMILAR) | (F.col("key") == F.col("centre"))).select("bucket", F.col("key").alias("key_b"))
-        border = told.where(F.col("outcome") == BORDER).select("bucket", "key", "centre").join(near, "bucket").where(F.col("key_b") != F.col("centre"))
-        extra = border.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-        more = materialise(verify(extra, texts, similarity), "verified")
-        seen = seen.unionByName(more)
-        links = seen.where(F.col("outcome") == SIMILAR).select("a", "b")
-        rest = told.where((F.col("key") != F.col("centre")) & (F.coalesce("outcome", F.lit(FAR)) != SIMILAR)).select("bucket", "key", "n_words")
-        sizes = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("centre")).where("n > 1")
-        members = materialise(rest.join(sizes, "bucket"), "members")
-        if members.isEmpty():
-            return links
+        wanted = large.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).unionByName(outright)
+        wanted = wanted.unionByName(pending).distinct() if pending is not None else wanted.distinct()
+        if outcomes is not None:
+            wanted = wanted.join(outcomes, ["a", "b"], "left_anti")
+        verify(wanted, texts, similarity).write.parquet(f"{store}/turn={turn}")
+        outcomes = spark.read.schema("a binary, b binary, outcome int").parquet(f"{store}/turn=*")
+        told = materialise(large.join(outcomes.select(F.col("a").alias("centre"), F.col("b").alias("key"), "outcome"), ["centre", "key"], "left"), "told")
+        near = told.where(F.col("outcome") == SIMILAR).select("bucket", F.col("key").alias("key_b"))
+        border = told.where(F.col("outcome") == BORDER).select("bucket", "key").join(near, "bucket")
+        pending = materialise(border.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct(), "border")
+        members = _crowds(told.where((F.col("key") != F.col("centre")) & (F.coalesce("outcome", F.lit(FAR)) != SIMILAR)).select("key", "bucket"))
+        few = PAIRED_OUTRIGHT
+        if members.isEmpty() and pending.isEmpty():
+            return outcomes.where(F.col("outcome") == SIMILAR).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,33 +250,48 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: id, class_id (the least id of its class), class_size (rows), keep (the row is its class's own).
-
-    Two documents are linked if the edit distance of their words (lower case) is at most 1 - similarity of the longer one's
-    words; a class is what links connect.  Of several rows with the class's least id, texts and ids alike, one is kept.
-    Null, empty and blank texts are each a class of their own.  A null id counts after all others; if a class has no other,
-    class_id is null.  Other columns are ignored.
-    """
+def classified(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """near_duplicates with the columns id and key (digest of the text)."""
     table = materialise(sketch_table(docs, id_col, text_col), "sketches")
     worded = table.where("n_words > 0")
     nodes = materialise(worded.groupBy("key").agg(F.min("id").alias("least"), F.max("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.count("*").alias("n")), "nodes")
+    members = buckets(nodes)
+    wanted = members.select(F.col("key").alias("k")).distinct().join(nodes.select(F.col("key").alias("k"), "least"), "k")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("key"))
-    # only nodes that share a bucket are ever compared
-    shared = nodes.select("key", F.posexplode("sketch").alias("at", "value")).select("key", F.xxhash64("at", "value").alias("bucket"))
-    crowded = shared.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    wanted = shared.join(crowded, "bucket", "left_semi").select("key").distinct().join(nodes.select("key", "least"), "key")
-    texts = materialise(rows.join(wanted.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("least"))).dropDuplicates(["key"]).select("key", "text"), "texts")
-    roots = components(verified_links(nodes, texts, similarity))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
+    chosen = rows.join(wanted, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("least")))
+    texts = materialise(chosen.groupBy("key").agg(F.first("text").alias("text")), "texts")
+    roots = components(verified_links(members, texts, similarity))
     placed = nodes.select("key", "least", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = placed.groupBy("root").agg(F.min("least").alias("class_id"), F.min_by("key", F.struct(F.col("least").isNull(), "least", "key")).alias("keeper"), F.sum("n").alias("class_size"))
     of_key = placed.select("key", "root", "least").join(classes, "root").select("key", "least", "class_id", "class_size", (F.col("key") == F.col("keeper")).alias("own"))
     out = table.select("id", "key", "n_words").join(of_key, "key", "left")
     alone = F.col("own").isNull() | (F.col("n_words") == 0)
     return out.select(
-        F.col("id").alias(id_col),
+        "id",
+        "key",
         F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
         (alone | (F.col("own") & F.col("id").eqNullSafe(F.col("least")))).alias("keep"),
     )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: id, class_id (the least id of its class), class_size (rows), keep (the row is its class's own).
+
+    Two documents are linked if the edit distance of their words (lower case) is at most 1 - similarity of the longer one's
+    words; a class is what links connect.  Of several rows with the class's least id, texts and ids alike, one is kept.
+    Null, empty and blank texts are each a class of their own.  A null id counts after all others; if a class has no other,
+    class_id is null.  Other columns are ignored.
+    """
+    return classified(docs, id_col, text_col, similarity).drop("key").withColumnRenamed("id", id_col)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, all columns, of one document of each class (see near_duplicates).
+
+    Rows alike in id and text are one document: they stay or go together.
+    """
+    gone = classified(docs, id_col, text_col, similarity).where(~F.col("keep")).select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left_anti")

@@ -78,8 +78,26 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    import corpus_pipeline
+
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8_SQL}
+
+
+#: The written and read record of each page, without writing it.  DuckDB has sha1 but no base32: five bits at a time.
+OP8_SQL = """
+WITH p AS (SELECT page_id, CAST(coalesce(html, '') AS BLOB) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY hex, n) AS keeper FROM d),
+b AS (SELECT *, list_transform(range(0, 32), lambda i: (
+  (instr('0123456789abcdef', hex[CAST(i * 5 // 4 AS INTEGER) + 1]) - 1) * 16
+  + coalesce(instr('0123456789abcdef', nullif(hex[CAST(i * 5 // 4 AS INTEGER) + 2], '')) - 1, 0)) // CAST(power(2, 3 - i * 5 % 4) AS INTEGER) % 32) AS fives FROM k)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(fives, lambda v: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(v AS INTEGER) + 1]), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM b
+"""

@@ -249,11 +249,11 @@ def _checked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
-def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_tokens, ids (array of int, the end id last), decoded (text).
+def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """One row per row of docs: id, n_tokens, ids (array of int, the end id last), lossless, decoded (unless with_text is False).
 
-    A null text is encoded as an empty one: the end id alone, decoded as ''.  Repeated rows and null ids give a row each;
-    other columns are ignored.  model_file must exist on every executor.
+    lossless: decoding gives the text back.  A null text is encoded as an empty one: the end id alone, decoded as ''.
+    Repeated rows and null ids give a row each; other columns are ignored.  model_file must exist on every executor.
     """
     source = _checked(docs, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
@@ -261,11 +261,19 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_file)
         for part in byte_slices(batches, "text"):
-            got = codec.run(part.column("text").to_pylist())
-            ids = pa.array([[int(x) for x in g[1].split(" ")] for g in got], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([g[0] for g in got], pa.int64()), ids, pa.array([g[2] for g in got], pa.string())], ["id", "n_tokens", "ids", "decoded"])
-
-    return source.mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+            texts = part.column("text").to_pylist()
+            got = codec.run(texts)
+            n = np.array([g[0] for g in got], np.int64)
+            flat = np.fromstring(" ".join([g[1] for g in got]), np.int32, sep=" ")
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat))
+            same = pa.array([g[2] == (t or "") for g, t in zip(got, texts, strict=True)], pa.bool_())
+            columns, names = [part.column("id"), pa.array(n), ids, same], ["id", "n_tokens", "ids", "lossless"]
+            if with_text:
+                columns, names = [*columns, pa.array([g[2] for g in got], pa.string())], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"id {kind}, n_tokens long, ids array<int>, lossless boolean" + ", decoded string" * with_text
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def round_trip_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

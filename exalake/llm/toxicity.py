@@ -143,9 +143,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored(score(docs, train(docs, labels, id_col, text_col), id_col, text_col), id_col, FOLDS, HELD, THRESHOLD)
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that the machine does not predict as toxic; null texts stay."""
-    model = train(docs, labels, id_col, text_col)
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_docs: DataFrame | None = None) -> DataFrame:
+    """The rows of docs, all columns, that the machine (fitted on training_docs, or docs) does not predict as toxic."""
+    model = train(docs if training_docs is None else training_docs, labels, id_col, text_col)
 
     @F.pandas_udf("double")
     def toxic(text):  # an Arrow column in and out, so that rows keep all their columns
