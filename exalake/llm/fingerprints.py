@@ -4,8 +4,8 @@ A text is cut into pieces at line ends and sentence ends (long ones every PIECE_
 one number: a digest and a check of that digest.  A sketch adds numbers up in cells (bit by bit, without carry), each
 number in one cell of each of three tables.  Two sketches subtract cell by cell, which leaves the pieces that differ;
 peeling takes out cells whose sum is one number (the check tells) until none is left.  If that fails, both texts are
-sketched larger: numbers are dealt by their first bits to 8 sketches, then 64, 512, 4,096 and 32,768; what even these can't
-peel is compared number by number.
+sketched larger: numbers are dealt by their first bits to as many sketches as their number asks for, then to 4, 16 and 64
+times as many; what even these can't peel is compared number by number.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 PIECE_CHARS = 48
 TABLES, CELLS = 3, 8
-#: First bits of the digests by which they are dealt to sketches, larger and larger.
-LADDER = (3, 6, 9, 12, 15)
+#: On failure numbers are dealt to sketches of about so many each, then to 4 times as many sketches, and so on.
+PER_SKETCH = 6
+RETRIES = 4
 ROUNDS = 16
 #: A number is a digest of 40 bits and a check of 24 bits.
 DIGEST_BITS, CHECK_BITS = 40, 24
@@ -86,9 +87,9 @@ def peel(sketch: Column) -> Column:
     return let(end, lambda s: F.struct(F.forall(s["cells"], lambda y: y == 0).alias("ok"), s["n"].alias("n")))
 
 
-def dealt(numbers: Column, bits: int) -> Column:
-    """Sorted numbers in runs of equal first bits: what goes to one of 2^bits sketches."""
-    head = lambda x: F.shiftright(x, 64 - bits)
+def dealt(numbers: Column, bits: Column) -> Column:
+    """Sorted numbers in runs of equal first bits: what goes to one of 2^bits sketches (bits at least 1)."""
+    head = lambda x: F.call_function("shiftright", x, 64 - bits)
     at = F.filter(F.sequence(F.lit(0), F.size(numbers) - 1), lambda i: (i == 0) | (head(F.get(numbers, i)) != head(F.get(numbers, i - 1))))
     return let(at, lambda s: F.transform(s, lambda i, j: F.slice(numbers, i + 1, F.coalesce(F.get(s, j + 1), F.size(numbers)) - i)))
 
@@ -98,18 +99,20 @@ def add_likeness(rows: DataFrame, name: str, a: str, b: str, cells_a: str, cells
 
     a and b are columns of digests, cells_a and cells_b those of their sketches.  Texts without pieces are alike (1.0).
     """
-    got, both = f"{name}__got", f"{name}__both"
+    got, both, bits = f"{name}__got", f"{name}__both", f"{name}__bits"
     rows = rows.withColumn(got, peel(F.zip_with(cells_a, cells_b, lambda x, y: x.bitwiseXOR(y))))
     rows = rows.withColumn(both, F.when(~F.col(f"{got}.ok"), F.array_sort(F.concat(a, b))))
     total = lambda xs: F.aggregate(xs, F.expr("struct(true as ok, 0 as n)"), lambda s, x: F.struct((s["ok"] & x["ok"]).alias("ok"), (s["n"] + x["n"]).alias("n")))
-    for bits in LADDER:
-        larger = total(F.transform(dealt(F.col(both), bits), lambda run: peel(cells(run))))
+    rows = rows.withColumn(bits, F.greatest(F.ceil(F.log2((F.size(a) + F.size(b)) / PER_SKETCH)).cast("int"), F.lit(1)))
+    for retry in range(RETRIES):
+        wider = F.least(F.col(bits) + 2 * retry, F.lit(DIGEST_BITS))
+        larger = total(F.transform(dealt(F.col(both), wider), lambda run: peel(cells(run))))
         rows = rows.withColumn(got, F.when(F.col(f"{got}.ok"), F.col(got)).otherwise(larger))
     exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
     differ = F.when(F.col(f"{got}.ok"), F.col(f"{got}.n")).otherwise(exact)
     # |a| + |b| is twice the common pieces and the others once
     union = (F.size(a) + F.size(b) + differ) / 2
-    return rows.withColumn(name, F.when(union == 0, F.lit(1.0)).otherwise((union - differ) / union)).drop(got, both)
+    return rows.withColumn(name, F.when(union == 0, F.lit(1.0)).otherwise((union - differ) / union)).drop(got, both, bits)
 
 
 def fingerprint(sketch: Column) -> Column:

@@ -23,8 +23,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Hash functions, and labelled k-mers that a sketch takes of each.
 SKETCHES, PER_SKETCH = 24, 3
-#: What is left of a bucket after its centre's links is paired outright once it has so few members.
-PAIRED_OUTRIGHT = 64
+#: What is left of a bucket after its heads' links is paired outright once it has so few members.
+PAIRED_OUTRIGHT = 256
 #: Buckets of at most so many are paired outright at once.
 SMALL = 6
 SCALAR_EDITS = 128
@@ -192,8 +192,8 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, key, n, centre): nodes with an equal sketch, n of them, centre the least key.  Lone nodes have no row."""
-    members = nodes.select("key", F.posexplode("sketch").alias("at", "value")).select("key", F.xxhash64("at", "value").alias("bucket"))
+    """(bucket, key, n_words, n, centre): nodes with an equal sketch, n of them, centre the least key.  Lone nodes have no row."""
+    members = nodes.select("key", "n_words", F.posexplode("sketch").alias("at", "value")).select("key", "n_words", F.xxhash64("at", "value").alias("bucket"))
     return _crowds(members)
 
 
@@ -205,29 +205,39 @@ def _crowds(members: DataFrame) -> DataFrame:
 def verified_links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) of similar nodes, enough of them that each class is connected.
 
-    Small buckets are compared pair by pair, others with their centre.  Those similar to it leave; those that might be
-    similar to one of these (BORDER) are compared with each of them; those left go on as a smaller bucket, with a centre of
-    its own, or pair by pair once few.  So no large bucket is spread into all of its pairs, and no similar pair of a bucket
-    stays unlinked: what the triangle inequality rules out is all that is skipped.
+    Small buckets are compared pair by pair.  Of others every member is compared with a few heads (at first the centre, then
+    twice as many a turn).  Heads and those similar to one leave; those that might be similar to one of these (BORDER) are
+    compared with each of them; those left go on as a smaller bucket, pair by pair once few.  So no large bucket of copies is
+    spread into its pairs, and no similar pair of a bucket stays unlinked: pairs are skipped only where their lengths or the
+    triangle inequality rule them out.
     """
     spark = members.sparkSession
     store = shared_dir(spark, "outcomes")
     pending, outcomes, few = None, None, SMALL
+    ordered = lambda rows, x, y: rows.select("*", F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    gap = F.abs(F.col("n_words") - F.col("words_b"))
     for turn in itertools.count():
         small, large = members.where(F.col("n") <= few), members.where(F.col("n") > few)
-        other = small.select("bucket", F.col("key").alias("key_b"))
-        outright = small.join(other, "bucket").where(F.col("key") < F.col("key_b")).select(F.col("key").alias("a"), F.col("key_b").alias("b"))
-        wanted = large.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).unionByName(outright)
-        wanted = wanted.unionByName(pending).distinct() if pending is not None else wanted.distinct()
+        other = small.select("bucket", F.col("key").alias("key_b"), F.col("n_words").alias("words_b"))
+        outright = small.join(other, "bucket").where((F.col("key") < F.col("key_b")) & (gap <= (1 - similarity) * F.greatest("n_words", "words_b") + 1e-9))
+        head = F.col("key") == F.col("centre")
+        if turn:
+            head = head | (F.pmod(F.xxhash64("key", "bucket", F.lit(turn)), F.col("n")) < 2 << min(turn, 40))
+        heads = large.where(head).select("bucket", F.col("key").alias("head"), F.col("n_words").alias("words_b"))
+        reach = (1 - similarity) / similarity * (F.col("n_words") + F.col("words_b"))
+        star = materialise(ordered(large.join(heads, "bucket").where((F.col("key") != F.col("head")) & (gap <= reach)).select("bucket", "key", "head"), "key", "head"), "star")
+        wanted = star.select("a", "b").unionByName(outright.select(F.col("key").alias("a"), F.col("key_b").alias("b")))
+        wanted = (wanted.unionByName(pending) if pending is not None else wanted).distinct()
         if outcomes is not None:
             wanted = wanted.join(outcomes, ["a", "b"], "left_anti")
         verify(wanted, texts, similarity).write.parquet(f"{store}/turn={turn}")
         outcomes = spark.read.schema("a binary, b binary, outcome int").parquet(f"{store}/turn=*")
-        told = materialise(large.join(outcomes.select(F.col("a").alias("centre"), F.col("b").alias("key"), "outcome"), ["centre", "key"], "left"), "told")
-        near = told.where(F.col("outcome") == SIMILAR).select("bucket", F.col("key").alias("key_b"))
-        border = told.where(F.col("outcome") == BORDER).select("bucket", "key").join(near, "bucket")
-        pending = materialise(border.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct(), "border")
-        members = _crowds(told.where((F.col("key") != F.col("centre")) & (F.coalesce("outcome", F.lit(FAR)) != SIMILAR)).select("key", "bucket"))
+        told = materialise(star.join(outcomes, ["a", "b"]).where(F.col("outcome") != FAR), "told")
+        near = told.where(F.col("outcome") == SIMILAR).select("bucket", "head", F.col("key").alias("key_b"))
+        border = told.where(F.col("outcome") == BORDER).select("bucket", "head", "key").join(near, ["bucket", "head"]).where(F.col("key") != F.col("key_b"))
+        pending = materialise(ordered(border.select("key", "key_b"), "key", "key_b").select("a", "b").distinct(), "border")
+        gone = near.select("bucket", F.col("key_b").alias("key")).unionByName(heads.select("bucket", F.col("head").alias("key"))).distinct()
+        members = _crowds(large.join(gone, ["bucket", "key"], "left_anti").select("bucket", "key", "n_words"))
         few = PAIRED_OUTRIGHT
         if members.isEmpty() and pending.isEmpty():
             return outcomes.where(F.col("outcome") == SIMILAR).select("a", "b")
