@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as the source texts mean it: with no-break spaces and the byte order mark, which \\s leaves out.
 WHITE = r"[\s   -     　﻿]"
@@ -15,13 +16,13 @@ TAG = r"</?[A-Za-z][A-Za-z0-9-]*(?:\s*/?>|\s+[A-Za-z_:][-A-Za-z0-9_:.]*\s*=)|<!-
 MEDIA = r"(?i)<(img|math|table|iframe|video|audio|object)\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Normal form C; null is ''."""
     return s.map(lambda x: "" if x is None else x if x.isascii() else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_marks(s: pd.Series) -> pd.Series:
     """Letters without combining marks (U+0300 to U+036F), đ as d; null is ''."""
 
@@ -98,10 +99,8 @@ def image_sources(html: Column) -> Column:
 
 def fnv1a32(s: Column) -> Column:
     """FNV-1a over the UTF-8 bytes, as a long."""
-    h = F.hex(s.cast("binary"))
-    octet = lambda i: F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
-    places = F.when(F.octet_length(s) > 0, F.sequence(F.lit(0), F.octet_length(s) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(0x811C9DC5).cast("long"), lambda acc, i: (acc.bitwiseXOR(octet(i)) * F.lit(0x01000193).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    octets = F.regexp_extract_all(F.hex(s.cast("binary")), F.lit(".."), F.lit(0))
+    return F.aggregate(octets, F.lit(0x811C9DC5).cast("long"), lambda acc, x: (acc.bitwiseXOR(F.conv(x, 16, 10).cast("long")) * F.lit(0x01000193).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
 
 
 def hash6(s: Column) -> Column:

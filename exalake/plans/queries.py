@@ -349,12 +349,12 @@ def unused_answers(spark, sf_dir):
 
 
 @query("""
-SELECT l_suppkey AS file, CAST(l_linenumber AS VARCHAR) AS part, l_partkey % 11 AS no, arg_min(l_returnflag, (l_orderkey * 10 + l_linenumber)) AS value, count(*) AS entries, count(DISTINCT l_returnflag) > 1 AS conflicting
+SELECT l_suppkey AS file, CAST(l_linenumber AS VARCHAR) AS part, l_partkey % 11 AS no, min(struct_pack(a := l_orderkey * 10 + l_linenumber, b := l_returnflag)).b AS value, count(*) AS entries, count(DISTINCT l_returnflag) > 1 AS conflicting
 FROM lineitem GROUP BY 1, 2, 3""")
 def first_answer_wins(spark, sf_dir):
     """Entries of a key that come twice: the first counts, differing ones are told."""
     lines = table(spark, sf_dir, "lineitem")
-    entries = lines.select(F.col("l_suppkey").alias("file"), F.col("l_linenumber").cast("string").alias("part"), (F.col("l_partkey") % 11).alias("no"), F.col("l_returnflag").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    entries = lines.select(F.col("l_suppkey").alias("file"), F.col("l_linenumber").cast("string").alias("part"), (F.col("l_partkey") % 11).alias("no"), F.col("l_returnflag").alias("value"), F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_returnflag").alias("ord"))
     return answer_key.gather(entries)
 
 
