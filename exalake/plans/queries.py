@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from exalake.functions import answers, text
+from exalake.functions import answers, formats, text
 from exalake.operators import answer_key, grading, integrity, ordered, packages, sheets, validation
-from exalake.sources import files
+from exalake.sources import exams, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -538,3 +538,30 @@ def read_question_sheets(spark, sf_dir):
     cells = head.unionByName(body).where(F.col("text").isNotNull()).select(F.col("archive").cast("string").alias("archive"), F.lit("s1").alias("sheet"), "row", "col", "text")
     kind = sheets.inferred_kind(F.col("content"), F.col("answer"), F.array("A", "B"))
     return sheets.records(cells).select(F.col("archive").cast("int").alias("sheet"), F.col("row").cast("long").alias("row"), "content", "answer", kind.alias("kind"), "bank")
+
+
+# -- cells and JSON packages ---------------------------------------------------------------------------------------------
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(DATE '1899-12-30' + CAST(o_orderkey % 40000 + 61 AS INTEGER), '%d/%m/%Y')
+  WHEN 1 THEN CAST(o_orderkey % 100 AS VARCHAR) || '%' ELSE CAST(o_orderkey % 24 AS VARCHAR) || ':30' END AS shown FROM orders""")
+def shown_numbers(spark, sf_dir):
+    """Cell numbers as their formats show them: dates, percent, times."""
+    n = F.col("o_orderkey")
+    kind = n % 3
+    v = F.when(kind == 0, (n % 40000 + 61).cast("double")).when(kind == 1, (n % 100) / 100).otherwise((n % 24 + 0.5) / 24)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", v.cast("double").alias("v"), F.when(kind == 0, 14).when(kind == 1, 9).otherwise(20).alias("id"))
+    rows = rows.withColumn("f", formats.classify(F.col("id"), F.lit(None).cast("string")))
+    return rows.select("o_orderkey", formats.shown(F.col("v"), F.col("f")).alias("shown"))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS package, CASE p_size % 3 WHEN 0 THEN 'mc' WHEN 1 THEN 'short' END AS type, CAST(i AS VARCHAR) AS no, p_name || i AS stem, 'k' || i AS answer, CASE WHEN i = 1 THEN 2.5 ELSE 0.5 END::DOUBLE AS points
+FROM part, (SELECT unnest([1, 2, 3]) AS i)""")
+def exam_package_questions(spark, sf_dir):
+    """JSON exam packages to question rows; worked examples (number 0) left out, unknown group types kept without a type."""
+    item = lambda i: F.struct(F.lit(i).alias("n"), F.concat("p_name", F.lit(str(i))).alias("q"), F.lit(f"k{i}").alias("ans"), (F.lit(2.5) if i == 1 else F.lit(None).cast("double")).alias("pt"))
+    kind = F.element_at(F.array(F.lit("mcq"), F.lit("order"), F.lit("riddle")), (F.col("p_size") % 3 + 1).cast("int"))
+    groups = F.array(F.struct(kind.alias("type"), F.lit(0.5).alias("perItem"), F.array(*[item(i) for i in range(4)]).alias("items")))
+    data = F.to_json(F.struct(F.struct(F.lit("t").alias("title")).alias("EXAM"), F.array(F.struct(F.lit("I").alias("label"), groups.alias("groups"))).alias("PARTS")))
+    packages_ = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("package"), data.alias("data"))
+    return exams.questions(packages_).select("package", "type", "no", "stem", "answer", "points")
