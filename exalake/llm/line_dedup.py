@@ -5,9 +5,9 @@ similarity reaches the threshold then share one of their first few tokens (the p
 by length, by position and by a parity bitmap (each bit that differs is a token that differs), then verified on the whole
 sets.  A line goes if a line before it, by document id and place, is similar to it.
 
-Only whether there is a line before matters, so groups are never spread into all pairs: copies of a line meet by its hash;
-each other line first meets the earliest line of each of its prefix tokens, and only lines still without a match meet the
-rest.
+Only whether there is a line before matters, so large groups are never spread into all pairs: copies of a line meet by its
+hash; where many lines share a prefix token, each first meets the earliest of them, and only lines still without a match
+meet the rest.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exalake.llm.text_arrays import materialise
+from exalake.llm.text_arrays import drop, materialise, release
 
 #: Similarity as a fraction, so that bounds are exact.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -24,13 +24,15 @@ LEAST_CHARS = 25
 #: Counters of the rarity table, whatever the size of the corpus; tokens share one by hash.  They order tokens only: what is
 #: found does not depend on them.
 RARITY_BUCKETS = 1 << 16
+#: Lines that share a token all meet at once if they are so few.
+FEW = 32
 #: Bits of the filter that keeps most documents without candidates out of the verification.
 FILTER_BITS = 1 << 22
 _HASH_BITS = 54
 
 
 def tokens(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), " "), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(line), " "), "")
 
 
 def one_bit(x: Column) -> Column:
@@ -85,13 +87,17 @@ def exact_repeats(rows: DataFrame) -> DataFrame:
     return again.where(~(F.col("id").eqNullSafe(f["id"]) & (F.col("h") == f["h"]) & (F.col("no") == f["no"]))).select("id", "h", "no").distinct()
 
 
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int")
+
+
 def rarity(rows: DataFrame) -> Column:
-    """How frequent each bucket of token hashes is, in half powers of two: one byte a bucket, a literal of fixed size."""
-    each = lines(rows).select(F.explode(tokens(F.col("line"))).alias("t")).select(F.pmod(F.xxhash64("t"), F.lit(RARITY_BUCKETS)).alias("b"))
+    """How frequent each bucket of token hashes is, in half powers of two: one number a bucket, a constant of fixed size."""
+    each = lines(rows).select(F.explode(tokens(F.col("line"))).alias("t")).select(_bucket(F.xxhash64("t")).alias("b"))
     table = bytearray(RARITY_BUCKETS)
     for b, n in each.groupBy("b").agg(F.floor(2 * F.log2(F.count("*") + 1)).alias("n")).collect():  # a row a bucket at most
         table[b] = n
-    return F.lit(bytes(table))
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")  # folded to a constant
 
 
 def token_sets(rows: DataFrame) -> DataFrame:
@@ -102,8 +108,8 @@ def token_sets(rows: DataFrame) -> DataFrame:
 def prefixes(sets: DataFrame, rare: Column) -> DataFrame:
     """A row for each token of each line's prefix: token, id, h, no, n (tokens), pos, bits (parity of hashed tokens)."""
     low = F.lit((1 << _HASH_BITS) - 1).cast("long")
-    ranked = F.transform("keys", lambda k: F.shiftleft(F.ascii(F.substring(rare, (F.pmod(k, F.lit(RARITY_BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string")).cast("long"), _HASH_BITS).bitwiseOR(k.bitwiseAND(low)))
-    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(one_bit(F.shiftright(k, 40))))
+    ranked = F.transform("keys", lambda k: F.shiftleft(F.get(rare, _bucket(k)).cast("long"), _HASH_BITS).bitwiseOR(k.bitwiseAND(low)))
+    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, 40).cast("int"))))  # a shift counts modulo 64
     n = F.size("keys")
     first = (n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1).cast("int")
     return sets.where(n > 0).select("id", "h", "no", n.alias("n"), bits.alias("bits"), F.posexplode(F.slice(F.array_sort(ranked), F.lit(1), first)).alias("pos", "token"))
@@ -119,8 +125,10 @@ def may_match(a: str, b: str) -> Column:
     return length & place & parity
 
 
-def pair_columns(joined: DataFrame) -> DataFrame:
-    return joined.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("id", "h", "no")]).distinct()
+def _meet(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Pairs of a line and one before it that share a prefix token and pass the filters."""
+    joined = later.alias("a").join(earlier.alias("b"), (F.col("a.token") == F.col("b.token")) & before("b", "a") & may_match("a", "b"))
+    return joined.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("id", "h", "no")])
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -150,15 +158,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     exact = materialise(exact_repeats(rows), "exact")
     firsts = lines(with_places(rows, by_document(exact, "gone"), "left"), "gone").where(F.coalesce(~F.array_contains("gone", F.col("no")), F.lit(True)))
     prefix = materialise(prefixes(token_sets(firsts), rarity(rows)), "prefixes")
-    shared = prefix.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("least_id")).where("c > 1").drop("c")
+    shared = prefix.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("least_id")).where("c > 1")
+    release(docs.sparkSession)
     crowded = materialise(prefix.join(shared, "token"), "crowded")
-    earliest = crowded.where(F.col("id").eqNullSafe(F.col("least_id")))
-    met = crowded.alias("a").join(earliest.alias("b"), (F.col("a.token") == F.col("b.token")) & before("b", "a") & may_match("a", "b"))
-    first_found = materialise(verified(materialise(pair_columns(met), "pairs"), rows), "found")
-    left = crowded.alias("a").join(first_found.alias("f"), same_line("a", "f"), "left_anti")
-    rest = left.alias("a").join(crowded.alias("b"), (F.col("a.token") == F.col("b.token")) & ~F.col("b.id").eqNullSafe(F.col("b.least_id")) & before("b", "a") & may_match("a", "b"))
-    then_found = verified(materialise(pair_columns(rest), "pairs"), rows)
-    return by_document(exact.unionByName(first_found).unionByName(then_found), "removed")
+    drop(prefix)
+    few, many = crowded.where(F.col("c") <= FEW), crowded.where(F.col("c") > FEW)
+    met = _meet(few, few).unionByName(_meet(many, many.where(F.col("id").eqNullSafe(F.col("least_id")))))
+    found = materialise(verified(materialise(met.distinct(), "pairs"), rows), "found")
+    left = many.alias("a").join(found.alias("f"), same_line("a", "f"), "left_anti")
+    rest = materialise(_meet(left, many.where(~F.col("id").eqNullSafe(F.col("least_id")))).distinct(), "pairs")
+    if not rest.isEmpty():
+        found = found.unionByName(verified(rest, rows))
+    return by_document(exact.unionByName(found), "removed")
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

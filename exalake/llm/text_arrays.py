@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -35,6 +36,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the written table behind a materialised frame that is not needed any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop_dir(df.sparkSession, path)
+    release(df.sparkSession)
+
+
 def drop_dir(spark, path: str) -> None:
     """Delete a folder of the shared file system through Hadoop, whatever store it is in."""
     jvm = spark.sparkContext._jvm
