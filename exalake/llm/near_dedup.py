@@ -207,7 +207,7 @@ def verified_links(members: DataFrame, texts: DataFrame, similarity: float = SIM
 
     Small buckets are compared pair by pair.  Of others every member is compared with a few heads (at first the centre, then
     twice as many a turn).  Heads and those similar to one leave; those that might be similar to one of these (BORDER) are
-    compared with each of them; those left go on as a smaller bucket, pair by pair once few.  So no large bucket of copies is
+    compared with each of them, unless links connect them already; those left go on as a smaller bucket, pair by pair once few.  So no large bucket of copies is
     spread into its pairs, and no similar pair of a bucket stays unlinked: pairs are skipped only where their lengths or the
     triangle inequality rule them out.
     """
@@ -234,7 +234,12 @@ def verified_links(members: DataFrame, texts: DataFrame, similarity: float = SIM
         outcomes = spark.read.schema("a binary, b binary, outcome int").parquet(f"{store}/turn=*")
         told = materialise(star.join(outcomes, ["a", "b"]).where(F.col("outcome") != FAR), "told")
         near = told.where(F.col("outcome") == SIMILAR).select("bucket", "head", F.col("key").alias("key_b"))
-        border = told.where(F.col("outcome") == BORDER).select("bucket", "head", "key").join(near, ["bucket", "head"]).where(F.col("key") != F.col("key_b"))
+        between = told.where(F.col("outcome") == BORDER).select("bucket", "head", "key")
+        if not between.isEmpty():  # what other buckets have connected already needs no more links
+            roots = components(outcomes.where(F.col("outcome") == SIMILAR).select("a", "b"))
+            ends = between.join(roots.select("key", F.col("root").alias("root_key")), "key", "left").join(roots.select(F.col("key").alias("head"), F.col("root").alias("root_head")), "head", "left")
+            between = ends.where(F.coalesce(F.col("root_key") != F.col("root_head"), F.lit(True))).select("bucket", "head", "key")
+        border = between.join(near, ["bucket", "head"]).where(F.col("key") != F.col("key_b"))
         pending = materialise(ordered(border.select("key", "key_b"), "key", "key_b").select("a", "b").distinct(), "border")
         gone = near.select("bucket", F.col("key_b").alias("key")).unionByName(heads.select("bucket", F.col("head").alias("key"))).distinct()
         members = _crowds(large.join(gone, ["bucket", "key"], "left_anti").select("bucket", "key", "n_words"))
