@@ -101,7 +101,7 @@ def add_likeness(rows: DataFrame, name: str, a: str, b: str, cells_a: str, cells
     """
     got, both, bits = f"{name}__got", f"{name}__both", f"{name}__bits"
     rows = rows.withColumn(got, peel(F.zip_with(cells_a, cells_b, lambda x, y: x.bitwiseXOR(y))))
-    rows = rows.withColumn(both, F.when(~F.col(f"{got}.ok"), F.array_sort(F.concat(a, b))))
+    rows = rows.withColumn(both, F.when(~F.col(f"{got}.ok"), F.sort_array(F.concat(a, b))))
     total = lambda xs: F.aggregate(xs, F.expr("struct(true as ok, 0 as n)"), lambda s, x: F.struct((s["ok"] & x["ok"]).alias("ok"), (s["n"] + x["n"]).alias("n")))
     rows = rows.withColumn(bits, F.greatest(F.ceil(F.log2((F.size(a) + F.size(b)) / PER_SKETCH)).cast("int"), F.lit(1)))
     for retry in range(RETRIES):

@@ -43,7 +43,7 @@ def one_bit(x: Column) -> Column:
 def dense(counted: DataFrame, key: str, value: str, size: int, kind: str) -> Column:
     """A fixed-size array as one value for all rows: value at each key from 0 to size - 1, else 0."""
     frame = counted.sparkSession.range(size).join(counted.withColumnRenamed(key, "id"), "id", "left").select("id", F.coalesce(F.col(value), F.lit(0)).cast(kind).alias("v"))
-    return frame.agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("a")).select(F.transform("a", lambda x: x["v"])).scalar()
+    return frame.agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("a")).select(F.transform("a", lambda x: x["v"])).scalar()
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -112,7 +112,7 @@ def prefixes(sets: DataFrame, rare: Column) -> DataFrame:
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, 40).cast("int"))))  # a shift counts modulo 64
     n = F.size("keys")
     first = (n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1).cast("int")
-    return sets.where(n > 0).select("id", "h", "no", n.alias("n"), bits.alias("bits"), F.posexplode(F.slice(F.array_sort(ranked), F.lit(1), first)).alias("pos", "token"))
+    return sets.where(n > 0).select("id", "h", "no", n.alias("n"), bits.alias("bits"), F.posexplode(F.slice(F.sort_array(ranked), F.lit(1), first)).alias("pos", "token"))
 
 
 def may_match(a: str, b: str) -> Column:
@@ -182,7 +182,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = numbered(docs, id_col, text_col).select("id", "h", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
     out = with_places(rows, repeated_lines(docs, id_col, text_col), "left")
-    removed = F.coalesce(F.array_sort("removed"), F.array().cast("array<int>"))
+    removed = F.coalesce(F.sort_array("removed"), F.array().cast("array<int>"))
     return out.select(F.col("id").alias(id_col), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
