@@ -45,7 +45,7 @@ def find_ranges(questions: DataFrame, key: DataFrame) -> DataFrame:
     """questions (exam, qid, low, high), key (exam, no int, value): values of all numbers joined by ', ' if every one has one."""
     each = questions.select("exam", "qid", "low", "high", F.explode(F.sequence("low", "high")).alias("no"))
     hits = each.join(key.select("exam", "no", "value"), ["exam", "no"])
-    full = hits.groupBy("exam", "qid", "low", "high").agg(F.array_sort(F.collect_list(F.struct("no", "value"))).alias("v"))
+    full = hits.groupBy("exam", "qid", "low", "high").agg(F.sort_array(F.collect_list(F.struct("no", "value"))).alias("v"))
     whole = full.where(F.size("v") == F.col("high") - F.col("low") + 1).select("exam", "qid", F.array_join(F.transform("v", lambda x: x["value"]), ", ").alias("value"))
     return questions.join(whole, ["exam", "qid"], "left")
 

@@ -56,7 +56,7 @@ def segments(rows: DataFrame, no: str, by: Names, order: Names, out: str = "segm
 
     The fold keeps the numbers of the open segment; a part (a file's key) is one array, which is small.
     """
-    items = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(no).alias("_no"), F.struct("*").alias("_row"))))
+    items = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(no).alias("_no"), F.struct("*").alias("_row"))))
     empty = F.struct(F.lit(0).alias("seg"), F.array().cast(f"array<{rows.schema[no].dataType.simpleString()}>").alias("seen"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:

@@ -39,12 +39,12 @@ def item_xml(ident: Column, title: Column, body: Column, points: Column) -> Colu
 
 def bank_files(items: DataFrame, bank: str = "bank") -> DataFrame:
     """items (bank, pos, xml) to one file a bank: path and content, items in order of pos."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "xml")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "xml")))
     content = F.concat(F.lit("<questestinterop><objectbank>"), F.array_join(F.transform(ordered, lambda x: x["xml"]), ""), F.lit("</objectbank></questestinterop>"))
     return items.groupBy(bank).agg(F.concat(F.first(bank), F.lit("/"), F.first(bank), F.lit(".xml")).alias("path"), content.alias("content"), F.count("*").alias("items"))
 
 
 def manifest(files: DataFrame, package: str = "package") -> DataFrame:
     """files (package, path) to a manifest a package: a resource element for each path, sorted."""
-    resource = F.transform(F.array_sort(F.collect_list("path")), lambda p: F.concat(F.lit('<resource href="'), escape_attribute(p), F.lit('"><file href="'), escape_attribute(p), F.lit('"/></resource>')))
+    resource = F.transform(F.sort_array(F.collect_list("path")), lambda p: F.concat(F.lit('<resource href="'), escape_attribute(p), F.lit('"><file href="'), escape_attribute(p), F.lit('"/></resource>')))
     return files.groupBy(package).agg(F.concat(F.lit("<manifest><resources>"), F.array_join(resource, ""), F.lit("</resources></manifest>")).alias("manifest"))

@@ -217,7 +217,7 @@ SELECT event_id, event_type, json_extract_string(props, '$.' || list_sort(json_k
 def event_properties(spark, sf_dir):
     """JSON objects as maps: the value of the first key and how many there are."""
     m = F.from_json("props", "map<string,string>")
-    first = F.array_sort(F.map_keys(m))[0]
+    first = F.sort_array(F.map_keys(m))[0]
     return table(spark, sf_dir, "events").select("event_id", "event_type", F.element_at(m, first).alias("first_value"), F.size(F.map_keys(m)).alias("n_keys"))
 
 
