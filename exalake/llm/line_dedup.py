@@ -19,8 +19,8 @@ from exalake.llm.text_arrays import drop, materialise, release
 
 #: Similarity as a fraction, so that bounds are exact.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Shorter lines (characters, outer blanks off) are kept whatever they repeat: headings, list marks, blank lines.
-LEAST_CHARS = 25
+#: Characters (outer blanks off) of a line that takes part: every line with a token; blank lines alone stay.
+LEAST_CHARS = 1
 #: Counters of the rarity table, whatever the size of the corpus; tokens share one by hash.  They order tokens only: what is
 #: found does not depend on them.
 RARITY_BUCKETS = 1 << 16
@@ -53,7 +53,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lines(rows: DataFrame, *more: str) -> DataFrame:
-    """A row for each line long enough: id, h, no (from 0), line."""
+    """A row for each line with a token: id, h, no (from 0), line."""
     out = rows.select("id", "h", *more, F.posexplode(F.split("text", "\n")).alias("no", "line"))
     return out.where(F.char_length(F.trim("line")) >= LEAST_CHARS)
 
@@ -175,8 +175,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_lines, n_removed, removed (places of removed lines from 0, ascending).
 
-    A line (between line feeds) of at least LEAST_CHARS characters is removed if an earlier line has a Jaccard similarity of
-    at least NUMERATOR / DENOMINATOR to it; tokens are what stands between blanks, in lower case, each counted once.  Earlier
+    A line (between line feeds) with at least one token is removed if an earlier line has a Jaccard similarity of at least
+    NUMERATOR / DENOMINATOR to it, however short it is; blank lines stay; tokens are what stands between blanks, in lower case, each counted once.  Earlier
     is by document id (nulls last), then place.  Rows with equal id and text are one document: they lose the same lines.  Of
     different texts with one id, the smaller text hash goes first.  A null text is an empty one: one line, none removed.
     """

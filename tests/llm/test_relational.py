@@ -59,6 +59,14 @@ def test_many_variants_of_one_line(spark):
     assert {r.doc_id for r in got if r.n_removed} == set(range(1, 200))
 
 
+def test_short_lines_take_part(spark):
+    docs = [(1, "Les.\n\nAll rights reserved.\na b c d"), (2, "Les.\n\nall  rights reserved.\n "), (3, "a b c d e\nles.\nx\na b c"), (4, "x\n\t\n\t")]
+    got = {r.doc_id: r.removed for r in line_dedup.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0, 2], 3: [0, 1], 4: [0, 2]}
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {1: docs[0][1], 2: "\n ", 3: "x\na b c", 4: "\t"}
+
+
 def distance(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
