@@ -78,19 +78,21 @@ def pair_names(keys: DataFrame, exams: DataFrame) -> DataFrame:
     """keys (key_id, tokens), exams (exam_id, tokens): the exam of each key by name, or null.
 
     The only exam with the same tokens; else the exam with the largest overlap (common tokens over the smaller set) if that
-    is at least 0.8, one common token has a letter and two characters, and no other exam has as much.  Only pairs that share
-    a token are made.
+    is at least 0.8, one common token has a letter and two characters, and no other exam has as much.  Equal token sets are
+    one: only distinct sets that share a token are paired, with the number of their exams and the least exam id.
     """
-    plain = lambda c: F.array_except(F.array_distinct(c), F.array(*[F.lit(w) for w in COMMON_WORDS]))
-    same = keys.withColumn("_t", F.array_join("tokens", ".")).where("_t != ''").join(exams.withColumn("_t", F.array_join("tokens", ".")).select("_t", "exam_id"), "_t")
-    same = same.groupBy("key_id").agg(F.count("*").alias("n"), F.min("exam_id").alias("exact"))
-    k = keys.select("key_id", plain("tokens").alias("a"))
-    e = exams.select("exam_id", plain("tokens").alias("b"))
-    shared = k.select("key_id", F.size("a").alias("na"), F.explode("a").alias("t")).join(e.select("exam_id", F.size("b").alias("nb"), F.explode("b").alias("t")), "t")
+    plain = lambda c: F.array_sort(F.array_except(F.array_distinct(c), F.array(*[F.lit(w) for w in COMMON_WORDS])))
+    joined = lambda d: d.withColumn("_t", F.array_join("tokens", "."))
+    same = joined(exams).where("_t != ''").groupBy("_t").agg(F.count("*").alias("n"), F.min("exam_id").alias("exact"))
+    k = joined(keys).select("key_id", "_t", plain("tokens").alias("a"))
+    e = exams.groupBy(plain("tokens").alias("b")).agg(F.count("*").alias("exams"), F.min("exam_id").alias("least"))
+    spread = k.select("a").distinct().select("a", F.explode("a").alias("t"))
+    shared = spread.join(e.select("b", "exams", "least", F.explode("b").alias("t")), "t")
     telling = (F.length("t") >= 2) & F.col("t").rlike("[a-z]")
-    scored = shared.groupBy("key_id", "exam_id").agg((F.count("*") / F.least(F.max("na"), F.max("nb"))).alias("overlap"), F.max(telling).alias("telling")).where("telling")
-    best = scored.groupBy("key_id").agg(F.max("overlap").alias("best"))
-    top = scored.join(best, "key_id").where(F.col("overlap") == F.col("best")).groupBy("key_id").agg(F.count("*").alias("ties"), F.min("exam_id").alias("likely"), F.max("best").alias("best"))
-    out = keys.select("key_id").join(same, "key_id", "left").join(top, "key_id", "left")
+    overlap = F.count("*") / F.least(F.size("a"), F.size("b"))
+    scored = shared.groupBy("a", "b").agg(overlap.alias("overlap"), F.max(telling).alias("telling"), F.first("exams").alias("exams"), F.first("least").alias("least")).where("telling")
+    best = scored.groupBy("a").agg(F.max("overlap").alias("best"))
+    top = scored.join(best, "a").where(F.col("overlap") == F.col("best")).groupBy("a").agg(F.sum("exams").alias("ties"), F.min("least").alias("likely"), F.max("best").alias("best"))
+    out = k.join(same, "_t", "left").join(top, "a", "left")
     by_overlap = F.when((F.col("best") >= 0.8) & (F.col("ties") == 1), F.col("likely"))
     return out.select("key_id", F.when(F.col("n").isNull(), by_overlap).when(F.col("n") == 1, F.col("exact")).alias("exam_id"))
