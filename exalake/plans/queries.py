@@ -122,6 +122,14 @@ def normalise_texts(spark, sf_dir):
     return docs.select("doc_id", text.slug(F.col("text")).alias("slug"), F.length(text.nfc("text")).cast("long").alias("n_chars"))
 
 
+@query(r"""
+SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(strip_accents(translate(text, 'đĐßẞ', 'dd  ')), 'đĐ', 'dd')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug,
+  length(nfc_normalize(text))::BIGINT AS n_chars FROM documents""")
+def normalise_all_texts(spark, sf_dir):
+    """normalise_texts over every document: ß is no ASCII letter, so slug() parts words at it, and the SQL does alike."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"), F.length(text.nfc("text")).cast("long").alias("n_chars"))
+
+
 @query(r"""
 SELECT page_id, length(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(13), '&#13;'))::BIGINT AS xml_chars,
   length(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'))::BIGINT AS html_chars,

@@ -28,6 +28,14 @@ def test_every_key_is_paired(spark):
     assert len(got) == spark.read.parquet(f"{sf}/customer.parquet").count() and sum(x is not None for _, x in got) > 200
 
 
+def test_every_document_is_normalised(spark):
+    sf = "/root/testdata/sf0.01"
+    _, got = same_as_sql(spark, sf, "normalise_all_texts")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sharp = {r.doc_id for r in docs.where("lang = 'de' and contains(text, 'ß')").collect()}
+    assert len(got) == docs.count() and sharp and sharp <= {i for i, *_ in got}
+
+
 def paired(keys, exams):
     plain = lambda t: set(t) - set(answer_key.COMMON_WORDS)
     for i, a in keys:
