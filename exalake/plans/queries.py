@@ -259,6 +259,16 @@ def nearest_row_above(spark, sf_dir):
     return ordered.nearest_above(marks, rows, ["sheet"], "at", "at", "row_at").select("event_id", "row_at")
 
 
+@query("""
+WITH m AS (SELECT event_id, user_id % 50 AS sheet FROM events WHERE event_id % 2 = 0), r AS (SELECT DISTINCT user_id % 50 AS sheet, event_id AS row_id FROM events WHERE event_id % 2 <> 0),
+f AS (SELECT sheet, min(row_id) AS first_id FROM r GROUP BY sheet)
+SELECT m.event_id, coalesce(r.row_id, f.first_id) AS row_at FROM m ASOF LEFT JOIN r ON m.sheet = r.sheet AND m.event_id >= r.row_id LEFT JOIN f ON m.sheet = f.sheet""")
+def nearest_row_above_all(spark, sf_dir):
+    """nearest_row_above over every event: even ones are pictures, odd ones rows."""
+    e = table(spark, sf_dir, "events").withColumn("sheet", F.col("user_id") % 50).withColumn("at", F.col("event_id"))
+    return ordered.nearest_above(e.where("event_id % 2 = 0").select("event_id", "sheet", "at"), e.where("event_id % 2 <> 0").select("sheet", "at"), ["sheet"], "at", "at", "row_at").select("event_id", "row_at")
+
+
 @query("""
 WITH c AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM c)
@@ -280,6 +290,15 @@ def nth_key_to_nth_question(spark, sf_dir):
     return answer_key.nth_to_nth(q, k).select("o_orderkey", "value")
 
 
+@query("""
+WITH n AS (SELECT o_orderkey, o_orderkey % 2 <> 0 AS q, o_custkey % 20 AS no, o_custkey % 97 AS value, row_number() OVER (PARTITION BY o_orderkey % 2 <> 0, o_custkey % 20 ORDER BY o_orderkey) AS nth FROM orders)
+SELECT q.o_orderkey, k.value FROM (SELECT * FROM n WHERE q) q LEFT JOIN (SELECT * FROM n WHERE NOT q) k ON q.no = k.no AND q.nth = k.nth""")
+def nth_key_to_nth_question_all(spark, sf_dir):
+    """nth_key_to_nth_question over every order: odd ones are questions, even ones key entries."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("no"), F.col("o_orderkey").alias("ord"), F.lit(1).alias("exam"), (F.col("o_custkey") % 97).alias("value"))
+    return answer_key.nth_to_nth(rows.where("o_orderkey % 2 <> 0").drop("value"), rows.where("o_orderkey % 2 = 0").drop("o_orderkey")).select("o_orderkey", "value")
+
+
 @query()
 def segment_conversations(spark, sf_dir):
     """Turns of a conversation in segments: a role that comes again within a segment opens the next."""
@@ -432,6 +451,16 @@ def overlapping_spans(spark, sf_dir):
     return integrity.overlaps(side("a", 0, 3), side("b", 1, 2), ["part"], 16).select("a_id", "b_id")
 
 
+@query("""
+WITH l AS (SELECT l_suppkey AS part, l_orderkey % 2 = 0 AS even, l_orderkey * 10 + l_linenumber AS id, epoch(date_trunc('day', l_shipdate))::BIGINT // 86400 AS day, l_linenumber AS n FROM lineitem)
+SELECT a.id AS a_id, b.id AS b_id FROM l a JOIN l b ON a.even AND NOT b.even AND a.part = b.part AND a.day < b.day + b.n * 2 AND b.day < a.day + a.n * 3""")
+def overlapping_spans_all(spark, sf_dir):
+    """overlapping_spans over every line: those of even orders with those of odd ones."""
+    day = F.unix_date(F.to_date("l_shipdate")).cast("long")
+    side = lambda s, at, m: table(spark, sf_dir, "lineitem").where(at).select(F.col("l_suppkey").alias("part"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias(f"{s}_id"), day.alias(f"{s}_start"), (day + F.col("l_linenumber") * m).alias(f"{s}_end"))
+    return integrity.overlaps(side("a", "l_orderkey % 2 = 0", 3), side("b", "l_orderkey % 2 <> 0", 2), ["part"], 16).select("a_id", "b_id")
+
+
 @query("""
 WITH t AS (SELECT n_nationkey, n_name, lower(n_name) AS low, substr(n_name, 1, 3) AS stem FROM nation),
 r AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN substr(n_name, 1, 3) ELSE 'none' END AS ref FROM customer JOIN nation ON c_nationkey = n_nationkey)

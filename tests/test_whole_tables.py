@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import pytest
 
 from exalake.operators import answer_key
 from exalake.plans.queries import ORACLES, QUERIES
@@ -36,6 +37,17 @@ def test_every_document_is_normalised(spark):
     assert len(got) == docs.count() and sharp and sharp <= {i for i, *_ in got}
 
 
+@pytest.mark.parametrize("name", ["overlapping_spans_all", "nearest_row_above_all", "nth_key_to_nth_question_all"])
+def test_every_row_is_on_a_side(spark, name):
+    sf = "/root/testdata/sf0.01"
+    _, got = same_as_sql(spark, sf, name)
+    if name == "overlapping_spans_all":
+        assert {i // 10 % 4 for pair in got for i in pair} == {0, 1, 2, 3}
+    else:
+        table, key = ("events", "event_id % 2 = 0") if name.startswith("nearest") else ("orders", "o_orderkey % 2 <> 0")
+        assert len(got) == spark.read.parquet(f"{sf}/{table}.parquet").where(key).count()
+
+
 def paired(keys, exams):
     plain = lambda t: set(t) - set(answer_key.COMMON_WORDS)
     for i, a in keys:
