@@ -6,8 +6,12 @@ not the whole table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Names = list[str]
 
@@ -52,21 +56,28 @@ def occurrence(rows: DataFrame, key: Names, order: Names, out: str = "nth") -> D
 
 
 def segments(rows: DataFrame, no: str, by: Names, order: Names, out: str = "segment") -> DataFrame:
-    """A new segment begins when a number comes again within the segment (state that no window has, folded over the part).
+    """A new segment begins when a number comes again within the segment (state that no window has).
 
-    The fold keeps the numbers of the open segment; a part (a file's key) is one array, which is small.
+    A part is sorted by Spark and streamed; only the numbers of the open segment are kept.  A row without a number stays in
+    the open segment.
     """
-    items = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(no).alias("_no"), F.struct("*").alias("_row"))))
-    empty = F.struct(F.lit(0).alias("seg"), F.array().cast(f"array<{rows.schema[no].dataType.simpleString()}>").alias("seen"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        again = F.array_contains(s["seen"], x["_no"])
-        seg = s["seg"] + again.cast("int")
-        return F.struct(seg.alias("seg"), F.when(again, F.array(x["_no"])).otherwise(F.array_append(s["seen"], x["_no"])).alias("seen"), F.array_append(s["out"], seg).alias("out"))
 
-    folded = rows.groupBy(*by).agg(items.alias("_items")).withColumn("_seg", F.aggregate("_items", empty, step)["out"])
-    each = folded.select(F.explode(F.arrays_zip("_items", "_seg")).alias("_x"))
-    return each.select("_x._items._row.*", (F.col("_x._seg") + 1).alias(out))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, seg = None, set(), 0
+        for batch in batches:
+            said = []
+            for *key, x in zip(*[batch.column(c).to_pylist() for c in (*by, no)], strict=True):
+                if key != now:
+                    now, seen, seg = key, set(), 1
+                elif x in seen:
+                    seen, seg = set(), seg + 1
+                if x is not None:
+                    seen.add(x)
+                said.append(seg)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.int32())], names=[*batch.schema.names, out])
+
+    rest = [c for c in rows.columns if c not in (*by, *order, no)]
+    return rows.repartition(*by).sortWithinPartitions(*by, *order, no, *rest).mapInArrow(fold, T.StructType([*rows.schema, T.StructField(out, T.IntegerType())]))
 
 
 def equal_split(rows: DataFrame, total: str, by: Names, order: Names, out: str, places: int = 4) -> DataFrame:

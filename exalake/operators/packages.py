@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from exalake.functions.text import escape_attribute, escape_xml
 
+#: Characters of a part of a file; thousands of parts fit one Arrow batch.
+PART_CHARS = 1 << 14
+
 
 def item_ident(bank: Column, pos: Column, part: Column | None = None) -> Column:
     """<bank>_q<NN> with the 1-based place in at least two digits, _s<k> for one part of a split question."""
@@ -37,14 +45,52 @@ def item_xml(ident: Column, title: Column, body: Column, points: Column) -> Colu
     return F.concat(F.lit('<item ident="'), escape_attribute(ident), F.lit('" title="'), escape_attribute(title), F.lit('" points="'), points.cast("string"), F.lit('"><presentation>'), escape_xml(body), F.lit("</presentation></item>"))
 
 
+def file_parts(pieces: DataFrame, by: str, order: list[str], piece: Column, head: str, tail: str) -> DataFrame:
+    """(by, part_no, content, items): head, pieces in order and tail, cut where the running length passes PART_CHARS.
+
+    A part is at most one piece longer; put together by ascending part_no, parts give the file.
+    """
+    w = Window.partitionBy(by).orderBy(*order)
+    rows = pieces.select(by, *order, F.coalesce(piece, F.lit("")).alias("_piece"))
+    start = F.sum(F.length("_piece").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.length("_piece")
+    ends = F.lead(F.lit(1)).over(w).isNull()
+    text = F.concat(F.when(F.row_number().over(w) == 1, head).otherwise(""), "_piece", F.when(ends, tail).otherwise(""))
+    placed = rows.select(by, *order, F.floor(start / PART_CHARS).alias("part_no"), text.alias("_text"))
+    sorted_ = F.sort_array(F.collect_list(F.struct(*order, "_text")))
+    return placed.groupBy(by, "part_no").agg(F.array_join(F.transform(sorted_, lambda x: x["_text"]), "").alias("content"), F.count("*").alias("items"))
+
+
 def bank_files(items: DataFrame, bank: str = "bank") -> DataFrame:
-    """items (bank, pos, xml) to one file a bank: path and content, items in order of pos."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "xml")))
-    content = F.concat(F.lit("<questestinterop><objectbank>"), F.array_join(F.transform(ordered, lambda x: x["xml"]), ""), F.lit("</objectbank></questestinterop>"))
-    return items.groupBy(bank).agg(F.concat(F.first(bank), F.lit("/"), F.first(bank), F.lit(".xml")).alias("path"), content.alias("content"), F.count("*").alias("items"))
+    """items (bank, pos, xml) to a file a bank, in parts: bank, path, part_no, content, items; items in order of pos."""
+    parts = file_parts(items, bank, ["pos", "xml"], F.col("xml"), "<questestinterop><objectbank>", "</objectbank></questestinterop>")
+    return parts.select(bank, F.concat(F.col(bank), F.lit("/"), F.col(bank), F.lit(".xml")).alias("path"), "part_no", "content", "items")
+
+
+def file_digests(parts: DataFrame, bank: str = "bank") -> DataFrame:
+    """bank_files to one row a file: bank, path, digest (MD5) and items; parts are streamed in order, none are kept."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, md5, items, begun = None, None, 0, False
+        row = lambda: pa.RecordBatch.from_pylist([{bank: now[0], "path": now[1], "digest": md5.hexdigest(), "items": items}], schema=out)
+        for batch in batches:
+            out = pa.schema([batch.schema.field(bank), batch.schema.field("path"), pa.field("digest", pa.string()), pa.field("items", pa.int64())])
+            for b, path, content, n in zip(*[batch.column(c).to_pylist() for c in (bank, "path", "content", "items")], strict=True):
+                if not begun or b != now[0]:
+                    if begun:
+                        yield row()
+                    now, md5, items, begun = (b, path), hashlib.md5(), 0, True
+                md5.update(content.encode())
+                items += n
+        if begun:
+            yield row()
+
+    kind = T.StructType([parts.schema[bank], parts.schema["path"], T.StructField("digest", T.StringType()), T.StructField("items", T.LongType())])
+    return parts.select(bank, "path", "part_no", "content", "items").repartition(bank).sortWithinPartitions(bank, "part_no").mapInArrow(fold, kind)
 
 
 def manifest(files: DataFrame, package: str = "package") -> DataFrame:
-    """files (package, path) to a manifest a package: a resource element for each path, sorted."""
-    resource = F.transform(F.sort_array(F.collect_list("path")), lambda p: F.concat(F.lit('<resource href="'), escape_attribute(p), F.lit('"><file href="'), escape_attribute(p), F.lit('"/></resource>')))
-    return files.groupBy(package).agg(F.concat(F.lit("<manifest><resources>"), F.array_join(resource, ""), F.lit("</resources></manifest>")).alias("manifest"))
+    """files (package, path) to a manifest a package, in parts: package, part_no, manifest; a resource for each path, sorted."""
+    p = escape_attribute(F.col("path"))
+    resource = F.when(F.col("path").isNotNull(), F.concat(F.lit('<resource href="'), p, F.lit('"><file href="'), p, F.lit('"/></resource>')))
+    parts = file_parts(files, package, ["path"], resource, "<manifest><resources>", "</resources></manifest>")
+    return parts.select(package, "part_no", F.col("content").alias("manifest"))

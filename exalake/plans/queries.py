@@ -565,7 +565,7 @@ def bank_files(spark, sf_dir):
     """A file of items for each bank, in order."""
     items = packages.number_items(table(spark, sf_dir, "part").withColumn("bank", F.col("p_brand")), "bank", ["p_partkey"])
     xml = packages.item_xml(F.col("ident"), F.col("p_name"), F.col("p_name"), F.col("p_size"))
-    return packages.bank_files(items.select("bank", "pos", xml.alias("xml"))).select("bank", "path", F.md5(F.col("content").cast("binary")).alias("digest"), "items")
+    return packages.file_digests(packages.bank_files(items.select("bank", "pos", xml.alias("xml"))))
 
 
 @query("""
