@@ -5,9 +5,10 @@ similarity reaches the threshold then share one of their first few tokens (the p
 by length, by position and by a parity bitmap (each bit that differs is a token that differs), then verified on the whole
 sets.  A line goes if a line before it, by document id and place, is similar to it.
 
-Only whether there is a line before matters, so large groups are never spread into all pairs: copies of a line meet by its
-hash; where many lines share a prefix token, each first meets the earliest of them, and only lines still without a match
-meet the rest.
+Lines of one token set are one row from the start, numbered in the order of the lines.  Lines that share a token which
+stands in few prefixes meet there.  A token of many prefixes would pair them all: there each line first meets the earliest
+line of the token and of the token and its length, and those still without a match meet the others by two tokens, the
+frequent one and a later one of the prefix (one longer for this), which similar lines share as well.
 """
 
 from __future__ import annotations
@@ -15,29 +16,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exalake.llm.text_arrays import drop, materialise, release
+from exalake.llm.text_arrays import drop, materialise
 
 #: Similarity as a fraction, so that bounds are exact.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Characters (outer blanks off) of a line that takes part: every line with a token; blank lines alone stay.
 LEAST_CHARS = 1
-#: Counters of the rarity table, whatever the size of the corpus; tokens share one by hash.  They order tokens only: what is
-#: found does not depend on them.
-RARITY_BUCKETS = 1 << 16
-#: Lines that share a token all meet at once if they are so few.
-FEW = 32
+#: Places of the rarity table, whatever the size of the corpus.  A place holds the highest exact count among its tokens, so a
+#: token can pass for more frequent than it is, never for rarer.  They order tokens only: what is found does not depend on them.
+RARITY_PLACES = 1 << 17
+#: Lines that share a prefix token all meet at once if they are so few.
+FEW = 128
 #: Bits of the filter that keeps most documents without candidates out of the verification.
 FILTER_BITS = 1 << 22
-_HASH_BITS = 54
-
-
-def tokens(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), " "), "")
+_HASH_BITS = 56
 
 
 def one_bit(x: Column) -> Column:
     """A long with the bit set that the last six bits of x name."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int"))  # a shift counts modulo 64
 
 
 def dense(counted: DataFrame, key: str, value: str, size: int, kind: str) -> Column:
@@ -52,67 +49,50 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def lines(rows: DataFrame, *more: str) -> DataFrame:
+def lines(rows: DataFrame) -> DataFrame:
     """A row for each line with a token: id, h, no (from 0), line."""
-    out = rows.select("id", "h", *more, F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    out = rows.select("id", "h", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     return out.where(F.char_length(F.trim("line")) >= LEAST_CHARS)
 
 
-def same_line(a: str, b: str) -> Column:
-    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.h") == F.col(f"{b}.h")) & (F.col(f"{a}.no") == F.col(f"{b}.no"))
-
-
-def before(a: str, b: str) -> Column:
-    """Whether line a stands before line b: by id (nulls last), then text hash, then place."""
-    ai, bi = F.col(f"{a}.id"), F.col(f"{b}.id")
-    later = (F.col(f"{a}.h") < F.col(f"{b}.h")) | ((F.col(f"{a}.h") == F.col(f"{b}.h")) & (F.col(f"{a}.no") < F.col(f"{b}.no")))
-    return F.coalesce(ai < bi, ai.isNotNull() & bi.isNull()) | (ai.eqNullSafe(bi) & later)
-
-
-def by_document(rows: DataFrame, name: str) -> DataFrame:
-    """(d_id, d_h, name): the places of each document's lines."""
-    return rows.groupBy(F.col("id").alias("d_id"), F.col("h").alias("d_h")).agg(F.collect_set("no").alias(name))
-
-
-def with_places(rows: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    return rows.join(places, rows["id"].eqNullSafe(places["d_id"]) & (rows["h"] == places["d_h"]), how).drop("d_id", "d_h")
-
+def hashed(line: Column) -> Column:
+    """The distinct tokens of a line as hashes."""
+    keys = F.array_distinct(F.transform(F.split(F.lower(line), " "), lambda t: F.xxhash64(t)))
+    return F.array_remove(keys, F.xxhash64(F.lit("")))
 
-def exact_repeats(rows: DataFrame) -> DataFrame:
-    """(id, h, no) of lines that repeat an earlier line word for word."""
-    keyed = lines(rows).select("id", "h", "no", F.xxhash64("line").alias("k"), F.hash("line").alias("k2"))
-    firsts = keyed.groupBy("k", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("nul"), "id", "h", "no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = keyed.join(firsts, ["k", "k2"])
-    f = F.col("first")
-    return again.where(~(F.col("id").eqNullSafe(f["id"]) & (F.col("h") == f["h"]) & (F.col("no") == f["no"]))).select("id", "h", "no").distinct()
 
-
-def _bucket(hashed: Column) -> Column:
-    return hashed.bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")).cast("int")
+def _place(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(RARITY_PLACES - 1).cast("long")).cast("int")
 
 
 def rarity(rows: DataFrame) -> Column:
-    """How frequent each bucket of token hashes is, in half powers of two: one number a bucket, a constant of fixed size."""
-    each = lines(rows).select(F.explode(tokens(F.col("line"))).alias("t")).select(_bucket(F.xxhash64("t")).alias("b"))
-    table = bytearray(RARITY_BUCKETS)
-    for b, n in each.groupBy("b").agg(F.floor(2 * F.log2(F.count("*") + 1)).alias("n")).collect():  # a row a bucket at most
-        table[b] = n
+    """How frequent each place of token hashes is, in half powers of two: one number a place, a constant of fixed size.
+
+    Every token of every text is counted; line feeds are blanks here.
+    """
+    words = rows.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("t"))
+    counts = words.select(F.xxhash64("t").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    table = bytearray(RARITY_PLACES)
+    for at, n in counts.groupBy(_place(F.col("k")).alias("at")).agg(F.floor(2 * F.log2(F.max("n"))).cast("int").alias("n")).collect():  # a row a place at most
+        table[at] = n
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")  # folded to a constant
 
 
-def token_sets(rows: DataFrame) -> DataFrame:
-    """id, h, no, keys: the distinct tokens of each line of rows as hashes."""
-    return rows.select("id", "h", "no", F.array_distinct(F.transform(tokens(F.col("line")), lambda t: F.xxhash64(t))).alias("keys"))
+def line_sets(rows: DataFrame, rare: Column) -> DataFrame:
+    """A row for each line: id, h, no, s1 and s2 (its token set), n (tokens), prefix (the first tokens and one more), bits (parity of hashed tokens)."""
+    low = F.lit((1 << _HASH_BITS) - 1).cast("long")
+    sets = lines(rows).select("id", "h", "no", hashed(F.col("line")).alias("keys"))
+    ranked = F.sort_array(F.transform("keys", lambda k: F.shiftleft(F.get(rare, _place(k)).cast("long"), _HASH_BITS).bitwiseOR(k.bitwiseAND(low))))
+    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(one_bit(F.shiftrightunsigned(k, 57))))
+    sum_of = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(k))
+    sets = sets.select("id", "h", "no", ranked.alias("ranked"), bits.alias("bits"), sum_of.alias("s2"))
+    n = F.size("ranked")
+    return sets.select("id", "h", "no", F.xxhash64("ranked").alias("s1"), "s2", n.alias("n"), F.slice("ranked", F.lit(1), _first(n) + 1).alias("prefix"), "bits")
 
 
-def prefixes(sets: DataFrame, rare: Column) -> DataFrame:
-    """A row for each token of each line's prefix: token, id, h, no, n (tokens), pos, bits (parity of hashed tokens)."""
-    low = F.lit((1 << _HASH_BITS) - 1).cast("long")
-    ranked = F.transform("keys", lambda k: F.shiftleft(F.get(rare, _bucket(k)).cast("long"), _HASH_BITS).bitwiseOR(k.bitwiseAND(low)))
-    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, 40).cast("int"))))  # a shift counts modulo 64
-    n = F.size("keys")
-    first = (n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1).cast("int")
-    return sets.where(n > 0).select("id", "h", "no", n.alias("n"), bits.alias("bits"), F.posexplode(F.slice(F.sort_array(ranked), F.lit(1), first)).alias("pos", "token"))
+def _first(n: Column) -> Column:
+    """Tokens of the prefix of a set of n."""
+    return (n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1).cast("int")
 
 
 def may_match(a: str, b: str) -> Column:
@@ -122,54 +102,81 @@ def may_match(a: str, b: str) -> Column:
     length = (an * NUMERATOR <= bn * DENOMINATOR) & (bn * NUMERATOR <= an * DENOMINATOR)
     place = F.least(an - F.col(f"{a}.pos"), bn - F.col(f"{b}.pos")) >= need
     parity = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= an + bn - 2 * need
-    return length & place & parity
+    return (F.col(f"{b}.u") < F.col(f"{a}.u")) & length & place & parity
 
 
-def _meet(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Pairs of a line and one before it that share a prefix token and pass the filters."""
-    joined = later.alias("a").join(earlier.alias("b"), (F.col("a.token") == F.col("b.token")) & before("b", "a") & may_match("a", "b"))
-    return joined.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("id", "h", "no")])
+def meet(later: DataFrame, earlier: DataFrame, *keys: str) -> DataFrame:
+    """(a, b): pairs of a line and one before it that agree in keys and pass the filters."""
+    both = later.alias("x").join(earlier.alias("y"), [*[F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys], may_match("x", "y")])
+    return both.select(F.col("x.u").alias("a"), F.col("y.u").alias("b"))
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id, h, no) of the a sides whose token set is similar to that of b.
+def earliest(rows: DataFrame, *keys: str) -> DataFrame:
+    """The first line of each group of keys, a row a group; the rows of a group are combined where they are."""
+    rest = [c for c in ("u", "n", "pos", "bits") if c not in keys]
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("e")).select(*keys, *[F.col(f"e.{c}").alias(c) for c in rest])
+
+
+def verified(pairs: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
+    """(u) of the a sides whose token set is similar to that of b; places: (u, id, h, no) of each set.
 
     Sets are built again for lines in pairs only; a fixed-size bitmap of their documents keeps most other texts from moving.
     """
-    sides = [pairs.select(*[F.col(f"{s}_{c}").alias(c) for c in ("id", "h", "no")]) for s in ("a", "b")]
-    wanted = materialise(by_document(sides[0].unionByName(sides[1]), "nos"), "wanted")
+    some = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
+    wanted = places.join(some, "u").groupBy(F.col("id").alias("d_id"), F.col("h").alias("d_h")).agg(F.collect_list(F.struct("no", "u")).alias("at"))
+    wanted = materialise(wanted, "wanted")
     spot = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(FILTER_BITS))
     words = wanted.select(F.pmod(F.xxhash64("d_h", F.lit(1)), F.lit(FILTER_BITS)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(one_bit(F.col("s"))).alias("m"))
     bitmap = dense(words, "w", "m", FILTER_BITS // 64, "bigint")
     near = rows.where(F.element_at(bitmap, (F.shiftright(spot, 6) + 1).cast("int")).bitwiseAND(one_bit(spot)) != 0)
-    some = lines(with_places(near, wanted, "inner"), "nos").where(F.array_contains("nos", F.col("no")))
-    sets = materialise(token_sets(some).distinct(), "sets")
-    a, b, p = sets.alias("a"), sets.alias("b"), pairs.alias("p")
-    on = lambda s: F.col(f"p.{s}_id").eqNullSafe(F.col(f"{s}.id")) & (F.col(f"p.{s}_h") == F.col(f"{s}.h")) & (F.col(f"p.{s}_no") == F.col(f"{s}.no"))
-    both = p.join(a, on("a")).join(b, on("b")).select("p.*", F.col("a.keys").alias("x"), F.col("b.keys").alias("y"))
+    texts = near.join(wanted, near["id"].eqNullSafe(wanted["d_id"]) & (near["h"] == wanted["d_h"]))
+    places_of = texts.select(F.split("text", "\n").alias("all"), "at").select("all", F.explode("at").alias("one"))
+    sets = places_of.select(F.col("one.u").alias("u"), F.get("all", F.col("one.no")).alias("line")).select("u", hashed(F.col("line")).alias("keys"))
+    sets = materialise(sets.groupBy("u").agg(F.first("keys").alias("keys")), "sets")  # a repeated row gives its lines again
+    both = pairs.join(sets.select(F.col("u").alias("a"), F.col("keys").alias("x")), "a").join(sets.select(F.col("u").alias("b"), F.col("keys").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    similar = common * DENOMINATOR >= (F.size("x") + F.size("y") - common) * NUMERATOR
-    return both.where(similar).select(F.col("a_id").alias("id"), F.col("a_h").alias("h"), F.col("a_no").alias("no")).distinct()
+    found = materialise(both.where(common * DENOMINATOR >= (F.size("x") + F.size("y") - common) * NUMERATOR).select(F.col("a").alias("u")).distinct(), "found")
+    drop(sets), drop(wanted)
+    return found
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d_id, d_h, removed): for each document with any, the places of lines that an earlier line is similar to."""
     rows = numbered(docs, id_col, text_col)
-    exact = materialise(exact_repeats(rows), "exact")
-    firsts = lines(with_places(rows, by_document(exact, "gone"), "left"), "gone").where(F.coalesce(~F.array_contains("gone", F.col("no")), F.lit(True)))
-    prefix = materialise(prefixes(token_sets(firsts), rarity(rows)), "prefixes")
-    shared = prefix.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("least_id")).where("c > 1")
-    release(docs.sparkSession)
-    crowded = materialise(prefix.join(shared, "token"), "crowded")
-    drop(prefix)
-    few, many = crowded.where(F.col("c") <= FEW), crowded.where(F.col("c") > FEW)
-    met = _meet(few, few).unionByName(_meet(many, many.where(F.col("id").eqNullSafe(F.col("least_id")))))
-    found = materialise(verified(materialise(met.distinct(), "pairs"), rows), "found")
-    left = many.alias("a").join(found.alias("f"), same_line("a", "f"), "left_anti")
-    rest = materialise(_meet(left, many.where(~F.col("id").eqNullSafe(F.col("least_id")))).distinct(), "pairs")
+    every = materialise(line_sets(rows, rarity(rows)), "lines")
+    own = F.struct(F.col("id").isNull().alias("nul"), "id", "h", "no")
+    firsts = every.groupBy("s1", "s2").agg(F.min(own).alias("e"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    order = [F.col("e.nul"), F.col("e.id"), F.col("e.h"), F.col("e.no")]
+    firsts = firsts.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("u"), "s1", "s2", "e.id", "e.h", "e.no", "n", "prefix", "bits")
+    sets = materialise(firsts, "firsts")
+    first = sets.select("s1", "s2", F.col("id").alias("f_id"), F.col("h").alias("f_h"), F.col("no").alias("f_no"))
+    again = every.select("s1", "s2", "id", "h", "no").join(first, ["s1", "s2"])
+    exact = materialise(again.where(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")) & (F.col("no") == F.col("f_no")))).select("id", "h", "no").distinct(), "exact")
+    drop(every)
+
+    starts = sets.select("u", "n", "bits", F.posexplode(F.slice("prefix", F.lit(1), _first(F.col("n")))).alias("pos", "token"))
+    hot = materialise(starts.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > FEW).select("token"), "hot")
+    few = starts.join(hot, "token", "left_anti")
+    many = sets.select("u", "n", "bits", "prefix", F.posexplode(F.slice("prefix", F.lit(1), _first(F.col("n")))).alias("pos", "token")).join(hot, "token")
+    many = materialise(many.select("u", "n", "bits", "pos", "token", F.slice("prefix", F.col("pos") + 2, F.size("prefix")).alias("later")), "many")
+    met = meet(few, few, "token").unionByName(meet(many, earliest(many, "token"), "token")).unionByName(meet(many, earliest(many, "token", "n"), "token", "n"))
+    met = materialise(met.distinct(), "pairs")
+    places = sets.select("u", "id", "h", "no")
+    found = verified(met, places, rows)
+    two = many.select("u", "n", "bits", "pos", "token", F.explode("later").alias("token2"))
+    rest = materialise(meet(two.join(found, "u", "left_anti"), two, "token", "token2").distinct().join(met, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        found = found.unionByName(verified(rest, rows))
-    return by_document(exact.unionByName(found), "removed")
+        found = found.unionByName(verified(rest, places, rows))
+    gone = exact.unionByName(places.join(found, "u", "left_semi").select("id", "h", "no"))
+    out = materialise(gone.groupBy(F.col("id").alias("d_id"), F.col("h").alias("d_h")).agg(F.sort_array(F.collect_set("no")).alias("removed")), "removed")
+    for table in (many, met, rest, hot, exact, sets):
+        drop(table)
+    return out
+
+
+def with_removed(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows with id and h, and the removed places of each (null if none)."""
+    return rows.join(gone, rows["id"].eqNullSafe(gone["d_id"]) & (rows["h"] == gone["d_h"]), "left").drop("d_id", "d_h")
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,10 +186,11 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     NUMERATOR / DENOMINATOR to it, however short it is; blank lines stay; tokens are what stands between blanks, in lower case, each counted once.  Earlier
     is by document id (nulls last), then place.  Rows with equal id and text are one document: they lose the same lines.  Of
     different texts with one id, the smaller text hash goes first.  A null text is an empty one: one line, none removed.
+    Other columns are ignored, whatever their names.
     """
     rows = numbered(docs, id_col, text_col).select("id", "h", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-    out = with_places(rows, repeated_lines(docs, id_col, text_col), "left")
-    removed = F.coalesce(F.sort_array("removed"), F.array().cast("array<int>"))
+    out = with_removed(rows, repeated_lines(docs, id_col, text_col))
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select(F.col("id").alias(id_col), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
@@ -190,6 +198,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs, all columns, without the lines of line_report; texts that lose none stay as they are, null ones too."""
     gone = repeated_lines(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["d_id"]) & (F.xxhash64(text) == gone["d_h"]), "left")
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("removed", i))
-    return out.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
+    out = with_removed(rows, gone).withColumn("lines", F.split(F.col("row")[text_col], "\n"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed"), lambda i: F.get("lines", i))
+    cut = F.when(F.col("removed").isNull(), F.col("row")[text_col]).otherwise(F.array_join(kept, "\n"))
+    return out.select(*[cut.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
