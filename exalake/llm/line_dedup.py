@@ -25,8 +25,8 @@ LEAST_CHARS = 1
 #: Places of the rarity table, whatever the size of the corpus.  A place holds the highest exact count among its tokens, so a
 #: token can pass for more frequent than it is, never for rarer.  They order tokens only: what is found does not depend on them.
 RARITY_PLACES = 1 << 17
-#: Lines that share a prefix token all meet at once if they are so few.
-FEW = 128
+#: Tokens from this rarity class on (half powers of two: about 1,000 occurrences) count as frequent; lines of others all meet at once.
+FEW_CLASS = 20
 #: Bits of the filter that keeps most documents without candidates out of the verification.
 FILTER_BITS = 1 << 22
 _HASH_BITS = 56
@@ -79,15 +79,14 @@ def rarity(rows: DataFrame) -> Column:
 
 
 def line_sets(rows: DataFrame, rare: Column) -> DataFrame:
-    """A row for each line: id, h, no, s1 and s2 (its token set), n (tokens), prefix (the first tokens and one more), bits (parity of hashed tokens)."""
+    """A row for each line: id, h, no, s1 and s2 (its tokens in order), n (tokens), prefix (the first tokens and one more), bits and bits2 (parity of hashed tokens)."""
     low = F.lit((1 << _HASH_BITS) - 1).cast("long")
     sets = lines(rows).select("id", "h", "no", hashed(F.col("line")).alias("keys"))
-    ranked = F.sort_array(F.transform("keys", lambda k: F.shiftleft(F.get(rare, _place(k)).cast("long"), _HASH_BITS).bitwiseOR(k.bitwiseAND(low))))
-    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(one_bit(F.shiftrightunsigned(k, 57))))
-    sum_of = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(k))
-    sets = sets.select("id", "h", "no", ranked.alias("ranked"), bits.alias("bits"), sum_of.alias("s2"))
-    n = F.size("ranked")
-    return sets.select("id", "h", "no", F.xxhash64("ranked").alias("s1"), "s2", n.alias("n"), F.slice("ranked", F.lit(1), _first(n) + 1).alias("prefix"), "bits")
+    ranked = F.sort_array(F.transform("keys", lambda k: F.shiftleft(F.coalesce(F.get(rare, _place(k)).cast("long"), F.lit(0).cast("long")), _HASH_BITS).bitwiseOR(k.bitwiseAND(low))))
+    none = F.lit(0).cast("long")
+    half = lambda mine: F.aggregate("keys", none, lambda acc, k: F.when(mine(k), acc.bitwiseXOR(one_bit(F.shiftrightunsigned(k, 57)))).otherwise(acc))
+    n = F.size("keys")
+    return sets.select("id", "h", "no", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), n.alias("n"), F.slice(ranked, F.lit(1), _first(n) + 1).alias("prefix"), half(lambda k: k >= none).alias("bits"), half(lambda k: k < none).alias("bits2"))
 
 
 def _first(n: Column) -> Column:
@@ -97,33 +96,33 @@ def _first(n: Column) -> Column:
 
 def may_match(a: str, b: str) -> Column:
     """Length, position and parity filters: false only for pairs that can't reach the similarity."""
-    an, bn = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = F.ceil((an + bn) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    an, bn, whole = F.col(f"{a}.n"), F.col(f"{b}.n"), NUMERATOR + DENOMINATOR
+    differ = [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("bits", "bits2")]
+    parity = (differ[0] + differ[1]) * whole <= (an + bn) * (DENOMINATOR - NUMERATOR)
     length = (an * NUMERATOR <= bn * DENOMINATOR) & (bn * NUMERATOR <= an * DENOMINATOR)
-    place = F.least(an - F.col(f"{a}.pos"), bn - F.col(f"{b}.pos")) >= need
-    parity = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= an + bn - 2 * need
-    return (F.col(f"{b}.u") < F.col(f"{a}.u")) & length & place & parity
+    place = F.least(an - F.col(f"{a}.pos"), bn - F.col(f"{b}.pos")) * whole >= (an + bn) * NUMERATOR
+    return parity & length & place
 
 
 def meet(later: DataFrame, earlier: DataFrame, *keys: str) -> DataFrame:
     """(a, b): pairs of a line and one before it that agree in keys and pass the filters."""
-    both = later.alias("x").join(earlier.alias("y"), [*[F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys], may_match("x", "y")])
+    both = later.alias("x").join(earlier.alias("y"), [*[F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys], F.col("y.u") < F.col("x.u"), may_match("x", "y")])
     return both.select(F.col("x.u").alias("a"), F.col("y.u").alias("b"))
 
 
 def earliest(rows: DataFrame, *keys: str) -> DataFrame:
     """The first line of each group of keys, a row a group; the rows of a group are combined where they are."""
-    rest = [c for c in ("u", "n", "pos", "bits") if c not in keys]
+    rest = [c for c in ("u", "n", "pos", "bits", "bits2") if c not in keys]
     return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("e")).select(*keys, *[F.col(f"e.{c}").alias(c) for c in rest])
 
 
 def verified(pairs: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
-    """(u) of the a sides whose token set is similar to that of b; places: (u, id, h, no) of each set.
+    """(u) of the a sides whose token set is similar to that of b; places: (u, own), own the place of each set.
 
     Sets are built again for lines in pairs only; a fixed-size bitmap of their documents keeps most other texts from moving.
     """
     some = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
-    wanted = places.join(some, "u").groupBy(F.col("id").alias("d_id"), F.col("h").alias("d_h")).agg(F.collect_list(F.struct("no", "u")).alias("at"))
+    wanted = places.join(some, "u").groupBy(F.col("own.id").alias("d_id"), F.col("own.h").alias("d_h")).agg(F.collect_list(F.struct("own.no", "u")).alias("at"))
     wanted = materialise(wanted, "wanted")
     spot = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(FILTER_BITS))
     words = wanted.select(F.pmod(F.xxhash64("d_h", F.lit(1)), F.lit(FILTER_BITS)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(one_bit(F.col("s"))).alias("m"))
@@ -131,7 +130,7 @@ def verified(pairs: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
     near = rows.where(F.element_at(bitmap, (F.shiftright(spot, 6) + 1).cast("int")).bitwiseAND(one_bit(spot)) != 0)
     texts = near.join(wanted, near["id"].eqNullSafe(wanted["d_id"]) & (near["h"] == wanted["d_h"]))
     places_of = texts.select(F.split("text", "\n").alias("all"), "at").select("all", F.explode("at").alias("one"))
-    sets = places_of.select(F.col("one.u").alias("u"), F.get("all", F.col("one.no")).alias("line")).select("u", hashed(F.col("line")).alias("keys"))
+    sets = places_of.select("one.u", F.get("all", F.col("one.no")).alias("line")).select("u", hashed(F.col("line")).alias("keys"))
     sets = materialise(sets.groupBy("u").agg(F.first("keys").alias("keys")), "sets")  # a repeated row gives its lines again
     both = pairs.join(sets.select(F.col("u").alias("a"), F.col("keys").alias("x")), "a").join(sets.select(F.col("u").alias("b"), F.col("keys").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -140,43 +139,43 @@ def verified(pairs: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
     return found
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d_id, d_h, removed): for each document with any, the places of lines that an earlier line is similar to."""
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(d_id, d_h, kept): for each document with any, the places of lines that no earlier line is similar to.
+
+    Of each line's partners the one that shares most of its prefix is verified first, the others only where that one fails.
+    """
     rows = numbered(docs, id_col, text_col)
     every = materialise(line_sets(rows, rarity(rows)), "lines")
-    own = F.struct(F.col("id").isNull().alias("nul"), "id", "h", "no")
-    firsts = every.groupBy("s1", "s2").agg(F.min(own).alias("e"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    order = [F.col("e.nul"), F.col("e.id"), F.col("e.h"), F.col("e.no")]
-    firsts = firsts.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("u"), "s1", "s2", "e.id", "e.h", "e.no", "n", "prefix", "bits")
-    sets = materialise(firsts, "firsts")
-    first = sets.select("s1", "s2", F.col("id").alias("f_id"), F.col("h").alias("f_h"), F.col("no").alias("f_no"))
-    again = every.select("s1", "s2", "id", "h", "no").join(first, ["s1", "s2"])
-    exact = materialise(again.where(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")) & (F.col("no") == F.col("f_no")))).select("id", "h", "no").distinct(), "exact")
+    own = F.struct(F.col("id").isNull().alias("nul"), "id", "h", "no").alias("own")
+    firsts = every.select("s1", "s2", own, "n", "prefix", "bits", "bits2").groupBy("s1", "s2").agg(F.min("own").alias("own"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "bits2")])
+    sets = materialise(firsts.repartitionByRange("own").sortWithinPartitions("own").select(F.monotonically_increasing_id().alias("u"), "own", "n", "prefix", "bits", "bits2"), "firsts")
     drop(every)
 
-    starts = sets.select("u", "n", "bits", F.posexplode(F.slice("prefix", F.lit(1), _first(F.col("n")))).alias("pos", "token"))
-    hot = materialise(starts.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > FEW).select("token"), "hot")
-    few = starts.join(hot, "token", "left_anti")
-    many = sets.select("u", "n", "bits", "prefix", F.posexplode(F.slice("prefix", F.lit(1), _first(F.col("n")))).alias("pos", "token")).join(hot, "token")
-    many = materialise(many.select("u", "n", "bits", "pos", "token", F.slice("prefix", F.col("pos") + 2, F.size("prefix")).alias("later")), "many")
+    starts = sets.select("u", "n", "bits", "bits2", "prefix", F.posexplode(F.slice("prefix", F.lit(1), _first(F.col("n")))).alias("pos", "token"))
+    often = F.shiftright("token", _HASH_BITS) >= FEW_CLASS
+    few = starts.where(~often).select("u", "n", "bits", "bits2", "pos", "token")
+    many = materialise(starts.where(often).select("u", "n", "bits", "bits2", "pos", "token", F.slice("prefix", F.col("pos") + 2, F.size("prefix")).alias("later")), "many")
     met = meet(few, few, "token").unionByName(meet(many, earliest(many, "token"), "token")).unionByName(meet(many, earliest(many, "token", "n"), "token", "n"))
-    met = materialise(met.distinct(), "pairs")
-    places = sets.select("u", "id", "h", "no")
-    found = verified(met, places, rows)
-    two = many.select("u", "n", "bits", "pos", "token", F.explode("later").alias("token2"))
-    rest = materialise(meet(two.join(found, "u", "left_anti"), two, "token", "token2").distinct().join(met, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        found = found.unionByName(verified(rest, places, rows))
-    gone = exact.unionByName(places.join(found, "u", "left_semi").select("id", "h", "no"))
-    out = materialise(gone.groupBy(F.col("id").alias("d_id"), F.col("h").alias("d_h")).agg(F.sort_array(F.collect_set("no")).alias("removed")), "removed")
-    for table in (many, met, rest, hot, exact, sets):
+    met = materialise(met.groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
+    best = met.groupBy("a").agg(F.max_by("b", "shared").alias("b"))
+    places = sets.select("u", "own")
+    found = verified(materialise(best, "best"), places, rows)
+    two = many.select("u", "n", "bits", "bits2", "pos", "token", F.explode("later").alias("token2"))
+    rest = met.select("a", "b").unionByName(meet(two.join(found, "u", "left_anti"), two, "token", "token2"))
+    rest = materialise(rest.join(found.withColumnRenamed("u", "a"), "a", "left_anti").distinct(), "rest")
+    found = found.unionByName(verified(rest, places, rows))
+    kept = places.join(found, "u", "left_anti")
+    out = materialise(kept.groupBy(F.col("own.id").alias("d_id"), F.col("own.h").alias("d_h")).agg(F.collect_set("own.no").alias("kept")), "kept")
+    for table in (many, met, rest, sets):
         drop(table)
     return out
 
 
-def with_removed(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows with id and h, and the removed places of each (null if none)."""
-    return rows.join(gone, rows["id"].eqNullSafe(gone["d_id"]) & (rows["h"] == gone["d_h"]), "left").drop("d_id", "d_h")
+def with_removed(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """rows of (id, h, lines, ...) with removed: the places of lines with a token that are not kept, ascending."""
+    worded = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.char_length(F.trim(F.get("lines", i))) >= LEAST_CHARS)
+    out = rows.withColumn("worded", worded).drop("lines").join(kept, rows["id"].eqNullSafe(kept["d_id"]) & (rows["h"] == kept["d_h"]), "left")
+    return out.withColumn("removed", F.array_except("worded", F.coalesce("kept", F.array().cast("array<int>")))).drop("d_id", "d_h", "kept", "worded")
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,18 +187,18 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     different texts with one id, the smaller text hash goes first.  A null text is an empty one: one line, none removed.
     Other columns are ignored, whatever their names.
     """
-    rows = numbered(docs, id_col, text_col).select("id", "h", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-    out = with_removed(rows, repeated_lines(docs, id_col, text_col))
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select(F.col("id").alias(id_col), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    rows = numbered(docs, id_col, text_col).select("id", "h", F.split("text", "\n").alias("lines")).withColumn("n_lines", F.size("lines").cast("long"))
+    out = with_removed(rows, kept_lines(docs, id_col, text_col))
+    return out.select(F.col("id").alias(id_col), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without the lines of line_report; texts that lose none stay as they are, null ones too."""
-    gone = repeated_lines(docs, id_col, text_col)
+    kept = kept_lines(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
-    out = with_removed(rows, gone).withColumn("lines", F.split(F.col("row")[text_col], "\n"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed"), lambda i: F.get("lines", i))
-    cut = F.when(F.col("removed").isNull(), F.col("row")[text_col]).otherwise(F.array_join(kept, "\n"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.split(text, "\n").alias("lines"))
+    out = with_removed(rows, kept)
+    lines_of = F.split(F.col("row")[text_col], "\n")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), "removed"), lambda i: F.get(lines_of, i))
+    cut = F.when(F.size("removed") == 0, F.col("row")[text_col]).otherwise(F.array_join(left, "\n"))
     return out.select(*[cut.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
