@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exalake.llm.text_arrays import drop, materialise
+from exalake.llm.text_arrays import drop, materialise, may_hold, one_bit
 
 #: Similarity as a fraction, so that bounds are exact.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -27,22 +27,9 @@ LEAST_CHARS = 1
 RARITY_PLACES = 1 << 17
 #: Tokens from this rarity class on (half powers of two: about 1,000 occurrences) count as frequent; lines of others all meet at once.
 FEW_CLASS = 20
-#: Bits of the filter that keeps most documents without candidates out of the verification.
-FILTER_BITS = 1 << 22
 _HASH_BITS = 56
 
 
-def one_bit(x: Column) -> Column:
-    """A long with the bit set that the last six bits of x name."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int"))  # a shift counts modulo 64
-
-
-def dense(counted: DataFrame, key: str, value: str, size: int, kind: str) -> Column:
-    """A fixed-size array as one value for all rows: value at each key from 0 to size - 1, else 0."""
-    frame = counted.sparkSession.range(size).join(counted.withColumnRenamed(key, "id"), "id", "left").select("id", F.coalesce(F.col(value), F.lit(0)).cast(kind).alias("v"))
-    return frame.agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("a")).select(F.transform("a", lambda x: x["v"])).scalar()
-
-
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, h, text): rows with equal id and text hash are one document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -124,10 +111,7 @@ def verified(pairs: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
     some = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
     wanted = places.join(some, "u").groupBy(F.col("own.id").alias("d_id"), F.col("own.h").alias("d_h")).agg(F.collect_list(F.struct("own.no", "u")).alias("at"))
     wanted = materialise(wanted, "wanted")
-    spot = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(FILTER_BITS))
-    words = wanted.select(F.pmod(F.xxhash64("d_h", F.lit(1)), F.lit(FILTER_BITS)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(one_bit(F.col("s"))).alias("m"))
-    bitmap = dense(words, "w", "m", FILTER_BITS // 64, "bigint")
-    near = rows.where(F.element_at(bitmap, (F.shiftright(spot, 6) + 1).cast("int")).bitwiseAND(one_bit(spot)) != 0)
+    near = rows.where(may_hold(wanted, "d_h")(F.col("h")))
     texts = near.join(wanted, near["id"].eqNullSafe(wanted["d_id"]) & (near["h"] == wanted["d_h"]))
     places_of = texts.select(F.split("text", "\n").alias("all"), "at").select("all", F.explode("at").alias("one"))
     sets = places_of.select("one.u", F.get("all", F.col("one.no")).alias("line")).select("u", hashed(F.col("line")).alias("keys"))

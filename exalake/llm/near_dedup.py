@@ -4,31 +4,39 @@ A document is the sequence of its word k-mers, each labelled with its occurrence
 the few least labelled k-mers and keeps their order in the text, so equal sketches speak for small edit distance and not
 just for common words.  Documents with an equal sketch are candidates; a banded alignment of their words decides.  Exact
 copies are one node from the start.  Classes are the connected components of the verified links.
+
+A bucket of equal sketches is not spread into its pairs.  Each member meets the bucket's centre first, and only members
+that links don't connect by then go on: they meet more heads of the bucket in each turn, in the last turn all of it.  Pairs
+whose lengths or word parities rule similarity out are never made; both bounds are exact.
 """
 
 from __future__ import annotations
 
 import bisect
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exalake.llm.text_arrays import Words, byte_slices, lower_bytes, materialise, mix, prefix_hashes, shared_dir, shingles, span_hashes, utf8
+from exalake.llm.text_arrays import Words, byte_slices, drop, lower_bytes, materialise, may_hold, mix, prefix_hashes, shingles, span_hashes, utf8
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Hash functions, and labelled k-mers that a sketch takes of each.
-SKETCHES, PER_SKETCH = 24, 3
-#: What is left of a bucket after its heads' links is paired outright once it has so few members.
-PAIRED_OUTRIGHT = 256
+#: Hash functions, and labelled k-mers that a sketch takes of each.  At the threshold itself (a fifth of the words replaced
+#: here and there) a pair shares a sketch with a chance of about 0.9, at a tenth replaced of almost 1.
+SKETCHES, PER_SKETCH = 64, 2
 #: Buckets of at most so many are paired outright at once.
-SMALL = 6
+SMALL = 4
+#: Later, buckets of at most so many are.
+PAIRED_OUTRIGHT = 64
+#: Heads that members of a large bucket meet in each turn after the first; None: all members.
+HEADS = (8, 64, None)
 SCALAR_EDITS = 128
-FAR, BORDER, SIMILAR = 0, 1, 2
+#: Words of a document's parity filter, 64 bits each.
+PARITY_WORDS = 8
+PARITY = [f"parity{i}" for i in range(PARITY_WORDS)]
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +66,10 @@ def order_min_hash(words: np.ndarray, first: np.ndarray, sketches: int = SKETCHE
     grams = grams + label * np.uint64(0x9E3779B97F4A7C15)
     starts = begin[:-1][full]
     size = np.diff(begin)[full]
+    seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64), 5)
+    odd = mix(seeds, 6) | np.uint64(1)
     for s in range(sketches):
-        h = mix(grams, s + 2)
+        h = (grams ^ seeds[s]) * odd[s]  # the order of the products' high bits
         places, kept = [], []
         for j in range(take):
             least = np.minimum.reduceat(h, starts)
@@ -148,136 +158,154 @@ def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(max(diff[diff > 0].sum(), -diff[diff < 0].sum()))
 
 
-def compare(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> int:
-    """SIMILAR if 1 - distance / longer length is at least similarity; FAR if nothing similar to b can be similar to a."""
+def word_parity(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each document the parities of how often words of each hash class occur: PARITY_WORDS columns of 64 bits."""
+    n, bits = len(first) - 1, PARITY_WORDS * 64
+    out = np.zeros((n, PARITY_WORDS), np.uint64)
+    for start in range(0, n, 1024):
+        stop = min(n, start + 1024)
+        own = (words[first[start] : first[stop]] % np.uint64(bits)).astype(np.int64)
+        doc = np.repeat(np.arange(stop - start), np.diff(first[start : stop + 1]))
+        odd = np.bincount(doc * bits + own, minlength=(stop - start) * bits) & 1
+        out[start:stop] = np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether 1 - distance / longer length is at least similarity."""
     limit = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
-    reach = (1 - similarity) / similarity * (len(a) + len(b))  # by the triangle inequality
-    apart = abs(len(a) - len(b))
-    if apart > reach:
-        return FAR
-    least = max(apart, bag_distance(a, b))
-    if least <= limit and banded_distance(a, b, limit) <= limit:
-        return SIMILAR
-    return FAR if least > reach else BORDER
+    return max(abs(len(a) - len(b)), bag_distance(a, b)) <= limit and banded_distance(a, b, limit) <= limit
 
 
-def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, n_words, sketch) of every row with words; key is the digest of the text."""
+def may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """False only for documents that can't be similar: by their lengths, or as an edit changes two parities at most."""
+    an, bn = F.col(f"{a}.n_words"), F.col(f"{b}.n_words")
+    limit = (1 - similarity) * F.greatest(an, bn) + 1e-9
+    differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in PARITY[1:]), F.bit_count(F.col(f"{a}.{PARITY[0]}").bitwiseXOR(F.col(f"{b}.{PARITY[0]}"))))
+    return (F.abs(an - bn) <= limit) & (differ <= 2 * limit)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, key): key is the digest of the text; a null text is an empty one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
+
+
+def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, n_words, sketch, parities) of every row."""
+    source = keyed(docs, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "text", 1 << 20):
             words, first = word_hashes(part.column("text"))
-            rows = order_min_hash(words, first).view(np.int64)
+            rows, parity = order_min_hash(words, first).view(np.int64), word_parity(words, first).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCHES), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(np.diff(first).astype(np.int64)), lists], ["id", "key", "n_words", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(np.diff(first).astype(np.int64)), lists, *[pa.array(parity[:, i]) for i in range(PARITY_WORDS)]], ["id", "key", "n_words", "sketch", *PARITY])
 
-    return source.mapInArrow(run, f"id {kind}, key binary, n_words long, sketch array<long>")
+    return source.mapInArrow(run, f"id {kind}, key binary, n_words long, sketch array<long>, {', '.join(f'{w} long' for w in PARITY)}")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """pairs (a, b keys) with the outcome of their comparison; texts: (key, text), a row a key."""
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+def node_words(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(u, words) of the nodes in pairs: the word hashes of their texts, 32 bits each, on end."""
+    some = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
+    ends = materialise(nodes.select("u", "key", "least").join(some, "u").select("u", F.col("key").alias("k"), "least", F.xxhash64("key").alias("hash")), "ends")
+    near = rows.where(may_hold(ends, "hash")(F.xxhash64("key")))
+    texts = near.join(ends, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("least"))).select("u", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, "text_a", 1 << 20):
-            wa, fa = word_hashes(part.column("text_a"))
-            wb, fb = word_hashes(part.column("text_b"))
-            got = [compare(wa[fa[i] : fa[i + 1]], wb[fb[i] : fb[i + 1]], similarity) for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(got, pa.int32())], ["a", "b", "outcome"])
+        for part in byte_slices(batches, "text", 1 << 20):
+            words, first = word_hashes(part.column("text"))
+            short = (words >> np.uint64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([part.column("u"), pa.array([short[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["u", "words"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, outcome int")
+    return materialise(texts.mapInArrow(run, "u long, words binary").groupBy("u").agg(F.first("words").alias("words")), "words")  # a repeated row gives its words again
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, key, n_words, n, centre): nodes with an equal sketch, n of them, centre the least key.  Lone nodes have no row."""
-    members = nodes.select("key", "n_words", F.posexplode("sketch").alias("at", "value")).select("key", "n_words", F.xxhash64("at", "value").alias("bucket"))
-    return _crowds(members)
+def verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose alignment makes them similar."""
+    words = node_words(pairs, nodes, rows)
+    both = pairs.join(words.select(F.col("u").alias("a"), F.col("words").alias("words_a")), "a").join(words.select(F.col("u").alias("b"), F.col("words").alias("words_b")), "b")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda x: np.frombuffer(x.as_buffer(), np.uint32)
+        for part in batches:
+            got = [similar(of(x), of(y), similarity) for x, y in zip(part.column("words_a"), part.column("words_b"), strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(got, pa.bool_()))
 
-def _crowds(members: DataFrame) -> DataFrame:
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("centre")).where("n > 1")
-    return materialise(members.join(sizes, "bucket"), "members")
+    links = materialise(both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long"), "links")
+    drop(words)
+    return links
 
 
-def verified_links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) of similar nodes, enough of them that each class is connected.
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, u, n, centre): nodes with an equal sketch, n of them, centre the least u.  Lone nodes have no row."""
+    members = nodes.select("u", F.posexplode("sketch").alias("at", "value")).select(F.xxhash64("at", "value").alias("bucket"), "u")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("u").alias("centre")).where("n > 1")
+    return materialise(members.join(sizes, "bucket"), "members")
 
-    Small buckets are compared pair by pair.  Of others every member is compared with a few heads (at first the centre, then
-    twice as many a turn).  Heads and those similar to one leave; those that might be similar to one of these (BORDER) are
-    compared with each of them, unless links connect them already; those left go on as a smaller bucket, pair by pair once few.  So no large bucket of copies is
-    spread into its pairs, and no similar pair of a bucket stays unlinked: pairs are skipped only where their lengths or the
-    triangle inequality rule them out.
-    """
-    spark = members.sparkSession
-    store = shared_dir(spark, "outcomes")
-    pending, outcomes, few = None, None, SMALL
-    ordered = lambda rows, x, y: rows.select("*", F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    gap = F.abs(F.col("n_words") - F.col("words_b"))
-    for turn in itertools.count():
-        small, large = members.where(F.col("n") <= few), members.where(F.col("n") > few)
-        other = small.select("bucket", F.col("key").alias("key_b"), F.col("n_words").alias("words_b"))
-        outright = small.join(other, "bucket").where((F.col("key") < F.col("key_b")) & (gap <= (1 - similarity) * F.greatest("n_words", "words_b") + 1e-9))
-        head = F.col("key") == F.col("centre")
-        if turn:
-            head = head | (F.pmod(F.xxhash64("key", "bucket", F.lit(turn)), F.col("n")) < 2 << min(turn, 40))
-        heads = large.where(head).select("bucket", F.col("key").alias("head"), F.col("n_words").alias("words_b"))
-        reach = (1 - similarity) / similarity * (F.col("n_words") + F.col("words_b"))
-        star = materialise(ordered(large.join(heads, "bucket").where((F.col("key") != F.col("head")) & (gap <= reach)).select("bucket", "key", "head"), "key", "head"), "star")
-        wanted = star.select("a", "b").unionByName(outright.select(F.col("key").alias("a"), F.col("key_b").alias("b")))
-        wanted = (wanted.unionByName(pending) if pending is not None else wanted).distinct()
-        if outcomes is not None:
-            wanted = wanted.join(outcomes, ["a", "b"], "left_anti")
-        verify(wanted, texts, similarity).write.parquet(f"{store}/turn={turn}")
-        outcomes = spark.read.schema("a binary, b binary, outcome int").parquet(f"{store}/turn=*")
-        told = materialise(star.join(outcomes, ["a", "b"]).where(F.col("outcome") != FAR), "told")
-        near = told.where(F.col("outcome") == SIMILAR).select("bucket", "head", F.col("key").alias("key_b"))
-        between = told.where(F.col("outcome") == BORDER).select("bucket", "head", "key")
-        if not between.isEmpty():  # what other buckets have connected already needs no more links
-            roots = components(outcomes.where(F.col("outcome") == SIMILAR).select("a", "b"))
-            ends = between.join(roots.select("key", F.col("root").alias("root_key")), "key", "left").join(roots.select(F.col("key").alias("head"), F.col("root").alias("root_head")), "head", "left")
-            between = ends.where(F.coalesce(F.col("root_key") != F.col("root_head"), F.lit(True))).select("bucket", "head", "key")
-        border = between.join(near, ["bucket", "head"]).where(F.col("key") != F.col("key_b"))
-        pending = materialise(ordered(border.select("key", "key_b"), "key", "key_b").select("a", "b").distinct(), "border")
-        gone = near.select("bucket", F.col("key_b").alias("key")).unionByName(heads.select("bucket", F.col("head").alias("key"))).distinct()
-        members = _crowds(large.join(gone, ["bucket", "key"], "left_anti").select("bucket", "key", "n_words"))
-        few = PAIRED_OUTRIGHT
-        if members.isEmpty() and pending.isEmpty():
-            return outcomes.where(F.col("outcome") == SIMILAR).select("a", "b")
+
+def classes_of(members: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, root) of nodes that links connect.  Every pair of a bucket is compared, ruled out by exact bounds, or connected by other links."""
+    known = nodes.select("u", "n_words", *PARITY)
+    small, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
+    outright = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.u") < F.col("y.u"))).select(F.col("x.u").alias("a"), F.col("y.u").alias("b"))
+    star = large.where("u != centre").select(F.col("centre").alias("a"), F.col("u").alias("b"))
+    pairs = outright.unionByName(star).distinct()
+    sides = pairs.join(known.withColumnsRenamed({c: f"{c}_a" for c in known.columns}), F.col("a") == F.col("u_a")).join(known.withColumnsRenamed({c: f"{c}_b" for c in known.columns}), F.col("b") == F.col("u_b"))
+    side = lambda s: F.struct("n_words_" + s, *[f"{w}_{s}" for w in PARITY]).cast("struct<n_words:long," + ",".join(f"{w}:long" for w in PARITY) + ">").alias(s * 2)
+    tried = materialise(sides.select("a", "b", side("a"), side("b")).where(may_be_similar("aa", "bb", similarity)).select("a", "b"), "tried")
+    labels = components(verify(tried, nodes, rows, similarity))
+    for turn, heads in enumerate(HEADS, 1):
+        placed = large.select("bucket", "u").join(labels, "u", "left").select("bucket", "u", F.coalesce("root", "u").alias("root"))
+        apart = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+        large = materialise(placed.join(apart.select("bucket", "n"), "bucket").join(known, "u"), "large")
+        head = large if heads is None else large.where((F.col("n") <= PAIRED_OUTRIGHT) | (F.pmod(F.xxhash64("u", "bucket", F.lit(turn)), F.col("n")) < heads))
+        met = large.alias("x").join(head.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & may_be_similar("x", "y", similarity))
+        pairs = met.select(F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        if not pairs.isEmpty():
+            tried = tried.unionByName(pairs)
+            labels = merged(labels, verify(pairs, nodes, rows, similarity))
+    return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links: only the roots that these connect are worked on."""
+    ends = links.join(labels.select(F.col("u").alias("a"), F.col("root").alias("root_a")), "a", "left").join(labels.select(F.col("u").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    between = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a != b")
+    joined = components(between)
+    old = labels.join(joined.select(F.col("u").alias("root"), F.col("root").alias("of_root")), "root", "left").select("u", F.coalesce("of_root", "root").alias("root"))
+    return materialise(old.unionByName(joined.join(labels.select("u"), "u", "left_anti")), "labels")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(key, root) of every node in a link; root is the least key of its component.
+    """(u, root) of every node in a link; root is the least node of its component.
 
     Each node takes the least label among its neighbours', then that label's own label (pointer jumping), until none changes.
     """
     edges = materialise(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("root")), "labels")
+    labels = materialise(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("root")), "labels")
     while True:
-        around = edges.join(labels.select(F.col("key").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        least = labels.join(around, labels["key"] == around["a"]).select("key", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        jump = labels.select(F.col("key").alias("root"), F.col("root").alias("of_root"))
-        after = materialise(least.join(jump, "root", "left").select("key", "old", F.least("root", F.coalesce("of_root", "root")).alias("root")), "labels")
-        labels = after.select("key", "root")
+        around = edges.join(labels.select(F.col("u").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
+        least = labels.join(around, labels["u"] == around["a"]).select("u", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        jump = labels.select(F.col("u").alias("root"), F.col("root").alias("of_root"))
+        after = materialise(least.join(jump, "root", "left").select("u", "old", F.least("root", F.coalesce("of_root", "root")).alias("root")), "labels")
+        drop(labels)
+        labels = after.select("u", "root")
         if after.where("old != root").isEmpty():
+            drop(edges)
             return labels
 
 
 def classified(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """near_duplicates with the columns id and key (digest of the text)."""
     table = materialise(sketch_table(docs, id_col, text_col), "sketches")
-    worded = table.where("n_words > 0")
-    nodes = materialise(worded.groupBy("key").agg(F.min("id").alias("least"), F.max("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.count("*").alias("n")), "nodes")
+    worded = table.where("n_words > 0").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("n_words", "sketch", *PARITY)])
+    nodes = materialise(worded.select(F.monotonically_increasing_id().alias("u"), "*"), "nodes")
     members = buckets(nodes)
-    wanted = members.select(F.col("key").alias("k")).distinct().join(nodes.select(F.col("key").alias("k"), "least"), "k")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
-    chosen = rows.join(wanted, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("least")))
-    texts = materialise(chosen.groupBy("key").agg(F.first("text").alias("text")), "texts")
-    roots = components(verified_links(members, texts, similarity))
-    placed = nodes.select("key", "least", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    labels = classes_of(members, nodes, keyed(docs, id_col, text_col), similarity)
+    placed = nodes.select("u", "key", "least", "n").join(labels, "u", "left").withColumn("root", F.coalesce("root", "u"))
     classes = placed.groupBy("root").agg(F.min("least").alias("class_id"), F.min_by("key", F.struct(F.col("least").isNull(), "least", "key")).alias("keeper"), F.sum("n").alias("class_size"))
     of_key = placed.select("key", "root", "least").join(classes, "root").select("key", "least", "class_id", "class_size", (F.col("key") == F.col("keeper")).alias("own"))
     out = table.select("id", "key", "n_words").join(of_key, "key", "left")
@@ -294,10 +322,11 @@ def classified(docs: DataFrame, id_col: str, text_col: str, similarity: float) -
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: id, class_id (the least id of its class), class_size (rows), keep (the row is its class's own).
 
-    Two documents are linked if the edit distance of their words (lower case) is at most 1 - similarity of the longer one's
-    words; a class is what links connect.  Of several rows with the class's least id, texts and ids alike, one is kept.
-    Null, empty and blank texts are each a class of their own.  A null id counts after all others; if a class has no other,
-    class_id is null.  Other columns are ignored.
+    Two documents are linked if they share a sketch and the edit distance of their words (lower case) is at most
+    1 - similarity of the longer one's words; a class is what links connect.  Of several rows with the class's least id,
+    texts and ids alike, one is kept.  Null, empty and blank texts are each a class of their own.  A null id counts after all
+    others; if a class has no other, class_id is null.  Other columns are ignored, whatever their names.  Documents of fewer
+    than about 15 words with a changed word seldom share five words on end, so most such pairs are missed.
     """
     return classified(docs, id_col, text_col, similarity).drop("key").withColumnRenamed("id", id_col)
 
@@ -308,5 +337,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     Rows alike in id and text are one document: they stay or go together.
     """
     gone = classified(docs, id_col, text_col, similarity).where(~F.col("keep")).select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"))
+    left = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])

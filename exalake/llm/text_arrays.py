@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
-from collections.abc import Iterator
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bits of the filter that keeps most texts without partners from moving.
+FILTER_BITS = 1 << 22
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
 SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder (spark.checkpoint.dir; a local one only if unset)."""
-    import uuid
+    """A new folder below the cluster's shared checkpoint folder, spark.checkpoint.dir.
 
+    Where it is unset, a folder on this machine is taken if everything runs in this one process, and nothing else works.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -36,17 +42,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark) -> None:
-    """Let Spark's cleaner delete the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop(df: DataFrame) -> None:
     """Delete the written table behind a materialised frame that is not needed any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         drop_dir(df.sparkSession, path)
-    release(df.sparkSession)
 
 
 def drop_dir(spark, path: str) -> None:
@@ -56,8 +55,21 @@ def drop_dir(spark, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def one_bit(x: Column) -> Column:
+    """A long with the bit set that the last six bits of x name."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int"))  # a shift counts modulo 64
+
+
+def may_hold(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A filter of fixed size: a condition on a column of longs that is true for every value of keys and for few others.
+
+    It keeps rows from moving through a join; the join decides.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(FILTER_BITS))
+    words = keys.select(spot(F.col(key)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(one_bit(F.col("s"))).alias("m"))
+    every = keys.sparkSession.range(FILTER_BITS // 64).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("m", F.lit(0).cast("long")).alias("m"))
+    bitmap = every.agg(F.sort_array(F.collect_list(F.struct("id", "m"))).alias("a")).select(F.transform("a", lambda x: x["m"])).scalar()
+    return lambda c: F.element_at(bitmap, (F.shiftright(spot(c), 6) + 1).cast("int")).bitwiseAND(one_bit(spot(c))) != 0
 
 
 def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -131,7 +143,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, letters: bool = False):
         inside = _LETTER[data] if letters else ~_SPACE[data]
-        edge = np.flatnonzero(offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]) if False else offsets[1:-1]
+        edge = offsets[1:-1]
         edge = edge[(edge > 0) & (edge < len(data))]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
