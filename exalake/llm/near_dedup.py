@@ -33,7 +33,8 @@ SMALL = 4
 PAIRED_OUTRIGHT = 64
 #: Heads that members of a large bucket meet in each turn after the first; None: all members.
 HEADS = (8, 64, None)
-SCALAR_EDITS = 128
+#: Edits that are looked for along single diagonals; beyond them the whole band goes at once.
+SCALAR_EDITS = 6
 #: Words of a document's parity filter, 64 bits each.
 PARITY_WORDS = 8
 PARITY = [f"parity{i}" for i in range(PARITY_WORDS)]
@@ -128,26 +129,38 @@ def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
                 t = min(t, n, m - k)
                 nxt[k] = slide(t, k) if 0 <= t + k < m and t < n else t
         reach = nxt
-    if e > limit:
+    return banded_bits(a, b, limit) if e <= limit else limit + 1
+
+
+def banded_bits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
+    """banded_distance by bit vectors: one bit a row of the band, one step a column of the alignment."""
+    if len(a) < len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    k = min(limit, n)
+    if n - m > limit:
         return limit + 1
-    ks = np.arange(-limit - 1, limit + 2)
-    far = np.full(len(ks), -(1 << 40), np.int64)
-    for k, t in reach.items():
-        far[k + limit + 1] = t
-    while e <= limit:
-        if far[goal + limit + 1] >= n:
-            return e
-        e += 1
-        up = np.full_like(far, -(1 << 40))
-        up[1:-1] = np.maximum(np.maximum(far[:-2], far[1:-1] + 1), far[2:] + 1)
-        t = np.minimum(np.minimum(up, n), m - ks)
-        live = np.flatnonzero((t >= 0) & (t + ks >= 0) & (t < n) & (t + ks < m))
-        while len(live):
-            live = live[a[t[live]] == b[t[live] + ks[live]]]
-            t[live] += 1
-            live = live[(t[live] < n) & (t[live] + ks[live] < m)]
-        far = t
-    return limit + 1
+    places: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        places[word] = places.get(word, 0) | 1 << i
+    every, top = (1 << 2 * k + 1) - 1, 1 << 2 * k
+    plus, minus = every ^ ((1 << k) - 1), 0  # vertical differences of the column before, within the band's rows
+    score = k  # the band's last row, later the last row of all
+    for j, word in enumerate(b.tolist(), 1):
+        shift = j - k - 1
+        same = places.get(word, 0)
+        same = (same >> shift if shift >= 0 else same << -shift) & every
+        level = ((((same & plus) + plus) ^ plus) | same | minus) & every
+        right, left = minus | (every ^ (level | plus) & every), level & plus
+        if j <= n - k:
+            score += not level & top
+        else:
+            row = 1 << n - j + k
+            score += bool(right & row) - bool(left & row)
+        if score > limit + (m - j) + k:
+            return limit + 1
+        plus, minus = (left | (every ^ ((level >> 1) | right))) & every, (level >> 1) & right
+    return min(score, limit + 1)
 
 
 def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -248,7 +261,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
 def classes_of(members: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(u, root) of nodes that links connect.  Every pair of a bucket is compared, ruled out by exact bounds, or connected by other links."""
     known = nodes.select("u", "n_words", *PARITY)
-    small, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
+    small, large = members.where(F.col("n") <= SMALL), materialise(members.where(F.col("n") > SMALL).join(known, "u"), "large")
     outright = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.u") < F.col("y.u"))).select(F.col("x.u").alias("a"), F.col("y.u").alias("b"))
     star = large.where("u != centre").select(F.col("centre").alias("a"), F.col("u").alias("b"))
     pairs = outright.unionByName(star).distinct()
@@ -257,9 +270,9 @@ def classes_of(members: DataFrame, nodes: DataFrame, rows: DataFrame, similarity
     tried = materialise(sides.select("a", "b", side("a"), side("b")).where(may_be_similar("aa", "bb", similarity)).select("a", "b"), "tried")
     labels = components(verify(tried, nodes, rows, similarity))
     for turn, heads in enumerate(HEADS, 1):
-        placed = large.select("bucket", "u").join(labels, "u", "left").select("bucket", "u", F.coalesce("root", "u").alias("root"))
+        placed = large.drop("root", "n").join(labels, "u", "left").withColumn("root", F.coalesce("root", "u"))
         apart = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
-        large = materialise(placed.join(apart.select("bucket", "n"), "bucket").join(known, "u"), "large")
+        large = materialise(placed.join(apart.select("bucket", "n"), "bucket"), "large")
         head = large if heads is None else large.where((F.col("n") <= PAIRED_OUTRIGHT) | (F.pmod(F.xxhash64("u", "bucket", F.lit(turn)), F.col("n")) < heads))
         met = large.alias("x").join(head.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & may_be_similar("x", "y", similarity))
         pairs = met.select(F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
