@@ -1,11 +1,11 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions alone.
 
-A text is cut into pieces at line ends and sentence ends (long ones every PIECE_CHARS characters).  Each distinct piece is
-one number: a digest and a check of that digest.  A sketch adds numbers up in cells (bit by bit, without carry), each
-number in one cell of each of three tables.  Two sketches subtract cell by cell, which leaves the pieces that differ;
-peeling takes out cells whose sum is one number (the check tells) until none is left.  If that fails, both texts are
-sketched larger: numbers are dealt by their first bits to as many sketches as their number asks for, then to 4, 16 and 64
-times as many; what even these can't peel is compared number by number.
+A paragraph is a line; a long one is cut at the first sentence end after PARAGRAPH_CHARS characters.  Each distinct paragraph
+is one number: a digest and a check of that digest.  A sketch adds numbers up in cells (bit by bit, without carry), each
+number in one cell of each of three tables.  Two sketches subtract cell by cell, which leaves the paragraphs that differ;
+peeling takes out cells whose sum is one number (the check tells) until none is left, and so recovers the differing digests.
+If that fails, both texts are sketched larger: numbers are dealt by their first bits to as many sketches as their number asks
+for, then to 4 and 16 times as many, with other bits for the cells; at last to a sketch for each digest, which always peels.
 """
 
 from __future__ import annotations
@@ -15,15 +15,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE_CHARS = 48
+#: Characters after which a paragraph ends with its sentence, and the most that its last sentence adds.
+PARAGRAPH_CHARS, SENTENCE_CHARS = 120, 400
 TABLES, CELLS = 3, 8
 #: On failure numbers are dealt to sketches of about so many each, then to 4 times as many sketches, and so on.
 PER_SKETCH = 6
-RETRIES = 4
+RETRIES = 3
 ROUNDS = 16
 #: A number is a digest of 40 bits and a check of 24 bits.
 DIGEST_BITS, CHECK_BITS = 40, 24
-_SHIFT = tuple(CHECK_BITS + 3 * t for t in range(TABLES))  # which bits of a number give its cell in each table
+
+
+def _shift(turn: int) -> list[int]:
+    """Which bits of a number give its cell in each table, other ones in each turn."""
+    return [CHECK_BITS + 3 * (TABLES * (turn % 3) + t) for t in range(TABLES)]
 
 
 def long(value: int) -> Column:
@@ -40,9 +45,9 @@ def check(digest: Column) -> Column:
 
 
 def digests(text: Column) -> Column:
-    """The distinct numbers of the pieces of a text."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"[^.!?\n]{{1,{PIECE_CHARS}}}[.!?]*\s*|[.!?\n]+\s*"), F.lit(0))
-    digest = lambda p: F.shiftright(F.xxhash64(F.rtrim(p)), 64 - DIGEST_BITS)
+    """The distinct numbers of the paragraphs of a text (outer blanks off)."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{PARAGRAPH_CHARS}}}+[^.!?\n]{{0,{SENTENCE_CHARS}}}+[.!?]*+"), F.lit(0))
+    digest = lambda p: F.shiftright(F.xxhash64(F.trim(p)), 64 - DIGEST_BITS)
     return F.transform(F.array_distinct(F.transform(pieces, digest)), lambda d: F.shiftleft(d, CHECK_BITS).bitwiseOR(check(d)))
 
 
@@ -50,7 +55,7 @@ def _xor(values: Column, start: Column) -> Column:
     return F.aggregate(values, start, lambda acc, x: acc.bitwiseXOR(x))
 
 
-def _tables(numbers: Column, start: Callable[[int, Column], Column]) -> Column:
+def _tables(numbers: Column, start: Callable[[int, Column], Column], turn: int) -> Column:
     """Every cell of every table: start(table, place) and the sum of the numbers that fall in it."""
 
     def table(t: int, shift: int) -> Column:
@@ -58,33 +63,37 @@ def _tables(numbers: Column, start: Callable[[int, Column], Column]) -> Column:
         places = F.array(*[long(v << shift) for v in range(CELLS)])
         return F.transform(places, lambda v, i: _xor(F.filter(numbers, lambda x: x.bitwiseAND(mask) == v), start(t, i)))
 
-    return F.concat(*[table(t, shift) for t, shift in enumerate(_SHIFT)])
+    return F.concat(*[table(t, shift) for t, shift in enumerate(_shift(turn))])
 
 
-def cells(numbers: Column) -> Column:
+def cells(numbers: Column, turn: int = 0) -> Column:
     """The sketch of numbers: TABLES * CELLS sums.  Of the numbers of two texts together it is the difference of theirs."""
-    return _tables(numbers, lambda t, i: long(0))
+    return _tables(numbers, lambda t, i: long(0), turn)
 
 
-def _peel_once(state: Column) -> Column:
+def _peel_once(state: Column, turn: int) -> Column:
     """Take every number that is alone in a cell out of all its cells; not live any more once there is none."""
 
     def alone(y: Column) -> Column:
         return (y != 0) & (y.bitwiseAND(long((1 << CHECK_BITS) - 1)) == check(F.shiftright(y, CHECK_BITS)))
 
     def without(pure: Column) -> Column:
-        after = _tables(pure, lambda t, i: F.get(state["cells"], i + t * CELLS))
-        return F.struct(F.lit(True).alias("live"), after.alias("cells"), (state["n"] + F.size(pure)).alias("n"))
+        after = _tables(pure, lambda t, i: F.get(state["cells"], i + t * CELLS), turn)
+        return F.struct(F.lit(True).alias("live"), after.alias("cells"), F.concat(state["found"], pure).alias("found"))
 
-    stop = F.struct(F.lit(False).alias("live"), state["cells"].alias("cells"), state["n"].alias("n"))
+    stop = F.struct(F.lit(False).alias("live"), state["cells"].alias("cells"), state["found"].alias("found"))
     return let(F.array_distinct(F.filter(state["cells"], alone)), lambda pure: F.when(F.size(pure) == 0, stop).otherwise(without(pure)))
 
 
-def peel(sketch: Column) -> Column:
-    """(ok, n): whether all was recovered, and how many numbers."""
-    start = F.struct(F.lit(True).alias("live"), sketch.alias("cells"), F.lit(0).alias("n"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when(~s["live"], s).otherwise(_peel_once(s)))
-    return let(end, lambda s: F.struct(F.forall(s["cells"], lambda y: y == 0).alias("ok"), s["n"].alias("n")))
+def peel(sketch: Column, turn: int = 0) -> Column:
+    """(ok, found): whether all was recovered, and the numbers."""
+    start = F.struct(F.lit(True).alias("live"), sketch.alias("cells"), F.array().cast("array<long>").alias("found"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when(~s["live"], s).otherwise(_peel_once(s, turn)))
+    return let(end, lambda s: F.struct(F.forall(s["cells"], lambda y: y == 0).alias("ok"), s["found"].alias("found")))
+
+
+def _peel_each(runs: Column, turn: int) -> Column:
+    return F.transform(runs, lambda run: peel(cells(run, turn), turn))
 
 
 def dealt(numbers: Column, bits: Column) -> Column:
@@ -95,23 +104,25 @@ def dealt(numbers: Column, bits: Column) -> Column:
 
 
 def add_likeness(rows: DataFrame, name: str, a: str, b: str, cells_a: str, cells_b: str) -> DataFrame:
-    """rows with column `name`: the share of common pieces among all of two texts, recovered from their sketches.
+    """rows with column `name`: the share of common paragraphs among all of two texts, and `name`_digests: those that differ.
 
-    a and b are columns of digests, cells_a and cells_b those of their sketches.  Texts without pieces are alike (1.0).
+    a and b are columns of numbers, cells_a and cells_b those of their sketches.  `name`_turn tells which sketch peeled: 0 for
+    the fingerprint's own.  Texts without paragraphs are alike (1.0).
     """
-    got, both, bits = f"{name}__got", f"{name}__both", f"{name}__bits"
+    got, both, bits, turn = f"{name}__got", f"{name}__both", f"{name}__bits", f"{name}_turn"
     rows = rows.withColumn(got, peel(F.zip_with(cells_a, cells_b, lambda x, y: x.bitwiseXOR(y))))
-    rows = rows.withColumn(both, F.when(~F.col(f"{got}.ok"), F.sort_array(F.concat(a, b))))
-    total = lambda xs: F.aggregate(xs, F.expr("struct(true as ok, 0 as n)"), lambda s, x: F.struct((s["ok"] & x["ok"]).alias("ok"), (s["n"] + x["n"]).alias("n")))
+    rows = rows.withColumn(turn, F.when(F.col(f"{got}.ok"), 0)).withColumn(both, F.when(~F.col(f"{got}.ok"), F.sort_array(F.concat(a, b))))
+    total = lambda xs: F.struct(F.forall(xs, lambda x: x["ok"]).alias("ok"), F.flatten(F.transform(xs, lambda x: x["found"])).alias("found"))
     rows = rows.withColumn(bits, F.greatest(F.ceil(F.log2((F.size(a) + F.size(b)) / PER_SKETCH)).cast("int"), F.lit(1)))
-    for retry in range(RETRIES):
-        wider = F.least(F.col(bits) + 2 * retry, F.lit(DIGEST_BITS))
-        larger = total(F.transform(dealt(F.col(both), wider), lambda run: peel(cells(run))))
+    for retry in range(RETRIES + 1):
+        wider = F.least(F.col(bits) + 2 * retry, F.lit(DIGEST_BITS)) if retry < RETRIES else F.lit(DIGEST_BITS)
+        larger = let(_peel_each(dealt(F.col(both), wider), retry + 1), total)
         rows = rows.withColumn(got, F.when(F.col(f"{got}.ok"), F.col(got)).otherwise(larger))
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    differ = F.when(F.col(f"{got}.ok"), F.col(f"{got}.n")).otherwise(exact)
-    # |a| + |b| is twice the common pieces and the others once
+        rows = rows.withColumn(turn, F.coalesce(turn, F.when(F.col(f"{got}.ok"), retry + 1)))
+    differ = F.size(f"{got}.found")
+    # |a| + |b| is twice the common paragraphs and the others once
     union = (F.size(a) + F.size(b) + differ) / 2
+    rows = rows.withColumn(f"{name}_digests", F.transform(f"{got}.found", lambda x: F.shiftright(x, CHECK_BITS)))
     return rows.withColumn(name, F.when(union == 0, F.lit(1.0)).otherwise((union - differ) / union)).drop(got, both, bits)
 
 
@@ -154,7 +165,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, share: int = 3) -> Da
 
 
 def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row per row of docs: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and
+
+    near_edited_digests, the digests of paragraphs that only one of text and edited text has, and the sketch that told each
+    likeness (near_edited_turn, near_next_turn: 0 the fingerprints' own, then the larger ones).
 
     The edited text has its last floor(n_chars / 3) characters replaced by the first as many (or all) of the next document in
     descending order of ids, after the last the first.  A null text is an empty one.  Rows with equal id and text are one
@@ -166,4 +180,4 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), F.col("next_digests").alias("b"))
     rows = rows.withColumns({"ca": cells(F.col("a")), "ce": cells(F.col("e")), "cb": cells(F.col("b"))})
     rows = add_likeness(add_likeness(rows, "near_edited", "a", "e", "ca", "ce"), "near_next", "a", "b", "ca", "cb")
-    return rows.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(F.col("ca")).alias("fingerprint"), fingerprint(F.col("ce")).alias("edited_fingerprint"), "near_edited", "near_next")
+    return rows.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(F.col("ca")).alias("fingerprint"), fingerprint(F.col("ce")).alias("edited_fingerprint"), "near_edited", "near_next", "near_edited_digests", "near_edited_turn", "near_next_turn")

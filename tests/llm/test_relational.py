@@ -134,7 +134,7 @@ def test_large_bucket_keeps_links(spark, monkeypatch):
 
 
 def pieces(t):
-    return {x.rstrip(" ") for x in re.findall(r"[^.!?\n]{1,48}[.!?]*\s*|[.!?\n]+\s*", t)}
+    return {x.strip(" ") for x in re.findall(r"[^\n]{1,120}[^.!?\n]{0,400}[.!?]*", t)}
 
 
 def test_fingerprints(spark):
@@ -152,6 +152,7 @@ def test_fingerprints(spark):
         edited = t[: len(t) - f] + nxt[:f]
         r = rows[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert len(set(r.near_edited_digests)) == len(r.near_edited_digests) == len(pieces(t) ^ pieces(edited))
         assert r.near_edited == pytest.approx(like(pieces(t), pieces(edited))) and r.near_next == pytest.approx(like(pieces(t), pieces(nxt)))
     assert fingerprints.edit_fingerprints(frame.limit(0)).count() == 0
     same = spark.createDataFrame([(1, "a b. c"), (2, "a b. c"), (2, "a b. c")], "doc_id long, text string")
