@@ -60,8 +60,10 @@ def rarity(rows: DataFrame) -> Column:
     words = rows.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("t"))
     counts = words.select(F.xxhash64("t").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     table = bytearray(RARITY_PLACES)
-    for at, n in counts.groupBy(_place(F.col("k")).alias("at")).agg(F.floor(2 * F.log2(F.max("n"))).cast("int").alias("n")).collect():  # a row a place at most
+    places = materialise(counts.groupBy(_place(F.col("k")).alias("at")).agg(F.floor(2 * F.log2(F.max("n"))).cast("int").alias("n")), "rarity")
+    for at, n in places.collect():  # a row a place at most
         table[at] = n
+    drop(places)
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")  # folded to a constant
 
 

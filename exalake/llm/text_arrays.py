@@ -35,11 +35,23 @@ def shared_dir(spark, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting to delete a query's shuffle files when the query ends, not when the driver happens to collect garbage.
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Shuffle files that only the writing needed go with it.
+    """
+    spark = df.sparkSession
+    path, before = shared_dir(spark, name), spark.conf.get(_CLEAN_SHUFFLES, None)
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_SHUFFLES) if before is None else spark.conf.set(_CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
