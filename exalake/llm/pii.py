@@ -9,8 +9,8 @@ best labelling of a text is that of its regions.
 from __future__ import annotations
 
 import bisect
+import collections
 import functools
-import hashlib
 import itertools
 import math
 import random
@@ -39,6 +39,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z0-9_]+|[^\W\d_]+|\S")
 _ANCHOR = re.compile(r"[0-9@]")
+_WORD = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -88,33 +89,32 @@ class Field:
     def features(text: str, start: int, end: int, left: str) -> list[str]:
         """What a whole candidate span looks like; the type is put before each."""
         s = text[start:end]
-        head = s[:80]
-        digits = re.sub(r"[^0-9]", "", head)
+        digits = re.sub(r"[^0-9]", "", s)
         n = len(digits)
         before, after = text[start - 1 : start], text[end : end + 1]
-        shape = re.sub(r"9+", "9", re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]", "9", head)))
+        shape = re.sub(r"9+", "9", re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]", "9", s)))
         out = ["bias", f"digits{min(n, 20)}", f"all{len(s) == n}", f"first{'+' if s[0] == '+' else '9' if s[0].isdigit() else 'a' if s[0].isalpha() else s[0]}", f"last{'9' if s[-1].isdigit() else 'a' if s[-1].isalpha() else 'x'}"]
-        out += [f"shape{shape[:24]}", f"cut{before.isalnum()}{after.isalnum()}", f"quoted{before in chr(34) + chr(39) and before != ''}", f"at{head.count('@')}", f"space{min(2, s.count(' '))}", f"left{left}"]
-        if n >= 12 and re.fullmatch(r"[0-9 -]+", head):
+        out += [f"shape{shape[:24]}", f"cut{before.isalnum()}{after.isalnum()}", f"quoted{before in chr(34) + chr(39) and before != ''}", f"at{s.count('@')}", f"space{min(2, s.count(' '))}", f"left{left}"]
+        if n >= 12 and re.fullmatch(r"[0-9 -]+", s):
             out += [f"luhn{luhn(digits)}", f"long{13 <= n <= 19}"]
-        if len(parts := head.split(".")) == 4:
-            out.append(f"octets{all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)}")
+        if len(parts := s.split(".")) == 4:
+            out.append(f"octets{all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)}")
         if re.fullmatch(r"[A-Za-z0-9_]{16,}", s):
             out += [f"hex{bool(re.fullmatch(r'[0-9a-fA-F]+', s))}", f"mixed{0 < n < len(s)}", f"blob{min(4, len(s) // 16)}"]
-        if s.count("(") == s.count(")") and n >= 9 and re.fullmatch(r"\+?[0-9 ().-]+", head):
-            out.append(f"dialled{len(re.findall(r'[0-9]+', head))}{'(' in s}")
+        if s.count("(") == s.count(")") and n >= 9 and re.fullmatch(r"\+?[0-9 ().-]+", s):
+            out.append(f"dialled{len(re.findall(r'[0-9]+', s))}{'(' in s}")
         return out
 
     def candidates(self, text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, list[str]]]]:
         """For each end (in tokens): the starts of candidate segments with their features."""
         out: list[list[tuple[int, list[str]]]] = [[] for _ in range(len(tokens) + 1)]
-        words = [text[a : min(b, a + 80)] for a, b in tokens]
+        words = [text[a:b] for a, b in tokens]
         for j in range(1, len(tokens) + 1):
             if not (words[j - 1][-1].isalnum()):
                 continue
             for i in range(max(0, j - MAX_TOKENS), j):
                 a, b = tokens[i][0], tokens[j - 1][1]
-                if not (words[i][0].isalnum() or words[i] in "+(") or not _ANCHOR.search(text, a, min(b, a + 400)) or "\n" in text[a : min(b, a + 400)]:
+                if not (words[i][0].isalnum() or words[i] in "+(") or not _ANCHOR.search(text, a, b) or text.find("\n", a, b) >= 0:
                     continue
                 left = next((w.lower() for w in reversed(words[max(0, i - 4) : i]) if w.isalpha()), "")
                 out[j].append((i, self.features(text, a, b, left if left in KEY_WORDS else "other")))
@@ -261,32 +261,19 @@ def trained_field(n: int = 240, rounds: int = 4, seed: int = 7) -> Field:
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches with a digit or @, with a few words around; stretches that meet are one."""
-    open_at, open_to = -1, -1
-    pos = 0
-    while m := _ANCHOR.search(text, pos):
-        a = m.start()
-        for _ in range(CONTEXT_WORDS + 1):
-            while a > 0 and text[a - 1].isspace():
-                a -= 1
-            while a > max(open_at, 0) and not text[a - 1].isspace():
-                a -= 1
-        b = m.end()
-        for k in range(2):
-            while b < len(text) and text[b].isspace() and k:
-                b += 1
-            while b < len(text) and not text[b].isspace():
-                b += 1
-        if a <= open_to:
-            open_to = max(open_to, b)
-        else:
-            if open_to >= 0:
+    """Stretches with a digit or @, with two words before and one after; stretches that meet are one.  One pass over the words."""
+    open_at, open_to, reach = -1, -1, 0
+    before = collections.deque(maxlen=CONTEXT_WORDS + 1)
+    for m in _WORD.finditer(text):
+        before.append(m.start())
+        if reach:  # the word before had an anchor
+            open_to, reach = m.end(), 0
+        if _ANCHOR.search(text, m.start(), m.end()):
+            if open_at >= 0 and before[0] > open_to:
                 yield open_at, open_to
-            open_at, open_to = a, b
-        pos = max(m.end(), b)
-        while pos > m.end() and not text[pos - 1].isspace():  # the next word may have an anchor of its own
-            pos -= 1
-    if open_to >= 0:
+                open_at = -1
+            open_at, open_to, reach = before[0] if open_at < 0 else open_at, m.end(), 1
+    if open_at >= 0:
         yield open_at, open_to
 
 
@@ -359,7 +346,3 @@ def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of base spans by kind, the digest of the base spans and all spans as text."""
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(id_col, *[n(k) for k in BASE_KINDS], F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
-
-
-def sha256_of_spans(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()

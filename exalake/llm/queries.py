@@ -89,7 +89,7 @@ def oracle_sql() -> dict[str, str]:
 
 #: The written and read record of each page, without writing it.  DuckDB has sha1 but no base32: five bits at a time.
 OP8_SQL = """
-WITH p AS (SELECT page_id, CAST(coalesce(html, '') AS BLOB) AS body FROM pages),
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex FROM p),
 k AS (SELECT *, max(page_id) OVER (PARTITION BY hex, n) AS keeper FROM d),
 b AS (SELECT *, list_transform(range(0, 32), lambda i: (

@@ -177,3 +177,44 @@ def test_factorization_machine_learns_a_pair():
     assert set(model.term.tolist()) >= {11, 22}
     i, j = np.searchsorted(model.term, [a, b])
     assert model.vector[i] @ model.vector[j] > 0.5
+
+
+def test_field_decodes_the_best_segmentation():
+    """Viterbi against every segmentation and labelling of short texts."""
+    from exalake.llm import pii
+
+    field = pii.trained_field()
+    names = ("O", *pii.KINDS)
+
+    def best(text, tokens):
+        cand = field.candidates(text, tokens)
+        score = {(i, j, k): field.score(k, f) for j in range(len(tokens) + 1) for i, f in cand[j] for k in pii.KINDS} | {(j - 1, j, "O"): 0.0 for j in range(1, len(tokens) + 1)}
+
+        def from_(at, prev):
+            if at == len(tokens):
+                return 0.0
+            return max(score[s] + field.weights.get(f"{prev}>{s[2]}", 0.0) + from_(s[1], s[2]) for s in score if s[0] == at)
+
+        return from_(0, "O"), score
+
+    for text in ("tel +1 555", "key = a1b2", "x@y.de 12", "9 1.2"):
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        want, score = best(text, tokens)
+        starts, ends = {a: i for i, (a, _) in enumerate(tokens)}, {b: j + 1 for j, (_, b) in enumerate(tokens)}
+        spans = {starts[a]: (starts[a], ends[b], k) for k, a, b in field.decode(text, tokens)}
+        got, at, prev = 0.0, 0, "O"
+        while at < len(tokens):
+            s = spans.get(at, (at, at + 1, "O"))
+            got, at, prev = got + score[s] + field.weights.get(f"{prev}>{s[2]}", 0.0), s[1], s[2]
+        assert abs(got - want) < 1e-9 and names
+
+
+def test_regions_of_long_unspaced_texts():
+    import time
+
+    from exalake.llm import pii
+
+    began = time.time()
+    assert list(pii.regions("a1" * 500_000)) == [(0, 1_000_000)]
+    assert len(list(pii.regions("a b c d 1 e f g h " * 20_000))) == 20_000
+    assert time.time() - began < 20
