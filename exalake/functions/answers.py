@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from exalake.functions.text import collapse
+from exalake.functions.text import collapse, trimmed
 
 MINUS = "−"
 
@@ -68,12 +68,44 @@ def looks_like_range(s: Column) -> Column:
 
 
 def option_letters(s: Column) -> Column:
-    """A to H in first-seen order from 'A, C', 'AC', 'A và C'; null if anything else is in the text."""
-    t = F.regexp_replace(F.upper(s), r"\b(VÀ|AND|HOẶC|OR)\b|[\s,;&+/|.()]", "")
+    """A to H in first-seen order, a lead word aside, from 'A, C', 'AC', 'A và C'; null if anything else is in the text."""
+    t = F.regexp_replace(trimmed(F.upper(s)), r"^(?:ĐÁP ÁN|DAP AN|ANSWER|PHƯƠNG ÁN)\s*[:.\-]?\s*|^ĐA\s*[:.\-]\s*", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(^|\s)(?:VÀ|VA|AND|HOẶC|HOAC|OR)(?=\s|$)", "$1"), r"[\s,;/&+.|()\-]+", "")
     letters = F.filter(F.split(t, ""), lambda c: c != "")
     return F.when(t.rlike("^[A-H]+$"), F.array_distinct(letters))
 
 
+#: Words for true and false, in the order in which they are tried (fixed values).
+TRUE_FALSE = "ĐÚNG|DUNG|SAI|TRUE|FALSE|Đ|D|S|T|F"
+LABELLED_TRUE_FALSE = rf"([A-H])\s*[).:=\-]?\s*({TRUE_FALSE})(?!\p{{L}})"
+
+
+def _is_true(word: Column) -> Column:
+    return word.isin("ĐÚNG", "DUNG", "TRUE", "Đ", "D", "T")
+
+
+def true_false(s: Column) -> Column:
+    """(labelled, in_order) of 'a-Đ, b-S', 'a) Đúng b) Sai', 'ĐSĐS', 'Đúng; Sai': marks by label, and marks in order.
+
+    Each is null where the text doesn't read so.
+    """
+    u = trimmed(F.upper(s))
+    labels, words = [F.regexp_extract_all(u, F.lit(LABELLED_TRUE_FALSE), F.lit(g)) for g in (1, 2)]
+    labelled = F.zip_with(labels, words, lambda k, w: F.struct(F.lower(k).alias("label"), _is_true(w).alias("value")))
+    rest = F.regexp_replace(u, LABELLED_TRUE_FALSE, "")
+    t = F.regexp_replace(u, r"[\s,;.\-/|()+:]+", "")
+    marks = F.regexp_extract_all(t, F.lit(f"({TRUE_FALSE})"), F.lit(1))
+    return F.struct(F.when((F.size(labels) > 0) & rest.rlike(r"^[\s,;.|/]*$"), labelled).alias("labelled"), F.when((t != "") & (F.array_join(marks, "") == t), F.transform(marks, _is_true)).alias("in_order"))
+
+
+def true_false_of(marks: Column, labels: Column) -> Column:
+    """The marks of true_false for statements with these labels as a map; null unless each has one."""
+    by_label, in_order = marks["labelled"], marks["in_order"]
+    named = F.transform(by_label, lambda m: m["label"])
+    full = (F.size(by_label) == F.size(labels)) & (F.size(F.array_distinct(named)) == F.size(labels)) & (F.size(F.array_except(labels, named)) == 0)
+    return F.when(full, F.map_from_entries(by_label)).when(F.size(in_order) == F.size(labels), F.map_from_arrays(labels, in_order))
+
+
 def variants(answers: Column) -> Column:
     """Accepted spellings: the originals first, then decimal comma and point twins and both minus signs; case aside distinct."""
     clean = F.filter(F.transform(answers, lambda s: collapse(F.coalesce(s, F.lit("")))), lambda s: s != "")

@@ -40,6 +40,11 @@ def collapse(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, WHITE + "+", " "))
 
 
+def trimmed(s: Column) -> Column:
+    """Without white space of any sort at the ends."""
+    return F.regexp_replace(s, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def slug(s: Column) -> Column:
     """Lower-case ASCII letters and digits, everything between as one underscore."""
     return F.regexp_replace(F.regexp_replace(F.lower(without_marks(s)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
@@ -82,7 +87,7 @@ def has_tag(s: Column) -> Column:
 def is_blank_html(s: Column) -> Column:
     """No text, picture, formula, table or media."""
     s = F.coalesce(s, F.lit(""))
-    text = F.replace(F.regexp_replace(s, "<[^>]*>", ""), F.lit("&nbsp;"), F.lit(" "))
+    text = F.regexp_replace(F.regexp_replace(s, "<[^>]*>", ""), "(?i)&nbsp;|&#160;|&#xa0;|\u200b", " ")
     return ~s.rlike(MEDIA) & (F.regexp_replace(text, WHITE, "") == "")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from exalake.functions.answers import looks_like_key
 from exalake.functions.text import comparison_key
 
-#: Words of file names that only say "answer key" (fixed values, longest first where one begins another).
+#: Words of file names that only say "answer key" (fixed values).
 KEY_PHRASES = [["hdc"], ["huong", "dan", "cham"], ["hd", "cham"], ["dap", "an"], ["dapan"], ["da"], ["key"], ["answer", "key"], ["answers"], ["answer"], ["loi", "giai"]]
 #: Words too common in file names to tell exams apart (fixed values).
 COMMON_WORDS = ["de", "thi", "kiem", "tra", "bai", "chua", "cau", "hoi", "file", "ban", "va"]
@@ -56,6 +56,29 @@ def nth_to_nth(questions: DataFrame, key: DataFrame) -> DataFrame:
     return rank(questions).join(rank(key).select("exam", "no", "nth", "value"), ["exam", "no", "nth"], "left")
 
 
+def find_range_answers(questions: DataFrame, key: DataFrame) -> DataFrame:
+    """questions (exam, qid, part, low, high), key (exam, part, no text, value): find_answers for a range of numbers.
+
+    The values of all its numbers joined by ', '; if any number has none, the value that the key has for 'low-high'.
+    """
+    span = F.concat_ws("-", F.col("low").cast("string"), F.col("high").cast("string"))
+    numbers = F.transform(F.sequence("low", "high"), lambda n: n.cast("string"))
+    each = questions.select("exam", "part", F.col("qid").alias("asked"), F.explode(F.array_append(numbers, span)).alias("no"))
+    found = find_answers(each.withColumn("qid", F.struct("asked", "no")), key).where("value is not null")
+    single = ~F.contains("no", F.lit("-"))
+    values = F.sort_array(F.collect_list(F.when(single, F.struct(F.col("no").cast("int").alias("n"), "value"))))
+    got = found.groupBy("exam", F.col("asked").alias("qid")).agg(values.alias("v"), F.max(F.when(~single, F.col("value"))).alias("whole"))
+    joined = F.array_join(F.transform("v", lambda x: x["value"]), ", ")
+    out = questions.join(got, ["exam", "qid"], "left")
+    return out.withColumn("value", F.when(F.size("v") == F.col("high") - F.col("low") + 1, joined).otherwise(F.col("whole"))).drop("v", "whole")
+
+
+def unused_after(key: DataFrame, answered: DataFrame) -> DataFrame:
+    """Key entries that no question took, also not by a fallback; answered is what find_answers gives (exam, no, key_part)."""
+    taken = answered.where(F.col("key_part").isNotNull()).select("exam", F.col("key_part").alias("part"), "no").distinct()
+    return key.join(taken, ["exam", "part", "no"], "left_anti")
+
+
 def unused(key: DataFrame, questions: DataFrame) -> DataFrame:
     """Key entries that no question has."""
     return key.join(questions, ["exam", "part", "no"], "left_anti")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from exalake.functions.text import trimmed
+
 
 def score(right: Column, total: Column, points: Column, wrong: Column | None = None) -> Column:
     s = F.when(total > 0, right / total * points).otherwise(0.0)
@@ -23,6 +25,16 @@ def grade_single(responses: DataFrame, keys: DataFrame) -> DataFrame:
     return joined.where(F.col("chosen").isNotNull()).select("student", "item", score((F.col("chosen") == F.col("correct")).cast("int"), F.lit(1), F.col("points")).alias("score"))
 
 
+def grade_choice(responses: DataFrame, keys: DataFrame) -> DataFrame:
+    """responses (student, item, chosen), keys (item, correct array, points): right if chosen is any correct option.
+
+    Every response stays: nothing chosen, or an item without a key, gives null.
+    """
+    rows = responses.join(keys, "item", "left")
+    right = F.array_contains("correct", F.col("chosen")).cast("int")
+    return rows.select("student", "item", F.when(trimmed(F.coalesce("chosen", F.lit(""))) != "", score(right, F.lit(1), F.col("points"))).alias("score"))
+
+
 def grade_multiple(responses: DataFrame, keys: DataFrame) -> DataFrame:
     """responses (student, item, chosen array), keys (item, options array, correct array, points).
 
@@ -38,8 +50,8 @@ def grade_multiple(responses: DataFrame, keys: DataFrame) -> DataFrame:
 
 def grade_short(responses: DataFrame, accepted: DataFrame) -> DataFrame:
     """responses (student, item, value), accepted (item, answer, points): right if any answer equals, outer blanks and case aside."""
-    key = lambda c: F.lower(F.trim(c))
-    answers = accepted.where(F.trim("answer") != "").groupBy("item").agg(F.collect_set(key("answer")).alias("answers"), F.max("points").alias("points"))
+    key = lambda c: F.lower(trimmed(c))
+    answers = accepted.where(trimmed(F.col("answer")) != "").groupBy("item").agg(F.collect_set(key("answer")).alias("answers"), F.max("points").alias("points"))
     return responses.where(F.col("value").isNotNull()).join(answers, "item").select("student", "item", score(F.array_contains("answers", key(F.col("value"))).cast("int"), F.lit(1), F.col("points")).alias("score"))
 
 
@@ -48,12 +60,12 @@ def grade_numeric(responses: DataFrame, intervals: DataFrame) -> DataFrame:
 
     All commas go first, so 12,5 is 125; what is no number is 0; a blank answer scores 0.
     """
-    raw = F.trim(F.replace("value", F.lit(","), F.lit("")))
+    raw = trimmed(F.replace("value", F.lit(","), F.lit("")))
     x = F.when(raw.rlike(r"^[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?$"), raw.try_cast("double")).otherwise(0.0)
     spans = intervals.groupBy("item").agg(F.collect_list(F.struct("low", "high")).alias("spans"), F.max("points").alias("points"))
     rows = responses.where(F.col("value").isNotNull()).withColumn("x", x).join(spans, "item")
     hit = F.exists("spans", lambda s: (F.col("x") >= F.least(s["low"], s["high"]) - 1e-12) & (F.col("x") <= F.greatest(s["low"], s["high"]) + 1e-12))
-    return rows.select("student", "item", score(((F.trim("value") != "") & hit).cast("int"), F.lit(1), F.col("points")).alias("score"))
+    return rows.select("student", "item", score(((trimmed(F.col("value")) != "") & hit).cast("int"), F.lit(1), F.col("points")).alias("score"))
 
 
 def grade_blanks(responses: DataFrame, keys: DataFrame, exact: bool = False) -> DataFrame:
@@ -62,11 +74,11 @@ def grade_blanks(responses: DataFrame, keys: DataFrame, exact: bool = False) ->
     A blank is right if any accepted text equals (case and outer blanks aside; exact: as it is, for option ids).  Blanks that
     nobody defined don't count; if all values are blank, the score is null.
     """
-    key = (lambda c: c) if exact else (lambda c: F.lower(F.trim(c)))
+    key = (lambda c: c) if exact else (lambda c: F.lower(trimmed(c)))
     blanks = keys.groupBy("item", "blank").agg(F.collect_set(key(F.col("accepted"))).alias("accepted"))
     size = keys.groupBy("item").agg(F.countDistinct("blank").alias("total"), F.max("points").alias("points"))
     hit = F.coalesce(F.array_contains("accepted", key(F.col("value"))), F.lit(False))
-    rows = responses.join(blanks, ["item", "blank"], "left").groupBy("student", "item").agg(F.sum(hit.cast("int")).alias("right"), F.max((F.trim(F.coalesce("value", F.lit(""))) != "").cast("int")).alias("answered"))
+    rows = responses.join(blanks, ["item", "blank"], "left").groupBy("student", "item").agg(F.sum(hit.cast("int")).alias("right"), F.max((trimmed(F.coalesce("value", F.lit(""))) != "").cast("int")).alias("answered"))
     return rows.join(size, "item").select("student", "item", F.when(F.col("answered") == 1, score(F.col("right"), F.col("total"), F.col("points"))).alias("score"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exalake.functions.text import has_tag, is_blank_html, occurrences
+from exalake.functions.text import collapse, has_tag, is_blank_html, occurrences, trimmed
 
 QUESTION_TYPES = ["mc", "ma", "tf", "short", "num", "blanks", "dropdowns", "matching", "essay", "text"]
 LONGEST_STEM = 15_000
@@ -40,7 +40,7 @@ def rules() -> list[tuple[str, str, Column]]:
     known = t.isin(QUESTION_TYPES)
     is_ = lambda *names: t.isin(*names)
     some = lambda c, f: F.coalesce(F.exists(c, f), F.lit(False))
-    empty = lambda x: F.trim(_text(x)) == ""
+    empty = lambda x: trimmed(_text(x)) == ""
     correct = _n(F.filter("choices", lambda c: F.coalesce(c["correct"], F.lit(False))))
     num = F.col("numeric")
     exact, span = num["exact"].isNotNull(), num["min"].isNotNull() | num["max"].isNotNull()
@@ -79,7 +79,7 @@ def rules() -> list[tuple[str, str, Column]]:
         ("dropdown_few", "error", is_("dropdowns") & some("dropdowns", lambda b: _n(b["options"]) < 2)),
         ("dropdown_undecided", "error", is_("dropdowns") & some("dropdowns", lambda b: b["correct"].isNull() | (b["correct"] < 0) | (b["correct"] >= _n(b["options"])))),
         ("dropdown_option_empty", "error", is_("dropdowns") & some("dropdowns", lambda b: F.coalesce(F.exists(b["options"], empty), F.lit(False)))),
-        ("dropdown_option_twice", "warn", is_("dropdowns") & some("dropdowns", lambda b: _twice(F.transform(b["options"], lambda o: F.lower(F.trim(_text(o))))))),
+        ("dropdown_option_twice", "warn", is_("dropdowns") & some("dropdowns", lambda b: _twice(F.transform(b["options"], lambda o: F.lower(trimmed(_text(o))))))),
     ]
     for kind, names in ids.items():
         valid = F.filter(names, lambda i: i.rlike(BLANK_ID))
@@ -102,7 +102,7 @@ def issues(questions: DataFrame) -> DataFrame:
 
 def merge_issues(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows (by, source, ord, level, message): the first of equal (level, message tail), sorted error, warn, info."""
-    tail = F.lower(F.regexp_replace("message", r"^(?i)(question|row|câu|hàng)\s*[^:]{0,20}:\s*", ""))
+    tail = F.lower(collapse(F.regexp_replace("message", r"^\s*(?i)(câu|dòng|question|item|row|hàng)\b[^:]{0,60}:\s*", "")))
     kept = rows.withColumn("_tail", tail).groupBy(*by, "level", "_tail").agg(F.min_by("message", F.struct("source", "ord")).alias("message"), F.min(F.struct("source", "ord")).alias("_first"))
     severity = F.array_position(F.array(F.lit("error"), F.lit("warn"), F.lit("info")), F.col("level")).cast("int")
     return kept.select(*by, "level", "message", severity.alias("severity"), F.col("_first.source").alias("source"), F.col("_first.ord").alias("ord"))

@@ -198,6 +198,51 @@ def option_letters(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(answers.option_letters(said), ",").alias("letters"))
 
 
+@query("""
+SELECT p_partkey, [['mc', 'ma', 'tf', 'unknown', 'num', 'dropdowns', 'essay', 'short', 'passage', 'matching'][CAST(p_partkey % 10 AS INTEGER) + 1], ['NB', 'VDC', 'TH'][CAST(p_partkey % 3 AS INTEGER) + 1]] AS codes FROM part""")
+def type_and_level_codes(spark, sf_dir):
+    """Question types and levels as sheets name them: whole, by a part of the name, by its first word."""
+    named = ["TN – Một đáp án", "Nhiều đáp án", "ĐS: Đúng/Sai", "???", "Điền số (đơn vị)", "Chọn - từ danh sách", "Tự luận *", "TLN", "đoạn dẫn", "ghép cột"]
+    pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", pick(named).alias("kind"), pick(["Nhận biết", "Mức 4", "2"]).alias("level"))
+    return rows.select("p_partkey", F.array(sheets.code_of(F.col("kind"), sheets.TYPE_NAMES), sheets.code_of(F.col("level"), sheets.LEVEL_NAMES)).alias("codes"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'a1b0c1' WHEN 1 THEN 'a1b0c0' WHEN 2 THEN 'a0b1c1' WHEN 3 THEN NULL ELSE 'a1b1c0' END AS marks FROM orders""")
+def true_false_answers(spark, sf_dir):
+    """True and false marks by label or in order, for three statements."""
+    k = F.col("o_orderkey") % 5
+    said = F.when(k == 0, "ĐSĐ").when(k == 1, "a-Đ, b-S; c-F").when(k == 2, "b) Đúng a) Sai c) true").when(k == 3, "Đúng; Sai").otherwise("T / dung. sai")
+    labels = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
+    marks = answers.true_false_of(answers.true_false(said), labels)
+    text_of = F.array_join(F.transform(labels, lambda x: F.concat(x, F.try_element_at(marks, x).cast("int").cast("string"))), "")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(marks.isNotNull(), text_of).alias("marks"))
+
+
+@query("""
+SELECT c.c_custkey AS student, c.c_nationkey AS item, CASE WHEN c.c_custkey % 7 = 0 OR n.n_nationkey IS NULL THEN NULL WHEN c.c_custkey % 4 IN (1, 3) THEN 2.0 ELSE 0.0 END AS score
+FROM customer c LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) n ON n.n_nationkey = c.c_nationkey""")
+def grade_choices(spark, sf_dir):
+    """Single choice with two accepted options; unanswered and unkeyed items keep a row without a score."""
+    chosen = F.when(F.col("c_custkey") % 7 != 0, F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (F.col("c_custkey") % 4 + 1).cast("int")))
+    said = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student"), F.col("c_nationkey").alias("item"), chosen.alias("chosen"))
+    keys = table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("item"), F.array(F.lit("B"), F.lit("D")).alias("correct"), F.lit(2.0).alias("points"))
+    return grading.grade_choice(said, keys)
+
+
+@query("""
+WITH q AS (SELECT DISTINCT o_custkey AS exam, CASE WHEN o_custkey % 3 = 0 THEN 'II' ELSE 'I' END AS part, CAST(o_orderkey % 10 AS VARCHAR) AS no FROM orders),
+k AS (SELECT DISTINCT o_custkey AS exam, CASE WHEN o_custkey % 2 = 0 THEN '' ELSE 'I' END AS part, CAST(o_orderkey % 7 AS VARCHAR) AS no FROM orders)
+SELECT k.exam, k.part, k.no FROM k WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.exam = k.exam AND q.no = k.no)""")
+def unused_after_fallback(spark, sf_dir):
+    """Key entries that no question took, also not as the part without a name or as the only part."""
+    o = table(spark, sf_dir, "orders").withColumn("exam", F.col("o_custkey"))
+    q = o.select("exam", F.when(F.col("exam") % 3 == 0, "II").otherwise("I").alias("part"), (F.col("o_orderkey") % 10).cast("string").alias("no")).distinct().withColumn("qid", F.struct("part", "no"))
+    k = o.select("exam", F.when(F.col("exam") % 2 == 0, "").otherwise("I").alias("part"), (F.col("o_orderkey") % 7).cast("string").alias("no")).distinct()
+    return answer_key.unused_after(k, answer_key.find_answers(q, k.withColumn("value", F.lit("A"))))
+
+
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(0, octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS INTEGER), 2))::BIGINT)), lambda a, b: (xor(a, b) * 16777619) & 4294967295)"
 
 

@@ -136,3 +136,22 @@ def test_packages(spark):
     assert [r.ident for r in packages.number_items(rows, "bank", ["i"]).orderBy("i").collect()] == ["b_q01", "b_q02", "b_q03"]
     names = spark.createDataFrame([("p", "b.xml"), ("p", "a&.xml")], "package string, path string")
     assert packages.manifest(names).first().manifest.startswith('<manifest><resources><resource href="a&amp;.xml">')
+
+
+def test_answers_as_people_write_them(spark):
+    got = values(spark, ["Đáp án: B", "A - C", "A va C", "ĐA. D", "B|C", "x"], lambda c: F.array_join(answers.option_letters(c), ""))
+    assert got == ["B", "AC", "AC", "D", "BC", None]
+    marks = lambda c: F.to_json(answers.true_false_of(answers.true_false(c), F.array(F.lit("a"), F.lit("b"))))
+    assert values(spark, ["ĐS", "b-Đ, a-S", "a) Đúng b) Sai", "a-Đ", "Đúng; Sai", "maybe", ""], marks) == ['{"a":true,"b":false}', '{"b":true,"a":false}', '{"a":true,"b":false}', None, '{"a":true,"b":false}', None, None]
+    assert values(spark, ["<p>&#160;</p>", "<b>&#xA0;\u200b</b>", "&amp;"], text.is_blank_html) == [True, True, False]
+
+
+def test_white_space_and_ranges(spark):
+    said = spark.createDataFrame([("s", "i", "Ha Noi\t"), ("t", "i", "\u00a0ha noi\n"), ("u", "i", "Ha  Noi")], "student string, item string, value string")
+    keys = spark.createDataFrame([("i", "ha noi", 1.0)], "item string, answer string, points double")
+    assert {r.student: r.score for r in grading.grade_short(said, keys).collect()} == {"s": 1.0, "t": 1.0, "u": 0.0}
+    q = spark.createDataFrame([("e", 1, "", 21, 22), ("e", 2, "", 23, 24), ("e", 3, "", 25, 26)], "exam string, qid int, part string, low int, high int")
+    k = spark.createDataFrame([("e", "", "21", "A"), ("e", "", "22", "C"), ("e", "", "23", "B"), ("e", "", "23-24", "B, D")], "exam string, part string, no string, value string")
+    assert {r.qid: r.value for r in answer_key.find_range_answers(q, k).collect()} == {1: "A, C", 2: "B, D", 3: None}
+    rows = spark.createDataFrame([("q", 0, 0, "error", "Dòng 12 (Phần II):  thiếu  ý"), ("q", 1, 0, "error", "Thiếu ý")], "q string, source int, ord int, level string, message string")
+    assert validation.merge_issues(rows, ["q"]).count() == 1
