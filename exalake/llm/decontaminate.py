@@ -231,7 +231,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
         @F.pandas_udf("boolean")
         def clean(text, block=block):
-            return pd.Series([not f for f in block.search([t if isinstance(t, str) else None for t in text])], dtype=bool)
+            column = pa.array([t if isinstance(t, str) else None for t in text], pa.large_string())
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            return pd.Series([not f for part in byte_slices(iter([batch]), "text") for f in block.search(part.column("text").to_pylist())], dtype=bool)
 
         docs = docs.where(clean(F.col(text_col)))
     return docs

@@ -15,12 +15,14 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, folds: int, held: int, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, label) of at most `rows` labelled documents outside the held-out fold.  Null ids, labels and texts aren't taken.
+    """(text, label) of at most `rows` labelled documents outside the held-out fold.  Null ids, labels and texts aren't taken,
+    nor ids whose labels contradict each other.
 
     The labels are cut to the bound before they meet the texts, so the broadcast side has at most `rows` narrow rows.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"))
-    chosen = known.where(fold("id", folds) != held).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(rows)
+    agreed = known.where(fold("id", folds) != held).groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
+    chosen = agreed.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(chosen), "id").select("text", "label")
 

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from exalake.llm import fingerprints, line_dedup, near_dedup
 
@@ -174,3 +175,49 @@ def test_pipeline(spark, tmp_path):
             assert frame.columns == docs.columns
     assert 0 < out.count() == frame.count() < docs.count()
     assert out.where("not lossless").count() == 0
+
+
+def test_clashing_columns(spark):
+    """Extra columns named like the operators' own stay as they are."""
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, 6, 7, 8), (2, "a b c d e f\nnew line", 9, 10, 11, 12)], "doc_id long, text string, removed int, d_id int, gone_id int, id int")
+    assert [tuple(r) for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == [(1, "a b c d e f", 5, 6, 7, 8), (2, "new line", 9, 10, 11, 12)]
+    same = docs.withColumn("text", F.lit("one two three four five six seven"))
+    assert [tuple(r)[2:] for r in near_dedup.keep_one(same).collect()] == [(5, 6, 7, 8)]
+
+
+def test_classes_equal_brute_force(spark):
+    """Classes are the components of all pairs that are similar; pairs here are far closer than the threshold or far apart."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    docs, words = [], []
+    for _ in range(20):
+        base = [rng.choice(vocab) for _ in range(rng.randint(60, 200))]
+        for _ in range(rng.choice([1, 3, 6])):
+            w = base[:]
+            for _ in range(rng.randint(0, len(w) // 20)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            docs.append((len(docs), " ".join(w)))
+            words.append(w)
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if abs(len(words[i]) - len(words[j])) <= 40 and 1 - distance(words[i], words[j]) / max(len(words[i]), len(words[j])) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(root))
+
+
+def test_recall_by_edits():
+    """The share of pairs that meet in a sketch, by the share of words replaced: at least 0.85 even at the threshold itself."""
+    rng = np.random.default_rng(5)
+    for share, least in ((0.05, 1.0), (0.1, 0.99), (0.15, 0.95), (0.2, 0.85)):
+        met = 0
+        for _ in range(60):
+            a = rng.integers(0, 2**62, 300, dtype=np.uint64)
+            b = a.copy()
+            at = rng.choice(300, int(300 * share), replace=False)
+            b[at] = rng.integers(0, 2**62, len(at), dtype=np.uint64)
+            rows = near_dedup.order_min_hash(np.concatenate([a, b]), np.array([0, 300, 600]))
+            met += bool((rows[0] == rows[1]).any())
+        assert met / 60 >= least - 0.05, share
