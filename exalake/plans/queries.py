@@ -199,13 +199,13 @@ def option_letters(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, [['mc', 'ma', 'tf', 'unknown', 'num', 'dropdowns', 'essay', 'short', 'passage', 'matching'][CAST(p_partkey % 10 AS INTEGER) + 1], ['NB', 'VDC', 'TH'][CAST(p_partkey % 3 AS INTEGER) + 1]] AS codes FROM part""")
+SELECT p_partkey, ['mc', 'ma', 'tf', 'unknown', 'num', 'dropdowns', 'essay', 'short', 'passage', 'matching'][CAST(p_partkey % 10 AS INTEGER) + 1] AS kind_code, ['NB', 'VDC', 'TH'][CAST(p_partkey % 3 AS INTEGER) + 1] AS level_code FROM part""")
 def type_and_level_codes(spark, sf_dir):
     """Question types and levels as sheets name them: whole, by a part of the name, by its first word."""
     named = ["TN – Một đáp án", "Nhiều đáp án", "ĐS: Đúng/Sai", "???", "Điền số (đơn vị)", "Chọn - từ danh sách", "Tự luận *", "TLN", "đoạn dẫn", "ghép cột"]
     pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % len(names) + 1).cast("int"))
     rows = table(spark, sf_dir, "part").select("p_partkey", pick(named).alias("kind"), pick(["Nhận biết", "Mức 4", "2"]).alias("level"))
-    return rows.select("p_partkey", F.array(sheets.code_of(F.col("kind"), sheets.TYPE_NAMES), sheets.code_of(F.col("level"), sheets.LEVEL_NAMES)).alias("codes"))
+    return rows.select("p_partkey", sheets.code_of(F.col("kind"), sheets.TYPE_NAMES).alias("kind_code"), sheets.code_of(F.col("level"), sheets.LEVEL_NAMES).alias("level_code"))
 
 
 @query("""
