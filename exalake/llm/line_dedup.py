@@ -27,6 +27,8 @@ LEAST_CHARS = 1
 RARITY_PLACES = 1 << 17
 #: Tokens from this rarity class on (half powers of two: about 1,000 occurrences) count as frequent; lines of others all meet at once.
 FEW_CLASS = 20
+#: Dictionary of a written file's token hashes: a common token is then a small number in it, not eight bytes each time.
+DICTIONARY_BYTES = 16 << 20
 _HASH_BITS = 56
 
 
@@ -52,13 +54,17 @@ def _place(key: Column) -> Column:
     return key.bitwiseAND(F.lit(RARITY_PLACES - 1).cast("long")).cast("int")
 
 
-def rarity(rows: DataFrame) -> Column:
-    """How frequent each place of token hashes is, in half powers of two: one number a place, a constant of fixed size.
+def token_sets(rows: DataFrame) -> DataFrame:
+    """A row for each line: id, h, no, keys (its distinct tokens as hashes).  Texts are split and hashed here alone."""
+    return lines(rows).select("id", "h", "no", hashed(F.col("line")).alias("keys"))
 
-    Every token of every text is counted; line feeds are blanks here.
+
+def rarity(every: DataFrame) -> Column:
+    """How many lines hold the tokens of each place, in half powers of two: one number a place, a constant of fixed size.
+
+    Every line of every text is counted.
     """
-    words = rows.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("t"))
-    counts = words.select(F.xxhash64("t").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    counts = every.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     table = bytearray(RARITY_PLACES)
     places = materialise(counts.groupBy(_place(F.col("k")).alias("at")).agg(F.floor(2 * F.log2(F.max("n"))).cast("int").alias("n")), "rarity")
     for at, n in places.collect():  # a row a place at most
@@ -67,15 +73,14 @@ def rarity(rows: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")  # folded to a constant
 
 
-def line_sets(rows: DataFrame, rare: Column) -> DataFrame:
-    """A row for each line: id, h, no, s1 and s2 (its tokens in order), n (tokens), prefix (the first tokens and one more), bits and bits2 (parity of hashed tokens)."""
+def line_sets(every: DataFrame, rare: Column) -> DataFrame:
+    """token_sets as id, h, no, s1 and s2 (the digest of the set), n (tokens), prefix (the first tokens and one more), bits and bits2 (parity of hashed tokens)."""
     low = F.lit((1 << _HASH_BITS) - 1).cast("long")
-    sets = lines(rows).select("id", "h", "no", hashed(F.col("line")).alias("keys"))
     ranked = F.sort_array(F.transform("keys", lambda k: F.shiftleft(F.coalesce(F.get(rare, _place(k)).cast("long"), F.lit(0).cast("long")), _HASH_BITS).bitwiseOR(k.bitwiseAND(low))))
     none = F.lit(0).cast("long")
     half = lambda mine: F.aggregate("keys", none, lambda acc, k: F.when(mine(k), acc.bitwiseXOR(one_bit(F.shiftrightunsigned(k, 57)))).otherwise(acc))
     n = F.size("keys")
-    return sets.select("id", "h", "no", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), n.alias("n"), F.slice(ranked, F.lit(1), _first(n) + 1).alias("prefix"), half(lambda k: k >= none).alias("bits"), half(lambda k: k < none).alias("bits2"))
+    return every.select("id", "h", "no", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), n.alias("n"), F.slice(ranked, F.lit(1), _first(n) + 1).alias("prefix"), half(lambda k: k >= none).alias("bits"), half(lambda k: k < none).alias("bits2"))
 
 
 def _first(n: Column) -> Column:
@@ -131,9 +136,10 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of each line's partners the one that shares most of its prefix is verified first, the others only where that one fails.
     """
     rows = numbered(docs, id_col, text_col)
-    every = materialise(line_sets(rows, rarity(rows)), "lines")
+    every = materialise(token_sets(rows), "lines", **{"parquet.dictionary.page.size": str(DICTIONARY_BYTES)})
+    ranked = line_sets(every, rarity(every))
     own = F.struct(F.col("id").isNull().alias("nul"), "id", "h", "no").alias("own")
-    firsts = every.select("s1", "s2", own, "n", "prefix", "bits", "bits2").groupBy("s1", "s2").agg(F.min("own").alias("own"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "bits2")])
+    firsts = ranked.select("s1", "s2", own, "n", "prefix", "bits", "bits2").groupBy("s1", "s2").agg(F.min("own").alias("own"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "bits2")])
     sets = materialise(firsts.repartitionByRange("own").sortWithinPartitions("own").select(F.monotonically_increasing_id().alias("u"), "own", "n", "prefix", "bits", "bits2"), "firsts")
     drop(every)
 

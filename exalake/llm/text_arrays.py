@@ -39,8 +39,8 @@ def shared_dir(spark, name: str) -> str:
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors.
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df once (with the writer's options) to the shared folder and read it back: cuts the lineage, survives lost executors.
 
     Shuffle files that only the writing needed go with it.
     """
@@ -48,7 +48,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path, before = shared_dir(spark, name), spark.conf.get(_CLEAN_SHUFFLES, None)
     spark.conf.set(_CLEAN_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.unset(_CLEAN_SHUFFLES) if before is None else spark.conf.set(_CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
