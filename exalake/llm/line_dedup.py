@@ -98,9 +98,14 @@ def may_match(a: str, b: str) -> Column:
     return parity & length & place
 
 
+def grown(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: never broadcast, however small it is today."""
+    return side.hint("merge")
+
+
 def meet(later: DataFrame, earlier: DataFrame, *keys: str) -> DataFrame:
     """(a, b): pairs of a line and one before it that agree in keys and pass the filters."""
-    both = later.alias("x").join(earlier.alias("y"), [*[F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys], F.col("y.u") < F.col("x.u"), may_match("x", "y")])
+    both = grown(later).alias("x").join(earlier.alias("y"), [*[F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys], F.col("y.u") < F.col("x.u"), may_match("x", "y")])
     return both.select(F.col("x.u").alias("a"), F.col("y.u").alias("b"))
 
 
@@ -116,14 +121,14 @@ def verified(pairs: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
     Sets are built again for lines in pairs only; a fixed-size bitmap of their documents keeps most other texts from moving.
     """
     some = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
-    wanted = places.join(some, "u").groupBy(F.col("own.id").alias("d_id"), F.col("own.h").alias("d_h")).agg(F.collect_list(F.struct("own.no", "u")).alias("at"))
+    wanted = places.join(grown(some), "u").groupBy(F.col("own.id").alias("d_id"), F.col("own.h").alias("d_h")).agg(F.collect_list(F.struct("own.no", "u")).alias("at"))
     wanted = materialise(wanted, "wanted")
     near = rows.where(may_hold(wanted, "d_h")(F.col("h")))
-    texts = near.join(wanted, near["id"].eqNullSafe(wanted["d_id"]) & (near["h"] == wanted["d_h"]))
+    texts = near.join(grown(wanted), near["id"].eqNullSafe(wanted["d_id"]) & (near["h"] == wanted["d_h"]))
     places_of = texts.select(F.split("text", "\n").alias("all"), "at").select("all", F.explode("at").alias("one"))
     sets = places_of.select("one.u", F.get("all", F.col("one.no")).alias("line")).select("u", hashed(F.col("line")).alias("keys"))
     sets = materialise(sets.groupBy("u").agg(F.first("keys").alias("keys")), "sets")  # a repeated row gives its lines again
-    both = pairs.join(sets.select(F.col("u").alias("a"), F.col("keys").alias("x")), "a").join(sets.select(F.col("u").alias("b"), F.col("keys").alias("y")), "b")
+    both = pairs.join(grown(sets.select(F.col("u").alias("a"), F.col("keys").alias("x"))), "a").join(grown(sets.select(F.col("u").alias("b"), F.col("keys").alias("y"))), "b")
     common = F.size(F.array_intersect("x", "y"))
     found = materialise(both.where(common * DENOMINATOR >= (F.size("x") + F.size("y") - common) * NUMERATOR).select(F.col("a").alias("u")).distinct(), "found")
     drop(sets), drop(wanted)
@@ -152,11 +157,14 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = met.groupBy("a").agg(F.max_by("b", "shared").alias("b"))
     places = sets.select("u", "own")
     found = verified(materialise(best, "best"), places, rows)
-    two = many.select("u", "n", "bits", "bits2", "pos", "token", F.explode("later").alias("token2"))
-    rest = met.select("a", "b").unionByName(meet(two.join(found, "u", "left_anti"), two, "token", "token2"))
-    rest = materialise(rest.join(found.withColumnRenamed("u", "a"), "a", "left_anti").distinct(), "rest")
+    open_ = materialise(many.join(grown(found), "u", "left_anti"), "open")
+    sought = open_.select("token").distinct()
+    two = lambda side: side.select("u", "n", "bits", "bits2", "pos", "token", F.explode("later").alias("token2"))
+    rest = met.select("a", "b").unionByName(meet(two(open_), two(many.join(grown(sought), "token", "left_semi")), "token", "token2"))
+    rest = materialise(rest.join(grown(found.withColumnRenamed("u", "a")), "a", "left_anti").distinct(), "rest")
+    drop(open_)
     found = found.unionByName(verified(rest, places, rows))
-    kept = places.join(found, "u", "left_anti")
+    kept = places.join(grown(found), "u", "left_anti")
     out = materialise(kept.groupBy(F.col("own.id").alias("d_id"), F.col("own.h").alias("d_h")).agg(F.collect_set("own.no").alias("kept")), "kept")
     for table in (many, met, rest, sets):
         drop(table)
@@ -166,7 +174,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def with_removed(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """rows of (id, h, lines, ...) with removed: the places of lines with a token that are not kept, ascending."""
     worded = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.char_length(F.trim(F.get("lines", i))) >= LEAST_CHARS)
-    out = rows.withColumn("worded", worded).drop("lines").join(kept, rows["id"].eqNullSafe(kept["d_id"]) & (rows["h"] == kept["d_h"]), "left")
+    out = rows.withColumn("worded", worded).drop("lines").join(grown(kept), rows["id"].eqNullSafe(kept["d_id"]) & (rows["h"] == kept["d_h"]), "left")
     return out.withColumn("removed", F.array_except("worded", F.coalesce("kept", F.array().cast("array<int>")))).drop("d_id", "d_h", "kept", "worded")
 
 
