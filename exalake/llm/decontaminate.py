@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,12 +227,16 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """The rows of docs, all columns, that hold no test item (see contaminations); null texts stay."""
     for block in item_blocks(items, item_col, item_text_col, rate):
+        docs = docs.where(holds_none(block)(F.col(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(text, block=block):
-            column = pa.array([t if isinstance(t, str) else None for t in text], pa.large_string())
-            batch = pa.RecordBatch.from_arrays([column], ["text"])
-            return pd.Series([not f for part in byte_slices(iter([batch]), "text") for f in block.search(part.column("text").to_pylist())], dtype=bool)
 
-        docs = docs.where(clean(F.col(text_col)))
-    return docs
+def holds_none(block: ItemBlock):
+    """An Arrow function of texts: whether they hold no item of block."""
+
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], ["text"])
+        return pa.array([not f for part in byte_slices(iter([batch]), "text") for f in block.search(part.column("text").to_pylist())], pa.bool_())
+
+    return clean

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Bits of the filter that keeps most texts without partners from moving.
 FILTER_BITS = 1 << 22
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark, name: str) -> str:

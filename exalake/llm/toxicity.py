@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,10 +146,9 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """The rows of docs, all columns, that the machine (fitted on training_docs, or docs) does not predict as toxic."""
     model = train(docs if training_docs is None else training_docs, labels, id_col, text_col)
 
-    @F.pandas_udf("double")
-    def toxic(text):  # an Arrow column in and out, so that rows keep all their columns
-        column = pa.array(text, pa.string(), from_pandas=True)
-        out = [model.score(*utf8(part.column("text"))) for part in byte_slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text")]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    @F.arrow_udf("double")
+    def toxic(text: pa.Array) -> pa.Array:  # an Arrow column in and out, so that rows keep all their columns
+        out = [model.score(*utf8(part.column("text"))) for part in byte_slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text")]
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return docs.where(toxic(F.col(text_col)) < THRESHOLD)
