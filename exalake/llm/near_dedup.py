@@ -5,8 +5,9 @@ the few least labelled k-mers and keeps their order in the text, so equal sketch
 just for common words.  Documents with an equal sketch are candidates; a banded alignment of their words decides.  Exact
 copies are one node from the start.  Classes are the connected components of the verified links.
 
-A bucket of equal sketches is not spread into its pairs.  Each member meets the bucket's centre first, and only members
-that links don't connect by then go on: they meet more heads of the bucket in each turn, in the last turn all of it.  Pairs
+A bucket of equal sketches is not spread into its pairs.  Each document meets the centre of its widest bucket first, one
+pair a document, and only members of a bucket that links don't connect by then go on: they meet the bucket's own centre, then
+more heads of it in each turn, in the last turn all of it.  Pairs
 whose lengths or word parities rule similarity out are never made; both bounds are exact.
 """
 
@@ -27,12 +28,12 @@ SIMILARITY = 0.8
 #: Hash functions, and labelled k-mers that a sketch takes of each.  At the threshold itself (a fifth of the words replaced
 #: here and there) a pair shares a sketch with a chance of about 0.9, at a tenth replaced of almost 1.
 SKETCHES, PER_SKETCH = 64, 2
-#: Buckets of at most so many are paired outright at once.
+#: Buckets of at most so many are paired outright as soon as they meet their centre.
 SMALL = 4
 #: Later, buckets of at most so many are.
 PAIRED_OUTRIGHT = 64
-#: Heads that members of a large bucket meet in each turn after the first; None: all members.
-HEADS = (8, 64, None)
+#: Heads that members of a bucket meet in each turn after the first; 0: its centre alone; None: all members.
+HEADS = (0, 8, 64, None)
 #: Edits that are looked for along single diagonals; beyond them the whole band goes at once.
 SCALAR_EDITS = 6
 #: Words of a document's parity filter, 64 bits each.
@@ -261,25 +262,30 @@ def buckets(nodes: DataFrame) -> DataFrame:
 def classes_of(members: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(u, root) of nodes that links connect.  Every pair of a bucket is compared, ruled out by exact bounds, or connected by other links."""
     known = nodes.select("u", "n_words", *PARITY)
-    small, large = members.where(F.col("n") <= SMALL), materialise(members.where(F.col("n") > SMALL).join(known, "u"), "large")
-    outright = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.u") < F.col("y.u"))).select(F.col("x.u").alias("a"), F.col("y.u").alias("b"))
-    star = large.where("u != centre").select(F.col("centre").alias("a"), F.col("u").alias("b"))
-    pairs = outright.unionByName(star).distinct()
-    sides = pairs.join(known.withColumnsRenamed({c: f"{c}_a" for c in known.columns}), F.col("a") == F.col("u_a")).join(known.withColumnsRenamed({c: f"{c}_b" for c in known.columns}), F.col("b") == F.col("u_b"))
+    widest = members.groupBy("u").agg(F.max(F.struct("n", (-F.col("centre")).alias("centre"))).alias("widest"))
+    star = widest.select((-F.col("widest.centre")).alias("a"), F.col("u").alias("b")).where("a != b")
+    sides = star.join(known.withColumnsRenamed({c: f"{c}_a" for c in known.columns}), F.col("a") == F.col("u_a")).join(known.withColumnsRenamed({c: f"{c}_b" for c in known.columns}), F.col("b") == F.col("u_b"))
     side = lambda s: F.struct("n_words_" + s, *[f"{w}_{s}" for w in PARITY]).cast("struct<n_words:long," + ",".join(f"{w}:long" for w in PARITY) + ">").alias(s * 2)
     tried = materialise(sides.select("a", "b", side("a"), side("b")).where(may_be_similar("aa", "bb", similarity)).select("a", "b"), "tried")
     labels = components(verify(tried, nodes, rows, similarity))
+    left = members
     for turn, heads in enumerate(HEADS, 1):
-        placed = large.drop("root", "n").join(labels, "u", "left").withColumn("root", F.coalesce("root", "u"))
-        apart = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
-        large = materialise(placed.join(apart.select("bucket", "n"), "bucket"), "large")
-        head = large if heads is None else large.where((F.col("n") <= PAIRED_OUTRIGHT) | (F.pmod(F.xxhash64("u", "bucket", F.lit(turn)), F.col("n")) < heads))
-        met = large.alias("x").join(head.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & may_be_similar("x", "y", similarity))
+        placed = left.select("bucket", "u").join(labels, "u", "left").withColumn("root", F.coalesce("root", "u"))
+        apart = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("u").alias("centre"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+        before, left = left, materialise(placed.join(apart.select("bucket", "n", "centre"), "bucket"), "apart")
+        drop(before)
+        full = left.join(known, "u")
+        head = full
+        if heads is not None:
+            chosen = F.col("u") == F.col("centre") if not heads else F.pmod(F.xxhash64("u", "bucket", F.lit(turn)), F.col("n")) < heads
+            head = full.where((F.col("n") <= (PAIRED_OUTRIGHT if heads else SMALL)) | chosen)
+        met = full.alias("x").join(head.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & may_be_similar("x", "y", similarity))
         pairs = met.select(F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)
             labels = merged(labels, verify(pairs, nodes, rows, similarity))
+    drop(left)
     return labels
 
 
