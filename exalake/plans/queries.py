@@ -665,3 +665,6 @@ def exam_package_questions(spark, sf_dir):
     data = F.to_json(F.struct(F.struct(F.lit("t").alias("title")).alias("EXAM"), F.array(F.struct(F.lit("I").alias("label"), groups.alias("groups"))).alias("PARTS")))
     packages_ = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("package"), data.alias("data"))
     return exams.questions(packages_).select("package", "type", "no", "stem", "answer", "points")
+
+
+from exalake.plans import bank_queries  # noqa: E402,F401  registers its queries; it needs those above
