@@ -141,3 +141,21 @@ def box_prefix(content: Column, n: Column) -> Column:
 def without_box_marks(passage: Column, ids: Column) -> Column:
     """The passage with a zero-width space in what reads as a box of the question."""
     return F.aggregate(ids, passage, lambda acc, i: F.replace(acc, F.concat(F.lit("["), i, F.lit("]")), F.concat(F.lit("[​"), i, F.lit("]"))))
+
+
+def from_first_bank(lines: DataFrame, by: str, order: str) -> DataFrame:
+    """lines (by, order, opens) from the first line that opens a bank on; all lines of a document without one."""
+    first = lines.where("opens").groupBy(by).agg(F.min(order).alias("_first"))
+    return lines.join(first, by, "left").where(F.col("_first").isNull() | (F.col(order) >= F.col("_first"))).drop("_first")
+
+
+def marked_by_format(runs: DataFrame, by: str, option: str, least: float = 0.8) -> DataFrame:
+    """(by, option, marked): options of which at least that share of the characters, blanks aside, is formatted; a format of all options marks none.
+
+    runs: (by, option, text, formatted).  An option without text isn't marked.
+    """
+    size = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", ""))
+    share = runs.groupBy(by, option).agg((F.sum(F.when(F.col("formatted"), size).otherwise(0)) >= least * F.sum(size)).alias("_own"), (F.sum(size) > 0).alias("_some"))
+    share = share.select(by, option, (F.col("_own") & F.col("_some")).alias("marked"))
+    every = share.groupBy(F.col(by).alias("_by")).agg(F.bool_and("marked").alias("_all"))
+    return share.join(every, F.col(by).eqNullSafe(F.col("_by"))).select(by, option, (F.col("marked") & ~F.col("_all")).alias("marked"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from exalake.functions import cells
-from exalake.operators import banks, exports
+from exalake.operators import banks, exports, grading
 from exalake.plans.queries import ORACLES, _questions, query, table
 
 
@@ -322,3 +322,33 @@ def package_plans(spark, sf_dir):
     """The archives of an export: one a bank, and one for all."""
     items = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_nationkey").alias("bank"), F.col("n_name").alias("title"), (F.col("c_custkey") % 4).cast("double").alias("points"))
     return exports.package_plan(items, classic=False).unionByName(exports.package_plan(items, classic=True))
+
+
+# -- documents -----------------------------------------------------------------------------------------------------------
+@query("""
+WITH f AS (SELECT user_id, min(event_id) AS f FROM events WHERE event_id % 11 = 0 GROUP BY 1)
+SELECT event_id FROM events LEFT JOIN f USING (user_id) WHERE f IS NULL OR event_id >= f""")
+def lines_from_first_bank(spark, sf_dir):
+    """What stands before the first bank of a document is left out, where there is a bank."""
+    lines = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 11 == 0).alias("opens"))
+    return banks.from_first_bank(lines, "user_id", "event_id").select("event_id")
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS item, l_linenumber % 4 AS opt, length(l_returnflag || l_partkey) AS n, l_quantity < 30 AS formatted FROM lineitem),
+s AS (SELECT item, opt, sum(CASE WHEN formatted THEN n ELSE 0 END) * 10 >= sum(n) * 8 AS own FROM r GROUP BY 1, 2)
+SELECT item, opt, own AND NOT bool_and(own) OVER (PARTITION BY item) AS marked FROM s""")
+def options_marked_by_format(spark, sf_dir):
+    """Options that stand out by their format."""
+    runs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), (F.col("l_linenumber") % 4).alias("opt"), F.concat("l_returnflag", F.lit(" \t"), F.col("l_partkey").cast("string")).alias("text"), (F.col("l_quantity") < 30).alias("formatted"))
+    return banks.marked_by_format(runs, "item", "opt")
+
+
+@query("""
+SELECT o_custkey AS student, count(*) FILTER (o_orderkey % 3 <> 0) AS graded, count(*) AS answered, sum(CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 4 = o_orderkey % 5)::INTEGER END)::DOUBLE AS total FROM orders GROUP BY 1""")
+def grades_with_essays(spark, sf_dir):
+    """Totals over choices, and essays that wait for a person."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("student"), F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 4).alias("chosen"))
+    keys = o.select("item", (F.col("item") % 5).alias("correct"), F.lit(1.0).alias("points"))
+    scores = grading.grade_single(o.where("item % 3 <> 0"), keys).select("student", "item", "score").unionByName(grading.grade_by_hand(o.where("item % 3 = 0")))
+    return scores.groupBy("student").agg(F.count("score").alias("graded"), F.count("*").alias("answered"), F.sum("score").alias("total"))
