@@ -77,6 +77,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exalake.llm.centroids import clusters
+
+    return clusters(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -84,7 +90,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    from exalake.llm.centroids import clusters_sql
+
+    return {"op8_warc": OP8_SQL, "op11_centroids": clusters_sql()}
 
 
 #: The written and read record of each page, without writing it.  DuckDB has sha1 but no base32: five bits at a time.
