@@ -83,6 +83,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(read(spark, sf_dir, "embeddings"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exalake.llm.phrases import phrases
+
+    return phrases(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -92,7 +98,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from exalake.llm.centroids import clusters_sql
 
-    return {"op8_warc": OP8_SQL, "op11_centroids": clusters_sql()}
+    from exalake.llm.phrases import PHRASES_SQL
+
+    return {"op8_warc": OP8_SQL, "op11_centroids": clusters_sql(), "op12_phrases": PHRASES_SQL}
 
 
 #: The written and read record of each page, without writing it.  DuckDB has sha1 but no base32: five bits at a time.
