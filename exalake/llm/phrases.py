@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from exalake.llm.text_arrays import _LOWER, SLICE_BYTES, byte_slices, drop, materialise, mix, prefix_hashes, span_hashes, utf8
+from exalake.llm.text_arrays import _LOWER, byte_slices, drop, materialise, mix, prefix_hashes, span_hashes, utf8
 
 MIN_COUNT, MOST_WORDS, TOP = 10, 3, 2000
 #: A phrase goes if one that holds it occurs at least this often for each hundred of its own occurrences.
@@ -29,8 +29,9 @@ INSIDE_PERCENT = 50
 RANKED_WORDS, RANKED_BYTES = 1 << 17, 8 << 20
 #: Occurrences of a pivot that one group of its fragments stands for, on average.
 GROUP = 20_000
-#: Rows that are added up in a task before they move.
-COMBINE_ROWS = 1 << 20
+#: Bytes of text that one numpy pass handles, and rows that are added up in a task before they move.
+SLICE_BYTES = 1 << 18
+COMBINE_ROWS = 1 << 18
 #: Groups in which a language's first rows are chosen before they meet.
 TOP_GROUPS = 64
 
@@ -42,7 +43,7 @@ _APART[[ord(" "), ord("\t")]] = True
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
     """(bytes in lower case, offsets, lang of each row) of about SLICE_BYTES; a longer text is cut where pieces end."""
-    for batch in byte_slices(batches, "text"):
+    for batch in byte_slices(batches, "text", SLICE_BYTES):
         data, offsets = utf8(batch.column("text"))
         low, lang = _LOWER[data], batch.column("lang")
         if batch.num_rows > 1 or len(low) <= 2 * SLICE_BYTES:
