@@ -89,6 +89,13 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases(read(spark, sf_dir, "documents"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exalake.llm.secrets import digest_columns, secrets, trained
+
+    docs = read(spark, sf_dir, "documents")
+    return digest_columns(secrets(docs, trained(docs)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -99,8 +106,9 @@ def oracle_sql() -> dict[str, str]:
     from exalake.llm.centroids import clusters_sql
 
     from exalake.llm.phrases import PHRASES_SQL
+    from exalake.llm.secrets import SECRETS_SQL
 
-    return {"op8_warc": OP8_SQL, "op11_centroids": clusters_sql(), "op12_phrases": PHRASES_SQL}
+    return {"op8_warc": OP8_SQL, "op11_centroids": clusters_sql(), "op12_phrases": PHRASES_SQL, "op13_secrets": SECRETS_SQL}
 
 
 #: The written and read record of each page, without writing it.  DuckDB has sha1 but no base32: five bits at a time.
