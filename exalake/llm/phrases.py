@@ -32,6 +32,8 @@ GROUP = 20_000
 #: Bytes of text that one numpy pass handles, and rows that are added up in a task before they move.
 SLICE_BYTES = 1 << 18
 COMBINE_ROWS = 1 << 18
+#: Partitions of the mined fragments for each of the session's shuffle partitions: about so many n-grams come of a fragment.
+MINED_PARTITIONS = 4
 #: Groups in which a language's first rows are chosen before they meet.
 TOP_GROUPS = 64
 
@@ -108,6 +110,8 @@ def _combined(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, rows = [], 0
     if rows:
         yield from total()
+    held = []
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task beside those of other stages
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +242,8 @@ def mined(routed: DataFrame, most: int = MOST_WORDS, min_count: int = MIN_COUNT)
 def candidates(docs: DataFrame, counts: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT, most: int = MOST_WORDS, group: int = GROUP, ranked: int = RANKED_WORDS) -> DataFrame:
     """(lang, phrase, a) of all phrases of 2 to `most` words that occur min_count times."""
     found = fragments(docs, ranks(counts, min_count, ranked), most, group, lang_col, text_col)
-    return mined(found.repartition("lang", "pivot", "part"), most, min_count)
+    parts = MINED_PARTITIONS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mined(found.repartition(parts, "lang", "pivot", "part"), most, min_count)
 
 
 def scored(found: DataFrame, counts: DataFrame, most: int = MOST_WORDS) -> DataFrame:
