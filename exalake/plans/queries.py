@@ -667,4 +667,4 @@ def exam_package_questions(spark, sf_dir):
     return exams.questions(packages_).select("package", "type", "no", "stem", "answer", "points")
 
 
-from exalake.plans import bank_queries  # noqa: E402,F401  registers its queries; it needs those above
+from exalake.plans import bank_queries, source_queries  # noqa: E402,F401  they register their queries; they need those above
