@@ -70,7 +70,7 @@ def looks_like_range(s: Column) -> Column:
 def option_letters(s: Column) -> Column:
     """A to H in first-seen order, a lead word aside, from 'A, C', 'AC', 'A và C'; null if anything else is in the text."""
     t = F.regexp_replace(trimmed(F.upper(s)), r"^(?:ĐÁP ÁN|DAP AN|ANSWER|PHƯƠNG ÁN)\s*[:.\-]?\s*|^ĐA\s*[:.\-]\s*", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(^|\s)(?:VÀ|VA|AND|HOẶC|HOAC|OR)(?=\s|$)", "$1"), r"[\s,;/&+.|()\-]+", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(^|\s)(?:VÀ|VA|AND|HOẶC|HOAC)(?=\s|$)", "$1"), r"[\s,;/&+.|()\-]+", "")
     letters = F.filter(F.split(t, ""), lambda c: c != "")
     return F.when(t.rlike("^[A-H]+$"), F.array_distinct(letters))
 

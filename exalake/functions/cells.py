@@ -108,9 +108,15 @@ def sheet_numeric(s: Column, cell: Column | None = None) -> Column:
 
 
 def numeric_bounds(numeric: Column) -> Column:
-    """(low, high) that an answer may have.  Margins are taken in decimals, so 0.3 with 0.1 ends at 0.2 and 0.4; twelve places count."""
-    exact, margin = numeric["exact"].cast("decimal(36,12)"), F.greatest(F.coalesce(numeric["margin"], F.lit(0.0)), F.lit(0.0)).cast("decimal(36,12)")
-    low, high = (exact - margin).cast("double"), (exact + margin).cast("double")
+    """(low, high) that an answer may have.  Margins are taken in decimals, so 0.3 with 0.1 ends at 0.2 and 0.4.
+
+    Where decimals can't hold both numbers (from 1e20 on, or with more than 18 places) the margin is taken as doubles are.
+    """
+    said, margin = numeric["exact"], F.greatest(F.coalesce(numeric["margin"], F.lit(0.0)), F.lit(0.0))
+    exact, near = said.try_cast("decimal(38,18)"), margin.try_cast("decimal(38,18)")
+    held = F.coalesce((exact.cast("double") == said) & (near.cast("double") == margin), F.lit(False))
+    low = F.when(margin == 0, said).when(held, F.try_subtract(exact, near).cast("double")).otherwise(said - margin)
+    high = F.when(margin == 0, said).when(held, F.try_add(exact, near).cast("double")).otherwise(said + margin)
     return F.struct(F.when(numeric["exact"].isNotNull(), low).otherwise(numeric["min"]).alias("low"), F.when(numeric["exact"].isNotNull(), high).otherwise(numeric["max"]).alias("high"))
 
 

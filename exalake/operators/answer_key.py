@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exalake.functions.answers import looks_like_key
-from exalake.functions.text import comparison_key
+from exalake.functions.text import comparison_key, trimmed
 
 #: Words of file names that only say "answer key" (fixed values).
 KEY_PHRASES = [["hdc"], ["huong", "dan", "cham"], ["hd", "cham"], ["dap", "an"], ["dapan"], ["da"], ["key"], ["answer", "key"], ["answers"], ["answer"], ["loi", "giai"]]
@@ -41,15 +41,6 @@ def find_answers(questions: DataFrame, key: DataFrame) -> DataFrame:
     return questions.join(best, ["exam", "qid"], "left")
 
 
-def find_ranges(questions: DataFrame, key: DataFrame) -> DataFrame:
-    """questions (exam, qid, low, high), key (exam, no int, value): values of all numbers joined by ', ' if every one has one."""
-    each = questions.select("exam", "qid", "low", "high", F.explode(F.sequence("low", "high")).alias("no"))
-    hits = each.join(key.select("exam", "no", "value"), ["exam", "no"])
-    full = hits.groupBy("exam", "qid", "low", "high").agg(F.sort_array(F.collect_list(F.struct("no", "value"))).alias("v"))
-    whole = full.where(F.size("v") == F.col("high") - F.col("low") + 1).select("exam", "qid", F.array_join(F.transform("v", lambda x: x["value"]), ", ").alias("value"))
-    return questions.join(whole, ["exam", "qid"], "left")
-
-
 def nth_to_nth(questions: DataFrame, key: DataFrame) -> DataFrame:
     """The k-th key entry of (exam, no) to the k-th question with that number; null if there are fewer."""
     rank = lambda d: d.withColumn("nth", F.row_number().over(Window.partitionBy("exam", "no").orderBy("ord")))
@@ -86,7 +77,7 @@ def unused(key: DataFrame, questions: DataFrame) -> DataFrame:
 
 def outcome(marked: Column, keyed: Column) -> Column:
     """filled, same, conflict or skipped: the document's own answer always stays."""
-    return F.when(F.coalesce(F.trim(keyed), F.lit("")) == "", "skipped").when(F.coalesce(F.trim(marked), F.lit("")) == "", "filled").when(comparison_key(marked) == comparison_key(keyed), "same").otherwise("conflict")
+    return F.when(F.coalesce(trimmed(keyed), F.lit("")) == "", "skipped").when(F.coalesce(trimmed(marked), F.lit("")) == "", "filled").when(comparison_key(marked) == comparison_key(keyed), "same").otherwise("conflict")
 
 
 def base_name_tokens(tokens: Column) -> Column:

@@ -24,13 +24,16 @@ def html_fragments(stem: Column, stimulus: Column, feedback: Column, *more: Colu
 def image_issues(fragments: DataFrame, images: DataFrame) -> DataFrame:
     """(bank, id, level, code, name) of pictures that a package can't show, each told once a question.
 
-    fragments: (bank, id, html); images: (bank, name, kind), kind by the first bytes.  A picture from the web is a warning.
+    fragments: (bank, id, html); images: (bank, name, kind), kind by the first bytes.  A picture from the web is a warning;
+    a formula's picture (below /equation_images/, of class equation_image) is left out.
     Tags are exploded before the join, and images are joined by (bank, name) alone.
     """
     tags = fragments.select("bank", "id", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))).alias("tag"))
     said = F.regexp_extract("tag", r"(?i)\ssrc\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", 1)
     other = F.concat(F.regexp_extract("tag", r"(?i)\ssrc\s*=\s*'([^']*)'", 1), F.regexp_extract("tag", r"(?i)\ssrc\s*=\s*([^\s>\"']+)", 1))
-    src = tags.select("bank", "id", F.trim(F.when(said != "", said).otherwise(other)).alias("src")).distinct()
+    named = F.regexp_extract("tag", r"(?i)\sclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1).rlike(r"\bequation_image\b")
+    src = tags.select("bank", "id", F.trim(F.when(said != "", said).otherwise(other)).alias("src"), named.alias("formula"))
+    src = src.where(~(F.col("formula") & F.col("src").startswith("/equation_images/"))).drop("formula").distinct()
     name = F.regexp_extract("src", r"^images/(.+)$", 1)
     placed = src.withColumn("name", F.when(name != "", name)).join(images.select("bank", "name", "kind").withColumn("known", F.lit(True)), ["bank", "name"], "left")
     code = (

@@ -89,9 +89,20 @@ def equal_split(rows: DataFrame, total: str, by: Names, order: Names, out: str,
 
 
 def unique_names(rows: DataFrame, name: str, by: Names, order: Names, out: str) -> DataFrame:
-    """Names that differ, case aside: the second of a name gets _2, the third _3.  Names must not end in _ and digits."""
-    nth = F.row_number().over(Window.partitionBy(*by, F.lower(name)).orderBy(*order))
-    return rows.withColumn(out, F.when(nth == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), nth.cast("string"))))
+    """Names that differ, case aside: the second of a name gets _2, the third _3; a number that makes a given name is passed over.
+
+    Each name is numbered on its own; only given names that end in _ and a number (of 2 or more, without zeros before it) meet
+    the name that they may be taken for.
+    """
+    ended = r"^(.*)_([2-9]|[1-9][0-9]{1,8})$"
+    given = rows.select(*by, F.lower(name).alias("_n")).where(F.col("_n").rlike(ended)).select(*by, F.regexp_extract("_n", ended, 1).alias("_low"), F.regexp_extract("_n", ended, 2).cast("int").alias("_k"))
+    taken = given.groupBy(*by, "_low").agg(F.array_sort(F.collect_set("_k")).alias("_taken"))
+    nth = F.row_number().over(Window.partitionBy(*by, "_low").orderBy(*order))
+    numbered = rows.withColumn("_low", F.lower(name)).withColumn("_nth", nth)
+    named = [F.col(f"_g_{c}") for c in (*by, "_low")]
+    met = numbered.join(taken.withColumnsRenamed({c: f"_g_{c}" for c in (*by, "_low")}), [F.col(c).eqNullSafe(g) for c, g in zip((*by, "_low"), named, strict=True)], "left")
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_nth"), lambda n, k: F.when(k <= n, n + 1).otherwise(n))
+    return met.withColumn(out, F.when(F.col("_nth") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), free.cast("string")))).select(*rows.columns, out)
 
 
 def first_match(rows: DataFrame, by: Names, order: list) -> DataFrame:

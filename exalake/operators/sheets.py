@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from exalake.functions.text import slug, slug_of_folded, without_marks
+from exalake.functions.text import slug, slug_of_folded, trimmed, without_marks
 
 #: Header texts (as slugs) of each column role (fixed values).
 ALIASES = {
@@ -84,15 +84,15 @@ def records(cells: DataFrame) -> DataFrame:
     below = cells.join(found, ["archive", "sheet", "col"]).where("row > header_row")
     wide = below.groupBy("archive", "sheet", "row").pivot("role", list(ALIASES)).agg(F.first("text"))
     fill = Window.partitionBy("archive", "sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    filled = wide.withColumn("bank", F.last(F.when(F.trim("bank") != "", F.trim("bank")), ignorenulls=True).over(fill))
-    used = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("content", "A", "B", "answer", "solution")])
-    return filled.where(used.isNotNull())
+    filled = wide.withColumn("bank", F.last(F.when(trimmed("bank") != "", trimmed("bank")), ignorenulls=True).over(fill))
+    used = F.coalesce(*[F.nullif(trimmed(c), F.lit("")) for c in ("content", *"ABCDEFGH", "answer", "solution", "picture")])
+    return filled.where(used.isNotNull() | (code_of(F.col("kind"), TYPE_NAMES) == "passage"))
 
 
 def inferred_kind(content: Column, answer: Column, options: Column) -> Column:
     """The type of a row that names none: boxes, option labels, true or false marks, arrows, a number, text, else essay."""
-    a = F.trim(F.coalesce(answer, F.lit("")))
-    boxes, filled = F.regexp_extract_all(content, F.lit(r"\[\[([^\]]*)\]\]"), F.lit(1)), F.filter(options, lambda o: F.coalesce(F.trim(o), F.lit("")) != "")
+    a = trimmed(F.coalesce(answer, F.lit("")))
+    boxes, filled = F.regexp_extract_all(content, F.lit(r"\[\[([^\]]*)\]\]"), F.lit(1)), F.filter(options, lambda o: F.coalesce(trimmed(o), F.lit("")) != "")
     letters, arrows = F.regexp_replace(F.upper(a), r"[\s,;&.]", ""), F.size(F.filter(filled, lambda o: o.rlike("=>|⇒|->|→")))
     return (
         F.when(F.size(boxes) > 0, F.when(F.exists(boxes, lambda b: b.contains("*")), "dropdowns").otherwise("blanks"))

@@ -102,7 +102,7 @@ def issues(questions: DataFrame) -> DataFrame:
 
 def merge_issues(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows (by, source, ord, level, message): the first of equal (level, message tail), sorted error, warn, info."""
-    tail = F.lower(collapse(F.regexp_replace("message", r"^\s*(?iu)(câu|dòng|question|item|row|hàng)\b[^:]{0,60}:\s*", "")))
+    tail = F.lower(collapse(F.regexp_replace("message", r"^\s*(?iu)(câu|dòng|question|item)\b[^:]{0,60}:\s*", "")))
     kept = rows.withColumn("_tail", tail).groupBy(*by, "level", "_tail").agg(F.min_by("message", F.struct("source", "ord")).alias("message"), F.min(F.struct("source", "ord")).alias("_first"))
     severity = F.array_position(F.array(F.lit("error"), F.lit("warn"), F.lit("info")), F.col("level")).cast("int")
     return kept.select(*by, "level", "message", severity.alias("severity"), F.col("_first.source").alias("source"), F.col("_first.ord").alias("ord"))

@@ -113,20 +113,11 @@ def grade_short_answers(spark, sf_dir):
 
 
 # -- texts and answers ---------------------------------------------------------------------------------------------------
-@query(r"""
-SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(strip_accents(translate(text, 'đĐ', 'dd')), 'đĐ', 'dd')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug,
-  length(nfc_normalize(text))::BIGINT AS n_chars FROM documents WHERE lang <> 'de'""")
-def normalise_texts(spark, sf_dir):
-    """Slugs and lengths in normal form C of documents (German ones aside: SQL's way with ß differs)."""
-    docs = table(spark, sf_dir, "documents").where("lang <> 'de'")
-    return docs.select("doc_id", text.slug(F.col("text")).alias("slug"), F.length(text.nfc("text")).cast("long").alias("n_chars"))
-
-
 @query(r"""
 SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(strip_accents(translate(text, 'đĐßẞ', 'dd  ')), 'đĐ', 'dd')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug,
   length(nfc_normalize(text))::BIGINT AS n_chars FROM documents""")
-def normalise_all_texts(spark, sf_dir):
-    """normalise_texts over every document: ß is no ASCII letter, so slug() parts words at it, and the SQL does alike."""
+def normalise_texts(spark, sf_dir):
+    """Slugs and lengths in normal form C of documents: ß is no ASCII letter, so slug() parts words at it, and the SQL does alike."""
     return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"), F.length(text.nfc("text")).cast("long").alias("n_chars"))
 
 
@@ -293,23 +284,12 @@ def fill_until_stop(spark, sf_dir):
     return ordered.fill_until(rows, "mark", F.col("event_type") == "click", ["user_id"], ["ts", "event_id"], "passage").select("event_id", "passage")
 
 
-@query("""
-WITH m AS (SELECT event_id, user_id % 50 AS sheet, event_id AS at FROM events WHERE event_id % 7 = 3), r AS (SELECT user_id % 50 AS sheet, event_id AS at, value FROM events WHERE event_id % 7 = 1)
-SELECT m.event_id, coalesce((SELECT max(r.at) FROM r WHERE r.sheet = m.sheet AND r.at <= m.at), (SELECT min(r.at) FROM r WHERE r.sheet = m.sheet)) AS row_at FROM m""")
-def nearest_row_above(spark, sf_dir):
-    """Pictures to the nearest row at or above them, else to the first row."""
-    e = table(spark, sf_dir, "events").withColumn("sheet", F.col("user_id") % 50).withColumn("at", F.col("event_id"))
-    marks = e.where("event_id % 7 = 3").select("event_id", "sheet", "at")
-    rows = e.where("event_id % 7 = 1").select("sheet", "at")
-    return ordered.nearest_above(marks, rows, ["sheet"], "at", "at", "row_at").select("event_id", "row_at")
-
-
 @query("""
 WITH m AS (SELECT event_id, user_id % 50 AS sheet FROM events WHERE event_id % 2 = 0), r AS (SELECT DISTINCT user_id % 50 AS sheet, event_id AS row_id FROM events WHERE event_id % 2 <> 0),
 f AS (SELECT sheet, min(row_id) AS first_id FROM r GROUP BY sheet)
 SELECT m.event_id, coalesce(r.row_id, f.first_id) AS row_at FROM m ASOF LEFT JOIN r ON m.sheet = r.sheet AND m.event_id >= r.row_id LEFT JOIN f ON m.sheet = f.sheet""")
-def nearest_row_above_all(spark, sf_dir):
-    """nearest_row_above over every event: even ones are pictures, odd ones rows."""
+def nearest_row_above(spark, sf_dir):
+    """Pictures to the nearest row at or above them, else to the first row; even events are pictures, odd ones rows."""
     e = table(spark, sf_dir, "events").withColumn("sheet", F.col("user_id") % 50).withColumn("at", F.col("event_id"))
     return ordered.nearest_above(e.where("event_id % 2 = 0").select("event_id", "sheet", "at"), e.where("event_id % 2 <> 0").select("sheet", "at"), ["sheet"], "at", "at", "row_at").select("event_id", "row_at")
 
@@ -323,23 +303,11 @@ def merge_runs(spark, sf_dir):
     return ordered.runs(table(spark, sf_dir, "events"), "event_type", ["user_id"], ["event_id"])
 
 
-@query("""
-WITH q AS (SELECT o_orderkey, o_custkey % 20 AS no, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderkey % 5 = 1),
-k AS (SELECT o_custkey % 20 AS no, o_custkey % 97 AS value, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 3 <> 0)
-SELECT q.o_orderkey, k.value FROM q LEFT JOIN k ON q.no = k.no AND q.nth = k.nth""")
-def nth_key_to_nth_question(spark, sf_dir):
-    """The k-th key entry of a number to the k-th question with it."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("no"), F.col("o_orderkey").alias("ord"), F.lit(1).alias("exam"), (F.col("o_custkey") % 97).alias("value"))
-    q = rows.where("o_orderkey % 5 = 1").drop("value")
-    k = rows.where("o_orderkey % 5 = 0 and o_orderkey % 3 <> 0").drop("o_orderkey")
-    return answer_key.nth_to_nth(q, k).select("o_orderkey", "value")
-
-
 @query("""
 WITH n AS (SELECT o_orderkey, o_orderkey % 2 <> 0 AS q, o_custkey % 20 AS no, o_custkey % 97 AS value, row_number() OVER (PARTITION BY o_orderkey % 2 <> 0, o_custkey % 20 ORDER BY o_orderkey) AS nth FROM orders)
 SELECT q.o_orderkey, k.value FROM (SELECT * FROM n WHERE q) q LEFT JOIN (SELECT * FROM n WHERE NOT q) k ON q.no = k.no AND q.nth = k.nth""")
-def nth_key_to_nth_question_all(spark, sf_dir):
-    """nth_key_to_nth_question over every order: odd ones are questions, even ones key entries."""
+def nth_key_to_nth_question(spark, sf_dir):
+    """The k-th key entry of a number to the k-th question with it; odd orders are questions, even ones key entries."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("no"), F.col("o_orderkey").alias("ord"), F.lit(1).alias("exam"), (F.col("o_custkey") % 97).alias("value"))
     return answer_key.nth_to_nth(rows.where("o_orderkey % 2 <> 0").drop("value"), rows.where("o_orderkey % 2 = 0").drop("o_orderkey")).select("o_orderkey", "value")
 
@@ -401,16 +369,23 @@ def find_answers(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT l_orderkey % 500 AS exam, l_orderkey * 10 + l_linenumber AS qid, l_linenumber AS low, l_linenumber + l_orderkey % 3 AS high FROM lineitem),
-k AS (SELECT p_partkey % 500 AS exam, (p_partkey // 500 % 7 + 1)::INTEGER AS no, min(p_brand) AS value FROM part GROUP BY 1, 2),
-h AS (SELECT qid, q.exam, low, high, string_agg(value, ', ' ORDER BY no) AS v, count(*) AS n FROM q JOIN k ON q.exam = k.exam AND k.no BETWEEN low AND high GROUP BY qid, q.exam, low, high)
-SELECT q.qid, CASE WHEN h.n = q.high - q.low + 1 THEN h.v END AS value FROM q LEFT JOIN h ON q.qid = h.qid""")
+WITH q AS (SELECT DISTINCT l_orderkey % 500 AS exam, l_orderkey * 10 + l_linenumber AS qid, l_linenumber AS low, l_linenumber + l_orderkey % 3 AS high FROM lineitem),
+k AS (SELECT p_partkey % 500 AS exam, CASE WHEN p_partkey % 500 % 2 = 0 THEN '' ELSE 'I' END AS part, (p_partkey // 500 % 7 + 1)::INTEGER AS no, min(p_brand) AS value FROM part GROUP BY ALL),
+w AS (SELECT s_suppkey % 500 AS exam, (s_suppkey % 7 + 1) || '-' || (s_suppkey % 7 + 1 + s_suppkey % 3) AS no, min(s_name) AS value FROM supplier GROUP BY ALL),
+h AS (SELECT qid, q.exam, string_agg(value, ', ' ORDER BY no) AS v, count(*) AS n FROM q JOIN k ON q.exam = k.exam AND k.no BETWEEN low AND high GROUP BY qid, q.exam)
+SELECT q.qid, CASE WHEN h.n = q.high - q.low + 1 THEN h.v ELSE w.value END AS value FROM q LEFT JOIN h ON q.qid = h.qid LEFT JOIN w ON w.exam = q.exam AND w.no = q.low || '-' || q.high AND w.exam % 2 = 0""")
 def find_range_answers(spark, sf_dir):
-    """Questions over a range of numbers take all their answers or none."""
+    """Questions over a range of numbers take all their answers, or what the key says for the range as a whole.
+
+    Every second exam's key has one named part, beside the ranges without a part; questions of no part take the ranges alone there.
+    """
     lines = table(spark, sf_dir, "lineitem")
-    q = lines.select((F.col("l_orderkey") % 500).alias("exam"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("qid"), F.col("l_linenumber").cast("int").alias("low"), (F.col("l_linenumber") + F.col("l_orderkey") % 3).cast("int").alias("high"))
-    k = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 500).alias("exam"), (F.floor(F.col("p_partkey") / 500) % 7 + 1).cast("int").alias("no")).agg(F.min("p_brand").alias("value"))
-    return answer_key.find_ranges(q, k).select("qid", "value")
+    q = lines.select((F.col("l_orderkey") % 500).alias("exam"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("qid"), F.when(F.col("l_orderkey") % 2 == 0, "").otherwise("I").alias("part"), F.col("l_linenumber").cast("int").alias("low"), (F.col("l_linenumber") + F.col("l_orderkey") % 3).cast("int").alias("high")).distinct()
+    exam = F.col("p_partkey") % 500
+    single = table(spark, sf_dir, "part").groupBy(exam.alias("exam"), F.when(exam % 2 == 0, "").otherwise("I").alias("part"), (F.floor(F.col("p_partkey") / 500) % 7 + 1).cast("string").alias("no")).agg(F.min("p_brand").alias("value"))
+    s = F.col("s_suppkey")
+    whole = table(spark, sf_dir, "supplier").groupBy((s % 500).alias("exam"), F.lit("").alias("part"), F.concat((s % 7 + 1).cast("string"), F.lit("-"), (s % 7 + 1 + s % 3).cast("string")).alias("no")).agg(F.min("s_name").alias("value"))
+    return answer_key.find_range_answers(q, single.unionByName(whole)).select("qid", "value")
 
 
 @query(f"""WITH {_KEYED} SELECT k.exam, k.part, k.no, k.value FROM k WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.exam = k.exam AND q.part = k.part AND q.no = k.no)""")
@@ -448,20 +423,6 @@ def _keys_and_exams(spark, sf_dir):
     return keys.distinct(), exams
 
 
-@query("""
-WITH k AS (SELECT DISTINCT c_custkey AS key_id, string_split(lower(c_mktsegment) || ' ' || c_nationkey || ' x' || c_custkey % 3, ' ') AS a FROM customer WHERE c_custkey <= 300),
-e AS (SELECT s_suppkey AS exam_id, string_split(CASE s_suppkey % 5 WHEN 0 THEN 'building' WHEN 1 THEN 'machinery' WHEN 2 THEN 'furniture' WHEN 3 THEN 'household' ELSE 'automobile' END || ' ' || s_nationkey || ' x' || s_suppkey % 3, ' ') AS b FROM supplier),
-same AS (SELECT key_id, count(*) AS n, min(exam_id) AS exact FROM k JOIN e ON array_to_string(a, '.') = array_to_string(b, '.') GROUP BY key_id),
-p AS (SELECT key_id, exam_id, len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) AS overlap, len(list_filter(list_intersect(a, b), lambda t: length(t) >= 2 AND regexp_matches(t, '[a-z]'))) > 0 AS telling FROM k, e),
-s AS (SELECT *, max(overlap) OVER (PARTITION BY key_id) AS best FROM p WHERE telling),
-t AS (SELECT key_id, count(*) AS ties, min(exam_id) AS likely, max(best) AS best FROM s WHERE overlap = best GROUP BY key_id)
-SELECT k.key_id, CASE WHEN same.n = 1 THEN exact WHEN same.n IS NULL AND t.best >= 0.8 AND t.ties = 1 THEN likely END AS exam_id FROM k LEFT JOIN same USING (key_id) LEFT JOIN t USING (key_id)""")
-def pair_key_files(spark, sf_dir):
-    """Keys to exams by the words of their names, ties refused (the keys up to 300, as its SQL says)."""
-    keys, exams = _keys_and_exams(spark, sf_dir)
-    return answer_key.pair_names(keys.where("key_id <= 300"), exams)
-
-
 @query("""
 WITH k AS (SELECT DISTINCT c_custkey AS key_id, string_split(lower(c_mktsegment) || ' ' || c_nationkey || ' x' || c_custkey % 3, ' ') AS a FROM customer),
 e AS (SELECT s_suppkey AS exam_id, string_split(CASE s_suppkey % 5 WHEN 0 THEN 'building' WHEN 1 THEN 'machinery' WHEN 2 THEN 'furniture' WHEN 3 THEN 'household' ELSE 'automobile' END || ' ' || s_nationkey || ' x' || s_suppkey % 3, ' ') AS b FROM supplier),
@@ -470,8 +431,8 @@ p AS (SELECT a, exams, first_id, len(list_intersect(a, b))::DOUBLE / least(len(a
 s AS (SELECT *, max(overlap) OVER (PARTITION BY a) AS best FROM p WHERE telling),
 t AS (SELECT a, sum(exams) AS ties, min(first_id) AS likely, max(best) AS best FROM s WHERE overlap = best GROUP BY a)
 SELECT k.key_id, CASE WHEN g.exams = 1 THEN g.first_id WHEN g.exams IS NULL AND t.best >= 0.8 AND t.ties = 1 THEN likely END AS exam_id FROM k LEFT JOIN g ON k.a = g.b LEFT JOIN t ON k.a = t.a""")
-def pair_all_key_files(spark, sf_dir):
-    """pair_key_files over every key."""
+def pair_key_files(spark, sf_dir):
+    """Keys to exams by the words of their names, ties refused."""
     return answer_key.pair_names(*_keys_and_exams(spark, sf_dir))
 
 
@@ -484,23 +445,11 @@ def orphans(spark, sf_dir):
     return integrity.orphans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("""
-WITH a AS (SELECT l_suppkey AS part, l_orderkey * 10 + l_linenumber AS a_id, epoch(date_trunc('day', l_shipdate))::BIGINT // 86400 AS a_start, epoch(date_trunc('day', l_shipdate))::BIGINT // 86400 + l_linenumber * 3 AS a_end FROM lineitem WHERE l_orderkey % 4 = 0),
-b AS (SELECT l_suppkey AS part, l_orderkey * 10 + l_linenumber AS b_id, epoch(date_trunc('day', l_shipdate))::BIGINT // 86400 AS b_start, epoch(date_trunc('day', l_shipdate))::BIGINT // 86400 + l_linenumber * 2 AS b_end FROM lineitem WHERE l_orderkey % 4 = 1)
-SELECT a_id, b_id FROM a JOIN b ON a.part = b.part AND a_start < b_end AND b_start < a_end""")
-def overlapping_spans(spark, sf_dir):
-    """Shipping spans of one supplier that overlap."""
-    lines = table(spark, sf_dir, "lineitem")
-    day = F.unix_date(F.to_date("l_shipdate")).cast("long")
-    side = lambda s, k, m: lines.where(f"l_orderkey % 4 = {k}").select(F.col("l_suppkey").alias("part"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias(f"{s}_id"), day.alias(f"{s}_start"), (day + F.col("l_linenumber") * m).alias(f"{s}_end"))
-    return integrity.overlaps(side("a", 0, 3), side("b", 1, 2), ["part"], 16).select("a_id", "b_id")
-
-
 @query("""
 WITH l AS (SELECT l_suppkey AS part, l_orderkey % 2 = 0 AS even, l_orderkey * 10 + l_linenumber AS id, epoch(date_trunc('day', l_shipdate))::BIGINT // 86400 AS day, l_linenumber AS n FROM lineitem)
 SELECT a.id AS a_id, b.id AS b_id FROM l a JOIN l b ON a.even AND NOT b.even AND a.part = b.part AND a.day < b.day + b.n * 2 AND b.day < a.day + a.n * 3""")
-def overlapping_spans_all(spark, sf_dir):
-    """overlapping_spans over every line: those of even orders with those of odd ones."""
+def overlapping_spans(spark, sf_dir):
+    """Shipping spans of one supplier that overlap: those of even orders with those of odd ones."""
     day = F.unix_date(F.to_date("l_shipdate")).cast("long")
     side = lambda s, at, m: table(spark, sf_dir, "lineitem").where(at).select(F.col("l_suppkey").alias("part"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias(f"{s}_id"), day.alias(f"{s}_start"), (day + F.col("l_linenumber") * m).alias(f"{s}_end"))
     return integrity.overlaps(side("a", "l_orderkey % 2 = 0", 3), side("b", "l_orderkey % 2 <> 0", 2), ["part"], 16).select("a_id", "b_id")

@@ -25,6 +25,9 @@ def test_sheet_numeric(spark, given, want):
 
 
 def test_numeric_bounds_are_decimal(spark):
+    for said, low, high in (("1e25", 1e25, 1e25), ("1e-13 ± 1e-14", 9e-14, 1.1e-13), ("1e25 ± 1", 1e25, 1e25), ("1e-30 ± 1e-30", 0.0, 2e-30), ("5 ± 0", 5.0, 5.0), ("1e300 ± 1e300", 0.0, 2e300)):
+        got = one(spark, cells.numeric_bounds(cells.sheet_numeric(F.col("s"))), s=said)
+        assert (got.low, got.high) == (low, high), said
     got = one(spark, cells.numeric_bounds(cells.sheet_numeric(F.col("s"))), s="0.3 ± 0.1")
     assert (got["low"], got["high"]) == (0.2, 0.4)
 

@@ -139,6 +139,7 @@ def test_packages(spark):
 
 
 def test_answers_as_people_write_them(spark):
+    assert values(spark, ["A or C", "A hoặc C", "A HOAC C"], answers.option_letters) == [None, ["A", "C"], ["A", "C"]]
     got = values(spark, ["Đáp án: B", "A - C", "A va C", "ĐA. D", "B|C", "x"], lambda c: F.array_join(answers.option_letters(c), ""))
     assert got == ["B", "AC", "AC", "D", "BC", None]
     marks = lambda c: F.to_json(answers.true_false_of(answers.true_false(c), F.array(F.lit("a"), F.lit("b"))))

@@ -146,3 +146,31 @@ def test_functions_and_regions(spark):
     texts = [marked, "let QUESTIONS = [];\n  var SCORM = 1;", "var EXAM = 1", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(scripts.data_region(F.col("t")).alias("r")).collect()
     assert [tuple(r.r) if r.r else None for r in rows] == [(" var EXAM = {}; ", "marks"), ("let QUESTIONS = [];\n", "before"), None, None]
+
+
+# -- names, pictures, messages -------------------------------------------------------------------------------------------------
+def test_names_pass_over_given_ones(spark):
+    from exalake.operators import ordered
+
+    names = ["x", "X", "x_2", "x", "x_2", "y_02", "y", "Y", "x_4", None]
+    frame = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)] + [(2, 0, "x"), (2, 1, "x"), (None, 0, "z"), (None, 1, "z"), (None, 2, "z_2")], "bank int, i int, name string")
+    got = {(r.bank, r.i): r.out for r in ordered.unique_names(frame, "name", ["bank"], ["i"], "out").collect()}
+    assert [got[1, i] for i in range(10)] == ["x", "X_3", "x_2", "x_5", "x_2_2", "y_02", "y", "Y_2", "x_4", None]
+    assert [got[2, 0], got[2, 1], got[None, 0], got[None, 1], got[None, 2]] == ["x", "x_2", "z", "z_3", "z_2"]
+
+
+def test_pictures_of_formulas_are_left_out(spark):
+    from exalake.operators import exports
+
+    html = '<img class="equation_image" src="/equation_images/x"><img src="/equation_images/y"><img class=a src="z.png"><img src="data:x">'
+    fragments = spark.createDataFrame([("b", 1, html)], "bank string, id int, html string")
+    images = spark.createDataFrame([], "bank string, name string, kind string")
+    assert {(r.code, r.name) for r in exports.image_issues(fragments, images).collect()} == {("outside", "/equation_images/y"), ("outside", "z.png"), ("data_uri", "data:x")}
+
+
+def test_only_question_leads_are_taken_off(spark):
+    from exalake.operators import validation
+
+    rows = [("q", 0, i, "error", m) for i, m in enumerate(["Câu 3: no stem", "Question 4 (II): No  stem", "Row 3: no stem", "Hàng 3: no stem", "row 3: no stem"])]
+    got = validation.merge_issues(spark.createDataFrame(rows, "q string, source int, ord int, level string, message string"), ["q"])
+    assert {r.message for r in got.collect()} == {"Câu 3: no stem", "Row 3: no stem", "Hàng 3: no stem"}

@@ -25,23 +25,23 @@ def same_as_sql(spark, sf, name):
 
 def test_every_key_is_paired(spark):
     sf = "/root/testdata/sf0.01"
-    _, got = same_as_sql(spark, sf, "pair_all_key_files")
+    _, got = same_as_sql(spark, sf, "pair_key_files")
     assert len(got) == spark.read.parquet(f"{sf}/customer.parquet").count() and sum(x is not None for _, x in got) > 200
 
 
 def test_every_document_is_normalised(spark):
     sf = "/root/testdata/sf0.01"
-    _, got = same_as_sql(spark, sf, "normalise_all_texts")
+    _, got = same_as_sql(spark, sf, "normalise_texts")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     sharp = {r.doc_id for r in docs.where("lang = 'de' and contains(text, 'ß')").collect()}
     assert len(got) == docs.count() and sharp and sharp <= {i for i, *_ in got}
 
 
-@pytest.mark.parametrize("name", ["overlapping_spans_all", "nearest_row_above_all", "nth_key_to_nth_question_all"])
+@pytest.mark.parametrize("name", ["overlapping_spans", "nearest_row_above", "nth_key_to_nth_question"])
 def test_every_row_is_on_a_side(spark, name):
     sf = "/root/testdata/sf0.01"
     _, got = same_as_sql(spark, sf, name)
-    if name == "overlapping_spans_all":
+    if name == "overlapping_spans":
         assert {i // 10 % 4 for pair in got for i in pair} == {0, 1, 2, 3}
     else:
         table, key = ("events", "event_id % 2 = 0") if name.startswith("nearest") else ("orders", "o_orderkey % 2 <> 0")
