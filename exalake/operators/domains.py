@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exalake.sources.forms import items, letter, same_word
+from exalake.sources.shared import cut
 
 CHOICES, SHARED = ("mcq", "mistake"), {"letters": ("person", "people"), "select": ("heading", "headings")}
 GROUP = ["package", "form", "part", "grp"]
@@ -71,6 +72,7 @@ def resolve(read: DataFrame) -> DataFrame:
     names.  Of several ways the first that is found counts, but each of them uses its entry.  A missing answer is unresolved;
     equal entries are one, that of the least place.  Types without a closed set of answers have no rows.
     """
+    read = cut(read)  # four sides are made of it
     rows = items(read)
     asked, known = tries(read, rows), entries(read, rows)
     on = [*GROUP, "domain", "scope", "key"]
