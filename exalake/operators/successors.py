@@ -38,6 +38,23 @@ def next_links(rows: DataFrame, by: Names, line: str, label: str, block: int = B
     return found.select(*by, F.col("_at").alias(line), F.coalesce("_near", "_far").alias("next")).distinct()
 
 
+def reachable(roots: DataFrame, links: DataFrame, by: Names, at: str, longest: int) -> DataFrame:
+    """(by, at) of all places that links (by, at, next) lead to from roots (by, at), the roots among them, each once.
+
+    A place has one link at most, and no chain is longer than `longest` places.  Links are doubled, so log2(longest) rounds
+    are enough; each is written to the shared folder.
+    """
+    jump, reached = cut(links.where("next IS NOT NULL")), roots.distinct()
+    rounds = max(0, longest - 1).bit_length()
+    for turn in range(rounds):
+        ahead = _meet(reached, jump, [*by, at], "inner").select(*by, F.col("next").alias(at))
+        reached = cut(reached.unionByName(ahead).distinct())
+        if turn + 1 < rounds:
+            onward = jump.select(*by, F.col("next").alias("_onward"), F.col(at).alias("next"))
+            jump = cut(_meet(jump, onward, [*by, "next"], "inner").select(*by, at, F.col("_onward").alias("next")))
+    return reached
+
+
 def accepted(rows: DataFrame, by: Names, line: str, label: str, first: int = 1, out: str = "accepted", block: int = BLOCK) -> DataFrame:
     """rows with `out`: whether the row is in the chain of its document that starts with the first row of label `first` and goes on
     with the first row below that has the next label, and so on.
@@ -50,16 +67,9 @@ def accepted(rows: DataFrame, by: Names, line: str, label: str, first: int = 1,
     longest = known.agg(F.max(label)).first()[0]
     if longest is None:
         return rows.withColumn(out, F.lit(False))
-    jump = cut(next_links(known, by, line, label, block))
-    reached = known.where(F.col(label) == first).groupBy(*by).agg(F.min(line).alias(line))
-    rounds = max(0, int(longest) - first).bit_length()
-    for turn in range(rounds):
-        ahead = _meet(reached, jump.where("next IS NOT NULL"), [*by, line], "inner").select(*by, F.col("next").alias(line))
-        reached = cut(reached.unionByName(ahead))
-        if turn + 1 < rounds:
-            onward = jump.where("next IS NOT NULL").select(*by, F.col("next").alias("_onward"), F.col(line).alias("next"))
-            jump = cut(_meet(jump.where("next IS NOT NULL"), onward, [*by, "next"], "inner").select(*by, line, F.col("_onward").alias("next")))
+    roots = known.where(F.col(label) == first).groupBy(*by).agg(F.min(line).alias(line))
+    reached = reachable(roots, next_links(known, by, line, label, block), by, line, int(longest) - first + 1)
     # a place may hold several labels: the chain's own is the how many-th of its places
     nth = Window.partitionBy(*by).orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
-    chain = reached.distinct().withColumn(label, F.count("*").over(nth) - 1 + first).withColumn(out, F.lit(True))
+    chain = reached.withColumn(label, F.count("*").over(nth) - 1 + first).withColumn(out, F.lit(True))
     return _meet(rows, chain, [*by, line, label], "left").withColumn(out, F.coalesce(out, F.lit(False)))

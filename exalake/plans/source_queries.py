@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from exalake.operators import context, domains, regions, successors
+from exalake.operators import context, domains, formulas, pictures, regions, successors
 from exalake.plans.queries import query, table
 from exalake.sources import forms, json_data, scripts
 
@@ -160,3 +160,48 @@ def page_functions(spark, sf_dir):
     own = F.concat(F.lit("<script>// function no() {\nfunction p"), F.col("page_id").cast("string"), F.lit('(x) { if (x) { return "}'), F.coalesce("url", F.lit("")), F.lit('\\""; } /* { */ }\nvar s = \'function no2() {}\'; function outer () { function inner(){ return `{` } }</script>'))
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), own).alias("html"))
     return scripts.functions(scripts.inline_scripts(pages, ["page_id"], "html"), ["page_id", "script"], "body").select("page_id", "name", "source")
+
+
+# -- formulas and pictures ------------------------------------------------------------------------------------------------------
+_JS_SPACE = r"[\x09-\x0d \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+@query(rf"""
+WITH RECURSIVE t AS (SELECT doc_id, text || ' Giá 5$ và 10$; $x_' || doc_id || '$, \(a' || lang || '\), \[c\], \$3 $$y$$ $ z$' AS s FROM documents WHERE text IS NOT NULL),
+step AS (
+  SELECT doc_id, CAST(strpos(replace(s, '\', '$'), '$') - 1 AS BIGINT) AS place, substr(s, strpos(replace(s, '\', '$'), '$')) AS rest, CAST(NULL AS BIGINT) AS start, CAST(NULL AS VARCHAR) AS tex, false AS display, 0 AS wide FROM t
+  UNION ALL
+  SELECT doc_id, place + len(skipped) + used AS place, substr(rest, used + len(skipped) + 1) AS rest, CASE WHEN tex IS NOT NULL THEN place END AS start, tex, display, wide FROM (
+    SELECT *, regexp_extract(substr(rest, used + 1), '^[^$\\]*') AS skipped FROM (
+      SELECT doc_id, place, rest, display, wide, CASE WHEN good THEN body END AS tex, CASE WHEN good THEN len(body) + 2 * wide WHEN first = '\' THEN 2 ELSE wide END AS used FROM (
+        SELECT *, CASE WHEN body IS NULL OR body = '' OR regexp_full_match(body, '{_JS_SPACE}*') THEN false WHEN first <> '$' OR wide = 2 THEN true
+            ELSE NOT regexp_matches(left(body, 1), '{_JS_SPACE}') AND NOT regexp_matches(right(body, 1), '{_JS_SPACE}') AND NOT regexp_matches(substr(rest, len(body) + 3, 1), '[0-9]') END AS good FROM (
+          SELECT doc_id, place, rest, left(rest, 1) AS first, left(rest, 2) IN ('$$', '\[') AS display, CASE WHEN left(rest, 2) = '$$' OR left(rest, 1) = '\' THEN 2 ELSE 1 END AS wide,
+            CASE WHEN left(rest, 2) = '\(' AND strpos(substr(rest, 3), '\)') > 0 THEN substr(rest, 3, strpos(substr(rest, 3), '\)') - 1) WHEN left(rest, 2) = '\[' AND strpos(substr(rest, 3), '\]') > 0 THEN substr(rest, 3, strpos(substr(rest, 3), '\]') - 1)
+              WHEN left(rest, 2) = '$$' AND regexp_matches(rest, '^\$\$(?s:(?:\$?(?:[^$\\]|\\.))*)\$\$') THEN regexp_extract(rest, '^\$\$((?s:(?:\$?(?:[^$\\]|\\.))*))\$\$', 1)
+              WHEN left(rest, 1) = '$' AND left(rest, 2) <> '$$' AND regexp_matches(rest, '^\$(?s:(?:[^$\\]|\\.)*)\$') THEN regexp_extract(rest, '^\$((?s:(?:[^$\\]|\\.)*))\$', 1) END AS body
+          FROM step WHERE rest <> ''))))),
+found AS (SELECT doc_id, start, start + len(tex) + 2 * wide AS stop, tex, display FROM step WHERE tex IS NOT NULL)
+SELECT doc_id, start, stop, tex, display FROM found""")
+def document_formulas(spark, sf_dir):
+    """Formulas of all documents, each with some of every sort and amounts of money after its own text."""
+    more = [F.lit(" Giá 5$ và 10$; $x_"), F.col("doc_id").cast("string"), F.lit("$, \\(a"), F.col("lang"), F.lit("\\), \\[c\\], \\$3 $$y$$ $ z$")]
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", *more).alias("text"))
+    return formulas.formulas(docs, ["doc_id"], "text").select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "tex", "display")
+
+
+@query("""
+WITH p AS (SELECT page_id, page_id % 10 AS bank, page_id % 8 AS k, coalesce(url, '') AS url FROM pages),
+h AS (SELECT *, lpad(printf('%x', list_reduce(list_prepend(2166136261, list_transform(string_split(url, ''), lambda c: CAST(CASE WHEN c = '' THEN 0 ELSE ord(c) END AS BIGINT))), lambda a, b: xor(a, b) * 16777619 % 4294967296)), 8, '0') AS fnv FROM p)
+SELECT page_id, CASE k WHEN 4 THEN 'images/img_' || fnv || '.png' WHEN 5 THEN 'https://x.org/y.png' WHEN 6 THEN NULL ELSE 'images/anh_' || page_id || '.png' END AS out,
+  CASE k WHEN 0 THEN 'exact' WHEN 1 THEN 'decoded' WHEN 2 THEN 'any_case' WHEN 3 THEN 'file_name' WHEN 4 THEN 'embedded' WHEN 7 THEN 'given' END AS way,
+  CASE k WHEN 4 THEN 'absent' WHEN 5 THEN 'remote' WHEN 6 THEN 'scheme' END AS code
+FROM h""")
+def page_pictures(spark, sf_dir):
+    """Pictures that pages refer to, in every way; those within data: addresses are cut out and named by their contents."""
+    n, bank, k = F.col("page_id"), F.col("page_id") % 10, F.col("page_id") % 8
+    pages, id_ = table(spark, sf_dir, "pages"), F.col("page_id").cast("string")
+    said = [F.concat(F.lit("Media/Anh "), id_, F.lit(".PNG")), F.concat(F.lit("./Media/Anh%20"), id_, F.lit(".PNG?x=1#y")), F.concat(F.lit("media\\anh "), id_, F.lit(".png")), F.concat(F.lit("other/ANH%20"), id_, F.lit(".png")), F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode(F.coalesce("url", F.lit("")), "UTF-8"))), F.lit("https://x.org/y.png"), F.lit("ftp://x.org"), F.concat(F.lit("images/anh_"), id_, F.lit(".png"))]
+    refs = pages.select(bank.alias("bank"), n.alias("n"), F.get(F.array(*said), k.cast("int")).alias("src"))
+    paths = pages.select(bank.alias("bank"), said[0].alias("key"), F.concat(F.lit("anh_"), id_, F.lit(".png")).alias("name"), n.alias("ord"))
+    return pictures.resolve_pictures(refs, paths, paths.select("bank", "name")).select(F.col("n").alias("page_id"), "out", "way", "code")
