@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from exalake.functions.cells import decode_entities
 from exalake.functions.text import WHITE
 from exalake.operators.successors import _meet, reachable
+from exalake.sources.shared import cut
 
 Names = list[str]
 #: Formatting that may stand within a formula (fixed values).
@@ -25,8 +26,8 @@ TOKENS = rf"\\(?s:.)|\$|{SIGN}"
 
 def _tokens(texts: DataFrame, by: Names) -> DataFrame:
     """(by, n, at, token, before, after): escapes, dollar signs and tags with their place and the characters around them."""
-    cut = F.arrays_zip(F.split("_flat", TOKENS).alias("gap"), F.regexp_extract_all("_flat", F.lit(TOKENS), F.lit(0)).alias("token"))
-    rows = texts.select(*by, F.posexplode(cut).alias("n", "t")).select(*by, "n", "t.gap", "t.token")
+    pieces = F.arrays_zip(F.split("_flat", TOKENS).alias("gap"), F.regexp_extract_all("_flat", F.lit(TOKENS), F.lit(0)).alias("token"))
+    rows = texts.select(*by, F.posexplode(pieces).alias("n", "t")).select(*by, "n", "t.gap", "t.token")
     order = Window.partitionBy(*by).orderBy("n")
     above = order.rowsBetween(Window.unboundedPreceding, 0)
     width = lambda c: F.coalesce(F.char_length(c), F.lit(0))
@@ -74,7 +75,7 @@ def formulas(rows: DataFrame, by: Names, text: str, html: bool = False) -> DataF
     (opens).  tex is without tags, entities decoded.  A null text has no formulas.
     """
     texts = rows.select(*by, F.col(text).alias("_text")).where(F.col("_text").contains("$") | F.col("_text").contains("\\(") | F.col("_text").contains("\\[")).dropDuplicates(by)
-    texts = texts.withColumn("_flat", F.regexp_replace("_text", MARKUP, SIGN) if html else F.col("_text"))
+    texts = cut(texts).withColumn("_flat", F.regexp_replace("_text", MARKUP, SIGN) if html else F.col("_text"))
     found = _tokens(texts, by)
     order, white = Window.partitionBy(*by).orderBy("n"), f"^{WHITE}$"
     up = Window.partitionBy(*by).orderBy(F.col("n").desc())
@@ -90,8 +91,8 @@ def formulas(rows: DataFrame, by: Names, text: str, html: bool = False) -> DataF
     # \( ends at the first \) whatever stands before that
     raw = []
     for name, close in (("round", r"\)"), ("square", r"\]")):
-        cut = F.transform(F.split("_flat", "\\\\" + close), lambda p: F.char_length(p) + 2)
-        ends = texts.where(F.col("_flat").contains(close)).select(*by, F.posexplode(cut).alias("i", "w"))
+        widths = F.transform(F.split("_flat", "\\\\" + close), lambda p: F.char_length(p) + 2)
+        ends = texts.where(F.col("_flat").contains(close)).select(*by, F.posexplode(widths).alias("i", "w"))
         at = ends.withColumn("at", (F.sum("w").over(Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - 2).cast("long"))
         last = F.max("i").over(Window.partitionBy(*by))
         raw.append((name, at.withColumn("last", last).where("i < last").select(*by, "at")))
@@ -112,7 +113,7 @@ def formulas(rows: DataFrame, by: Names, text: str, html: bool = False) -> DataF
     plain = F.forall(tags, lambda t: F.lower(F.regexp_extract(t, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1)).isin(INNER_TAGS))
     judged = inside.withColumn("tags_in", F.when(good, tags)).withColumn("valid", good & (bare != "") & F.coalesce(plain, F.lit(True)))
     judged = judged.select(*by, "at", "wide", "valid", F.when(F.col("valid"), F.col("close") + F.col("wide")).alias("stop"), F.when(F.col("valid"), decode_entities(tex) if html else tex).alias("tex"), (F.col("token") == "\\[").alias("square"), "double", "tags_in")
-    judged = judged.withColumn("target", F.coalesce("stop", F.col("at") + F.col("wide")))
+    judged = cut(judged.withColumn("target", F.coalesce("stop", F.col("at") + F.col("wide"))))
     links = _following(judged.select(*by, "at", "target"), judged.select(*by, "at"), by, "target", "next")
     most = judged.groupBy(*by).count().agg(F.max("count")).first()[0] or 0  # one number
     visited = reachable(judged.groupBy(*by).agg(F.min("at").alias("at")), links.select(*by, "at", "next"), by, "at", most)
