@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from exalake.functions.cells import decode_entities, numeric_bounds, right_sides
 from exalake.functions.text import WHITE, escape_attribute, escape_xml, has_tag, is_blank_html, occurrences
 from exalake.operators.packages import answer_id
+from exalake.sources.shared import cut
 
 #: What each question type is called in a package (fixed values).
 ITEM_TYPES = {
@@ -261,7 +262,7 @@ def item_issues(items: DataFrame, by: list[str], xml: str = "xml") -> DataFrame:
     """(by, level, code, value) of what is wrong with items: values that break VALUE_RULES, XML that isn't well-formed, answers that
     refer to no label (dangling), label identities given twice in one response, shares that don't come to 100, and nothing that
     earns points."""
-    read = parsed(items, xml).select(*by, "item")
+    read = cut(parsed(items, xml).select(*by, "item"))  # parsed once, for the rules on values and for those on structure
     rules = items.sparkSession.createDataFrame(VALUE_RULES, "element string, pattern string, level string, code string")
     broken = facts(read, by).join(F.broadcast(rules), "element").where(~F.regexp_like("value", F.col("pattern"))).select(*by, "level", "code", "value").distinct()
     judged = accepted(read)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from exalake.operators import context, domains, formulas, pictures, regions, successors
+from exalake.operators import context, domains, formulas, items, pictures, regions, successors
 from exalake.plans.queries import query, table
 from exalake.sources import forms, json_data, scripts
+from exalake.sources.shared import cut
 
 
 # -- cells -----------------------------------------------------------------------------------------------------------------
@@ -205,3 +206,61 @@ def page_pictures(spark, sf_dir):
     refs = pages.select(bank.alias("bank"), n.alias("n"), F.get(F.array(*said), k.cast("int")).alias("src"))
     paths = pages.select(bank.alias("bank"), said[0].alias("key"), F.concat(F.lit("anh_"), id_, F.lit(".png")).alias("name"), n.alias("ord"))
     return pictures.resolve_pictures(refs, paths, paths.select("bank", "name")).select(F.col("n").alias("page_id"), "out", "way", "code")
+
+
+# -- items ------------------------------------------------------------------------------------------------------------------------
+_KINDS = ("mc", "ma", "short", "num", "blanks", "dropdowns", "matching", "essay", "text")
+
+
+def _document_items(spark, sf_dir):
+    """A question for each document, of one of nine types by its number, as the XML of an item."""
+    docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    a, b = F.coalesce("source", F.lit("?")), F.concat(F.lit("<b>"), F.coalesce("lang", F.lit("und")), F.lit("</b>"))
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (i % len(_KINDS)).cast("int"))
+    choice = lambda html, right: F.struct(F.lit("A").alias("id"), html.alias("html"), F.lit(right).alias("correct"))
+    right_first = F.array(choice(a, True), choice(b, False), choice(F.lit("2 < 3"), True))
+    number = lambda x: F.lit(x).cast("double")
+    columns = {
+        "ident": F.concat(F.lit("d"), i.cast("string")), "pos": (i % 100 + 1).cast("int"), "type": kind, "points": (i % 4 + 1) / 4, "title": F.lit("T"), "stem": a, "feedback": F.when(i % 2 == 0, b),
+        "choices": F.when(kind == "ma", right_first).otherwise(F.array(choice(a, False), choice(b, True))), "answers": F.array(a, F.lit("é & è")),
+        "numeric": F.struct(F.col("n_chars").cast("double").alias("exact"), number(0.5).alias("margin"), number(None).alias("min"), number(None).alias("max")),
+        "blanks": F.array(F.struct(F.lit("b1").alias("id"), F.array(a, F.lit("x")).alias("accepts")), *[F.struct(F.lit(k).alias("id"), F.array(F.lit("y")).alias("accepts")) for k in ("b2", "b3")]),
+        "dropdowns": F.array(F.struct(F.lit("b1").alias("id"), F.array(F.lit("x"), a).alias("options"), F.lit(1).alias("correct"))),
+        "pairs": F.array(F.struct(F.lit("l1").alias("left"), a.alias("right")), F.struct(b.alias("left"), F.lit("zz").alias("right"))), "distractors": F.array(F.lit("0")),
+    }
+    return cut(docs.select("doc_id", *[v.alias(k) for k, v in columns.items()]).select("doc_id", items.item_of().alias("xml")))
+
+
+@query("""
+WITH d AS (SELECT *, coalesce(source, '?') AS a, '<b>' || coalesce(lang, 'und') || '</b>' AS b, doc_id % 9 AS k FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN 'multiple_choice_question' WHEN 1 THEN 'multiple_answers_question' WHEN 2 THEN 'short_answer_question' WHEN 3 THEN 'numerical_question' WHEN 4 THEN 'fill_in_multiple_blanks_question'
+    WHEN 5 THEN 'multiple_dropdowns_question' WHEN 6 THEN 'matching_question' WHEN 7 THEN 'essay_question' ELSE 'text_only_question' END AS type,
+  CASE WHEN k = 8 THEN 0 ELSE (doc_id % 4 + 1) / 4 END::DOUBLE AS points,
+  CASE k WHEN 0 THEN 'response1=' || b WHEN 1 THEN 'response1=' || a || '|response1=2 < 3' WHEN 2 THEN 'response1=' || a || '|response1=é & è' WHEN 3 THEN 'response1=' || n_chars || '|response1=' || (n_chars - 1) || '.5..' || n_chars || '.5'
+    WHEN 4 THEN 'response_b1=' || a || '@33.33|response_b2=y@33.33|response_b3=y@33.33' WHEN 5 THEN 'response_b1=' || a || '@100.0'
+    WHEN 6 THEN 'response_' || (doc_id % 100 * 100 + 101) || '=' || a || '@50.0|response_' || (doc_id % 100 * 100 + 102) || '=zz@50.0' ELSE '' END AS accepted FROM d""")
+def items_read_back(spark, sf_dir):
+    """Items of all types written with their response processing, and what each accepts by that alone."""
+    read = items.accepted(items.parsed(_document_items(spark, sf_dir)))
+    shown = F.transform("accepted", lambda x: F.concat(x["response"], F.lit("="), x["value"], F.coalesce(F.concat(F.lit("@"), x["share"].cast("string")), F.lit(""))))
+    return read.select("doc_id", "type", "points", F.coalesce(F.array_join(shown, "|"), F.lit("")).alias("accepted"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id % 9 AS k, doc_id % 7 AS fault, doc_id % 100 * 100 + 101 AS label FROM documents)
+SELECT doc_id, level, code FROM (
+  SELECT doc_id, 'error' AS level, 'not_well_formed' AS code FROM d WHERE fault = 1
+  UNION ALL SELECT doc_id, 'warn', 'no_title' FROM d WHERE fault = 2 UNION ALL SELECT doc_id, 'error', 'unknown_type' FROM d WHERE fault = 3
+  UNION ALL SELECT doc_id, 'error', 'earns_nothing' FROM d WHERE fault = 4 AND k < 7 OR fault = 3 AND k >= 7 UNION ALL SELECT doc_id, 'error', 'shares' FROM d WHERE fault = 5 AND k IN (4, 6)
+  UNION ALL SELECT doc_id, 'error', 'points_form' FROM d WHERE fault = 6)""")
+def item_faults(spark, sf_dir):
+    """What is wrong with items that were spoilt one way in seven: cut off, untitled, of an odd type, unpaid, short of a share, with odd points.
+
+    Of an odd type, an essay or a text is told to earn nothing as well.
+    """
+    xml, fault = F.col("xml"), F.col("doc_id") % 7
+    spoilt = (
+        F.when(fault == 1, F.substring(xml, F.lit(1), F.char_length(xml) - 3)).when(fault == 2, F.replace(xml, F.lit('title="T"'), F.lit('title=" "'))).when(fault == 3, F.regexp_replace(xml, "_question<", "_riddle<"))
+        .when(fault == 4, F.replace(xml, F.lit("setvar"), F.lit("novar"))).when(fault == 5, F.regexp_replace(xml, ">(33.33|50.00)</setvar>", ">20.00</setvar>")).when(fault == 6, F.regexp_replace(xml, "(points_possible</fieldlabel><fieldentry>)[^<]*", "$1,5")).otherwise(xml)
+    )
+    return items.item_issues(_document_items(spark, sf_dir).select("doc_id", spoilt.alias("xml")), ["doc_id"]).select("doc_id", "level", "code")
