@@ -26,18 +26,21 @@ TOKENS = rf"\\(?s:.)|\$|{SIGN}"
 
 def _tokens(texts: DataFrame, by: Names) -> DataFrame:
     """(by, n, at, token, before, after): escapes, dollar signs and tags with their place and the characters around them."""
-    pieces = F.arrays_zip(F.split("_flat", TOKENS).alias("gap"), F.regexp_extract_all("_flat", F.lit(TOKENS), F.lit(0)).alias("token"))
-    rows = texts.select(*by, F.posexplode(pieces).alias("n", "t")).select(*by, "n", "t.gap", "t.token")
+    # what moves of the text between tokens is its width and its ends
+    narrow = F.transform(F.split("_flat", TOKENS), lambda g: F.struct(F.char_length(g).alias("wide"), F.left(g, F.lit(1)).alias("head"), F.right(g, F.lit(1)).alias("tail")))
+    pieces = F.arrays_zip(narrow.alias("gap"), F.regexp_extract_all("_flat", F.lit(TOKENS), F.lit(0)).alias("token"))
+    rows = texts.select(*by, F.posexplode(pieces).alias("n", "t")).select(*by, "n", "t.gap.*", "t.token")
+    rows = rows.repartition(*by).dropDuplicates([*by, "n"])  # of repeated rows one counts
     order = Window.partitionBy(*by).orderBy("n")
     above = order.rowsBetween(Window.unboundedPreceding, 0)
-    width = lambda c: F.coalesce(F.char_length(c), F.lit(0))
+    size = F.coalesce(F.char_length("token"), F.lit(0))
     placed = rows.withColumns({
-        "at": F.sum(width("gap") + width("token")).over(above) - width("token"),
-        "before": F.right(F.concat(F.coalesce(F.lag("token").over(order), F.lit("")), "gap"), F.lit(1)),
-        "after": F.left(F.concat(F.coalesce(F.lead("gap").over(order), F.lit("")), F.coalesce(F.lead("token").over(order), F.lit(""))), F.lit(1)),
+        "at": F.sum(F.col("wide") + size).over(above) - size,
+        "before": F.right(F.concat(F.coalesce(F.lag("token").over(order), F.lit("")), "tail"), F.lit(1)),
+        "after": F.left(F.concat(F.coalesce(F.lead("head").over(order), F.lit("")), F.coalesce(F.lead("token").over(order), F.lit(""))), F.lit(1)),
         "tags": F.sum(F.contains("token", F.lit(SIGN)).cast("int")).over(above),
     })
-    return placed.where("token IS NOT NULL").drop("gap")
+    return placed.where("token IS NOT NULL").drop("wide", "head", "tail")
 
 
 def _following(asks: DataFrame, places: DataFrame, by: Names, target: str, out: str) -> DataFrame:
@@ -74,8 +77,8 @@ def formulas(rows: DataFrame, by: Names, text: str, html: bool = False) -> DataF
     tags: those that it closes without having opened them go before it (closes), those that it leaves open after it
     (opens).  tex is without tags, entities decoded.  A null text has no formulas.
     """
-    texts = rows.select(*by, F.col(text).alias("_text")).where(F.col("_text").contains("$") | F.col("_text").contains("\\(") | F.col("_text").contains("\\[")).dropDuplicates(by)
-    texts = cut(texts).withColumn("_flat", F.regexp_replace("_text", MARKUP, SIGN) if html else F.col("_text"))
+    texts = rows.select(*by, F.col(text).alias("_text")).where(F.col("_text").contains("$") | F.col("_text").contains("\\(") | F.col("_text").contains("\\["))
+    texts = texts.withColumn("_flat", F.regexp_replace("_text", MARKUP, SIGN) if html else F.col("_text"))
     found = _tokens(texts, by)
     order, white = Window.partitionBy(*by).orderBy("n"), f"^{WHITE}$"
     up = Window.partitionBy(*by).orderBy(F.col("n").desc())
@@ -92,7 +95,7 @@ def formulas(rows: DataFrame, by: Names, text: str, html: bool = False) -> DataF
     raw = []
     for name, close in (("round", r"\)"), ("square", r"\]")):
         widths = F.transform(F.split("_flat", "\\\\" + close), lambda p: F.char_length(p) + 2)
-        ends = texts.where(F.col("_flat").contains(close)).select(*by, F.posexplode(widths).alias("i", "w"))
+        ends = texts.where(F.col("_flat").contains(close)).select(*by, F.posexplode(widths).alias("i", "w")).repartition(*by).dropDuplicates([*by, "i"])
         at = ends.withColumn("at", (F.sum("w").over(Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - 2).cast("long"))
         last = F.max("i").over(Window.partitionBy(*by))
         raw.append((name, at.withColumn("last", last).where("i < last").select(*by, "at")))
@@ -113,7 +116,7 @@ def formulas(rows: DataFrame, by: Names, text: str, html: bool = False) -> DataF
     plain = F.forall(tags, lambda t: F.lower(F.regexp_extract(t, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1)).isin(INNER_TAGS))
     judged = inside.withColumn("tags_in", F.when(good, tags)).withColumn("valid", good & (bare != "") & F.coalesce(plain, F.lit(True)))
     judged = judged.select(*by, "at", "wide", "valid", F.when(F.col("valid"), F.col("close") + F.col("wide")).alias("stop"), F.when(F.col("valid"), decode_entities(tex) if html else tex).alias("tex"), (F.col("token") == "\\[").alias("square"), "double", "tags_in")
-    judged = cut(judged.withColumn("target", F.coalesce("stop", F.col("at") + F.col("wide"))))
+    judged = cut(judged.withColumn("target", F.coalesce("stop", F.col("at") + F.col("wide"))).dropDuplicates([*by, "at"]))
     links = _following(judged.select(*by, "at", "target"), judged.select(*by, "at"), by, "target", "next")
     most = judged.groupBy(*by).count().agg(F.max("count")).first()[0] or 0  # one number
     visited = reachable(judged.groupBy(*by).agg(F.min("at").alias("at")), links.select(*by, "at", "next"), by, "at", most)
