@@ -37,9 +37,9 @@ def anchor_values(cells: DataFrame, rectangles: DataFrame, by: Names, value: str
     tiles = lambda a, b, level: F.explode(F.sequence(_tile(F.col(a), F.col(level)), _tile(F.col(b), F.col(level))))
     dealt = sized.join(corners, [*by, "r1", "c1"], "left").withColumn("tr", tiles("r1", "r2", "lr")).withColumn("tc", tiles("c1", "c2", "lc"))
     dealt = dealt.select(*by, "lr", "lc", "tr", "tc", "r1", "c1", "r2", "c2", F.struct(F.col(order).alias("o"), F.col("r1").alias("r"), F.col("c1").alias("c"), F.col("_value").alias("v")).alias("_by"))
-    levels = sized.select("lr", "lc").distinct().agg(F.collect_list(F.struct("lr", "lc")).alias("levels"))  # 13 * 7 at most
-    asked = cells.where(wanted).select(*by, "r", "c").distinct()
-    probes = asked.join(F.broadcast(levels)).select(*by, "r", "c", F.explode("levels").alias("level")).select(*by, "r", "c", "level.*")
+    levels = sized.select("lr", "lc").distinct().collect()  # 13 * 7 at most
+    every = F.array(*[F.struct(F.lit(x.lr).alias("lr"), F.lit(x.lc).alias("lc")) for x in levels]).cast("array<struct<lr:int,lc:int>>")
+    probes = cells.where(wanted).select(*by, "r", "c").distinct().select(*by, "r", "c", F.explode(every).alias("level")).select(*by, "r", "c", "level.*")
     probes = probes.withColumns({"tr": _tile(F.col("r"), F.col("lr")), "tc": _tile(F.col("c"), F.col("lc"))})
     inside = F.col("r").between(F.col("r1"), F.col("r2")) & F.col("c").between(F.col("c1"), F.col("c2")) & ~((F.col("r") == F.col("r1")) & (F.col("c") == F.col("c1")))
     found = probes.join(dealt, [*by, "lr", "lc", "tr", "tc"]).where(inside).groupBy(*by, "r", "c").agg(F.min("_by")["v"].alias(out))
