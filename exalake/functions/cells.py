@@ -235,3 +235,28 @@ def document_true_false(s: Column, labels: Column) -> Column:
     of = lambda m, missing, extra: F.struct(m.alias("marks"), missing.alias("missing"), extra.alias("extra"))
     in_order = of(F.map_from_arrays(F.slice(labels, F.lit(1), n), F.transform(F.slice(marks, F.lit(1), n), right)), F.slice(labels, n + 1, F.size(labels)), F.size(marks) > F.size(labels))
     return F.when(sound, of(F.map_from_arrays(names, F.transform(said, right)), F.array_except(labels, names), F.lit(False))).when(row.rlike("^[ĐSTFD]+$"), in_order)
+
+
+def short_variants(answers: Column, loose: bool = False) -> Column:
+    """Accepted spellings of short answers written with markup: as they are, with the other sort of apostrophe or straight quotes,
+    without punctuation at the end; loosely, also with hyphens between letters as blanks or left out, and without an
+    article before three words or fewer; then `variants` of all these.  Texts must be in normal form C."""
+    clean = F.transform(answers, lambda s: collapse(decode_entities(F.replace(F.regexp_replace(F.coalesce(s, F.lit("")), "<[^>]*>", " "), F.lit("&nbsp;"), F.lit(" ")))))
+    kept = lambda xs: F.array_distinct(F.filter(F.transform(xs, collapse), lambda s: s != ""))
+    no = F.lit(None).cast("string")
+
+    def written(a: Column) -> Column:
+        apostrophe = F.when(a.rlike("[‘’ʼ]"), F.translate(a, "‘’ʼ", "'''")).when(a.rlike("[A-Za-z]'[A-Za-z]"), F.replace(a, F.lit("'"), F.lit("’")))
+        return F.array(a, apostrophe, F.when(a.rlike("[“”]"), F.translate(a, "“”", '""')))
+
+    def more(xs: Column, one) -> Column:
+        return kept(F.concat(xs, F.array_compact(F.flatten(F.transform(xs, one)))))
+
+    base = kept(F.array_compact(F.flatten(F.transform(F.filter(clean, lambda s: s != ""), written))))
+    base = more(base, lambda a: F.array(F.regexp_replace(a, r"\s*[.,;:!?]+$", "")))
+    if loose:
+        hyphen, article = "([A-Za-z])-(?=[A-Za-z])", r"(?i)^(?:an?|the)\s+([A-Za-z].*)$"
+        base = more(base, lambda a: F.when(a.rlike(hyphen), F.array(F.regexp_replace(a, hyphen, "$1 "), F.regexp_replace(a, hyphen, "$1"))).otherwise(F.array(no)))
+        rest = lambda a: F.regexp_extract(a, article, 1)
+        base = more(base, lambda a: F.array(F.when((rest(a) != "") & (F.size(F.split(rest(a), " ")) <= 3), rest(a))))
+    return variants(base)

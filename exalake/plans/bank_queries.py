@@ -352,3 +352,11 @@ def grades_with_essays(spark, sf_dir):
     keys = o.select("item", (F.col("item") % 5).alias("correct"), F.lit(1.0).alias("points"))
     scores = grading.grade_single(o.where("item % 3 <> 0"), keys).select("student", "item", "score").unionByName(grading.grade_by_hand(o.where("item % 3 = 0")))
     return scores.groupBy("student").agg(F.count("score").alias("graded"), F.count("*").alias("answered"), F.sum("score").alias("total"))
+
+
+@query("""
+SELECT doc_id, array_to_string(['The ' || s || ' key.', 'don’t', 'don''t', 'The ' || s || ' key', s || ' key.', s || ' key'], '|') AS spellings FROM (SELECT doc_id, coalesce(source, 'x') AS s FROM documents)""")
+def short_answer_spellings(spark, sf_dir):
+    """Spellings that a short answer accepts: apostrophes, final full stops, articles."""
+    said = F.array(F.concat(F.lit("<i>The</i> "), F.coalesce("source", F.lit("x")), F.lit(" key.")), F.lit("don’t"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(cells.short_variants(said, loose=True), "|").alias("spellings"))

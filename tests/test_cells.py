@@ -100,3 +100,11 @@ def test_empty_tables(spark):
     assert banks.banks_to_export(questions, issues, off).count() == 0
     items = spark.createDataFrame([], "bank string, title string, points double")
     assert exports.package_plan(items, classic=True).count() == 0 and exports.package_plan(items, classic=False).count() == 0
+
+
+def test_short_variants(spark):
+    got = lambda texts, loose=False: [r[0] for r in spark.createDataFrame([(texts,)], "s array<string>").select(cells.short_variants(F.col("s"), loose)).collect()][0]
+    assert got(["<b>don’t</b> &amp;  go.", "it's", "“so”", None, " "]) == ["don’t & go.", "don't & go.", "it's", "it’s", "“so”", '"so"', "don’t & go", "don't & go"]
+    assert got(["a door", "the well-known old man of it", "1,5"], True) == ["a door", "the well-known old man of it", "1,5", "the well known old man of it", "the wellknown old man of it", "door", "the well−known old man of it", "1.5"]
+    assert got(["An e-mail!"], True)[:4] == ["An e-mail!", "An e-mail", "An e mail!", "An email!"] and "email" in got(["An e-mail!"], True)
+    assert got([]) == [] and got(None) is None
