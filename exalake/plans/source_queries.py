@@ -196,7 +196,7 @@ WITH p AS (SELECT page_id, page_id % 10 AS bank, page_id % 8 AS k, coalesce(url,
 h AS (SELECT *, lpad(printf('%x', list_reduce(list_prepend(2166136261, list_transform(string_split(url, ''), lambda c: CAST(CASE WHEN c = '' THEN 0 ELSE ord(c) END AS BIGINT))), lambda a, b: xor(a, b) * 16777619 % 4294967296)), 8, '0') AS fnv FROM p)
 SELECT page_id, CASE k WHEN 4 THEN 'images/img_' || fnv || '.png' WHEN 5 THEN 'https://x.org/y.png' WHEN 6 THEN NULL ELSE 'images/anh_' || page_id || '.png' END AS out,
   CASE k WHEN 0 THEN 'exact' WHEN 1 THEN 'decoded' WHEN 2 THEN 'any_case' WHEN 3 THEN 'file_name' WHEN 4 THEN 'embedded' WHEN 7 THEN 'given' END AS way,
-  CASE k WHEN 4 THEN 'absent' WHEN 5 THEN 'remote' WHEN 6 THEN 'scheme' END AS code
+  CASE k WHEN 5 THEN 'remote' WHEN 6 THEN 'scheme' END AS code
 FROM h""")
 def page_pictures(spark, sf_dir):
     """Pictures that pages refer to, in every way; those within data: addresses are cut out and named by their contents."""
