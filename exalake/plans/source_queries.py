@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from exalake.operators import context, domains, formulas, items, pictures, regions, successors
+from exalake.operators import context, domains, formulas, items, pictures, regions, successors, validation
 from exalake.plans.queries import query, table
 from exalake.sources import forms, json_data, scripts
 from exalake.sources.shared import cut
@@ -264,3 +264,25 @@ def item_faults(spark, sf_dir):
         .when(fault == 4, F.replace(xml, F.lit("setvar"), F.lit("novar"))).when(fault == 5, F.regexp_replace(xml, ">(33.33|50.00)</setvar>", ">20.00</setvar>")).when(fault == 6, F.regexp_replace(xml, "(points_possible</fieldlabel><fieldentry>)[^<]*", "$1,5")).otherwise(xml)
     )
     return items.item_issues(_document_items(spark, sf_dir).select("doc_id", spoilt.alias("xml")), ["doc_id"]).select("doc_id", "level", "code")
+
+
+# -- boxes that are checked ---------------------------------------------------------------------------------------------------------
+@query("""
+WITH c(k, code, level) AS (VALUES (1, 'blanks_none', 'error'), (2, 'blanks_id', 'error'), (3, 'blanks_id_twice', 'error'), (4, 'blanks_not_in_stem', 'error'), (5, 'blanks_often_in_stem', 'error'), (6, 'blanks_in_stimulus', 'warn'),
+  (7, 'blank_without_answer', 'error'), (8, 'blank_answer_html', 'error'), (9, 'dropdown_few', 'error'), (10, 'dropdown_undecided', 'error'), (11, 'dropdown_option_empty', 'error'), (11, 'dropdown_option_twice', 'warn'), (12, 'dropdowns_none', 'error'), (13, 'dropdowns_not_in_stem', 'error'))
+SELECT doc_id, level, code FROM documents JOIN c ON c.k = doc_id % 14""")
+def box_faults(spark, sf_dir):
+    """Questions with blanks or lists to choose from, one fault in each shape: what the rules tell of them."""
+    k, source = F.col("doc_id") % 14, F.coalesce("source", F.lit("?"))
+    blank = lambda name, *accepts: F.struct(F.lit(name).alias("id"), F.array(*[a if not isinstance(a, str) else F.lit(a) for a in accepts]).alias("accepts"))
+    list_ = lambda correct, *options: F.struct(F.lit("b1").alias("id"), F.array(*map(F.lit, options)).alias("options"), F.lit(correct).alias("correct"))
+    first, second = blank("b1", source), blank("b2", "y")
+    given = {
+        "bank": F.lit("b"), "pos": F.lit(1), "id": F.concat(F.lit("d"), F.col("doc_id").cast("string")), "points": F.lit(1.0), "type": F.when(k < 9, "blanks").otherwise("dropdowns"),
+        "stem": F.when(k == 4, "x [b2]").when(k == 5, "[b1] [b1] [b2]").when(k == 13, "nothing").otherwise("[b1] [b2]"), "stimulus": F.when(k == 6, "in [b1]").otherwise(""),
+        "blanks": F.when(k == 1, F.array().cast("array<struct<id:string,accepts:array<string>>>")).when(k == 2, F.array(blank("B 1", "x"), second)).when(k == 3, F.array(first, blank("b1", "y"))).when(k == 7, F.array(first, blank("b2", " "))).when(k == 8, F.array(first, blank("b2", "<b>x</b>"))).otherwise(F.array(first, second)),
+        "dropdowns": F.when(k == 9, F.array(list_(0, "only"))).when(k == 10, F.array(list_(5, "x", "y"))).when(k == 11, F.array(list_(0, "x", "X ", ""))).when(k == 12, F.array().cast("array<struct<id:string,options:array<string>,correct:int>>")).otherwise(F.array(list_(1, "x", "y"))),
+    }
+    kinds = spark.createDataFrame([], validation.QUESTION).schema
+    rows = table(spark, sf_dir, "documents").select("doc_id", *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+    return validation.issues(rows).select(F.substring("id", 2, 30).cast("long").alias("doc_id"), "level", "code")
