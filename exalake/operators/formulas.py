@@ -106,11 +106,12 @@ def formulas(rows: DataFrame, by: Names, text: str, html: bool = False) -> DataF
     wide = F.col("double") | ~dollar
     opening = opening.withColumns({"close": close, "wide": F.when(wide, 2).otherwise(1)})
     money = (~F.col("double")) & dollar & (F.col("after").rlike(white) | F.col("one.before").rlike(white) | F.col("one.after").rlike("^[0-9]$"))
-    inside = _meet(opening, texts.select(*by, "_text", "_flat"), by, "inner")
+    inside = _meet(opening, texts.select(*by, "_text", "_flat") if html else texts.select(*by, "_flat"), by, "inner")
     content = F.substring("_flat", F.col("at") + F.col("wide") + 1, F.col("close") - F.col("at") - F.col("wide"))
     tex = F.replace(content, F.lit(SIGN), F.lit("")) if html else content
     good = F.col("close").isNotNull() & (F.col("close") > F.col("at") + F.col("wide")) & ~money
-    bare = F.regexp_replace(decode_entities(tex) if html else tex, WHITE, "")
+    # $...$ begins with something else than white space, so in plain text there is something in it
+    bare = F.regexp_replace(decode_entities(tex), WHITE, "") if html else F.when(wide, F.regexp_replace(tex, WHITE, "")).otherwise("$")
     count = F.char_length(content) - F.char_length(F.replace(content, F.lit(SIGN), F.lit("")))
     tags = F.slice(F.regexp_extract_all("_text", F.lit(MARKUP), F.lit(0)), F.col("tags") + 1, count) if html else F.array().cast("array<string>")
     plain = F.forall(tags, lambda t: F.lower(F.regexp_extract(t, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1)).isin(INNER_TAGS))
