@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -35,6 +37,15 @@ def without_marks(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+_EVERY_MARK = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c).startswith("M")) + "]+")
+
+
+@F.pandas_udf(T.StringType())
+def without_any_marks(s: pd.Series) -> pd.Series:
+    """Letters without combining marks of any script, enclosing ones too; null is ''."""
+    return s.map(lambda x: "" if x is None else x if x.isascii() else _EVERY_MARK.sub("", unicodedata.normalize("NFD", x)))
+
+
 def collapse(s: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(s, WHITE + "+", " "))

@@ -118,7 +118,9 @@ SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(strip_accents(
   length(nfc_normalize(text))::BIGINT AS n_chars FROM documents""")
 def normalise_texts(spark, sf_dir):
     """Slugs and lengths in normal form C of documents: ß is no ASCII letter, so slug() parts words at it, and the SQL does alike."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"), F.length(text.nfc("text")).cast("long").alias("n_chars"))
+    given = F.col("text").isNotNull()
+    slug, length = F.when(given, text.slug(text.without_any_marks(F.translate("text", "đĐ", "dd")))), F.when(given, F.length(text.nfc("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", slug.alias("slug"), length.cast("long").alias("n_chars"))
 
 
 @query(r"""

@@ -66,3 +66,16 @@ def test_pair_names_equals_brute_force(spark):
     got = answer_key.pair_names(frame(keys, "key_id"), frame(exams, "exam_id")).collect()
     want = sorted(paired(keys, exams))
     assert sorted((r.key_id, r.exam_id) for r in got) == want and sum(e is not None for _, e in want) > 20
+
+
+@pytest.mark.parametrize("name", ["document_file_names", "normalise_texts"])
+def test_marks_of_any_script(spark, tmp_path, name):
+    texts = ["a\u0483b", "a\u0591b c\u20ddd", "a\u0e31b", "x" * 59 + "\u05b0yz", "\u00c9\u00e9", "\u212a\u0111", "\u0111\u0301a\u093eB", "\u00df1", "a\u0000b", "", None, "\u0939\u093f", "Cafe\u0301 \u1ec7\u0323x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    spark.read.parquet(f"{tmp_path}/documents").write.parquet(f"{tmp_path}/sf/documents.parquet")
+    got = QUERIES[name](spark, f"{tmp_path}/sf")
+    want = con.execute(ORACLES[name])
+    names = [c[0] for c in want.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
