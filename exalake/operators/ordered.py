@@ -32,12 +32,14 @@ def fill_until(rows: DataFrame, column: str, stop: Column, by: Names, order: Nam
 def nearest_above(marks: DataFrame, rows: DataFrame, by: Names, at: str, value: str, out: str) -> DataFrame:
     """Each mark with the value of the last row of the same part at or above it; if none, of the first row (as-of join).
 
-    One sort of both sides together; at and value are columns of rows, at also of marks.
+    One sort of both sides together; at and value are columns of rows, at also of marks.  Of rows at one place the greatest
+    value counts as the last, the least as the first.  The first row is a whole part's least one: a frame that only grows or
+    never changes is read once, one that begins at each row is read again from every row on.
     """
     both = rows.select(*by, at, F.struct(F.col(value).alias("v")).alias("_row"), F.lit(0).alias("_side"), F.lit(None).cast(marks.select(F.struct("*")).schema[0].dataType).alias("_mark")).unionByName(marks.select(*by, at, F.lit(None).cast(rows.select(F.struct(F.col(value).alias("v"))).schema[0].dataType).alias("_row"), F.lit(1).alias("_side"), F.struct("*").alias("_mark")))
-    up = Window.partitionBy(*by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*by).orderBy(at, "_side").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_found", F.coalesce(F.last("_row", ignorenulls=True).over(up), F.first("_row", ignorenulls=True).over(down)))
+    order = Window.partitionBy(*by).orderBy(at, "_side", "_row")
+    up, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = both.withColumn("_found", F.coalesce(F.last("_row", ignorenulls=True).over(up), F.first("_row", ignorenulls=True).over(whole)))
     return found.where("_side = 1").select("_mark.*", F.col("_found.v").alias(out))
 
 

@@ -79,3 +79,15 @@ def test_marks_of_any_script(spark, tmp_path, name):
     want = con.execute(ORACLES[name])
     names = [c[0] for c in want.description]
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+
+
+def test_nearest_above_reads_a_part_once(spark):
+    """No frame begins at each row (that is quadratic in a part); rows at one place are taken by their values."""
+    from exalake.operators import ordered
+
+    rows = spark.createDataFrame([("s", 5, "b"), ("s", 5, "a"), ("s", 9, "c"), ("s", 9, "d"), (None, 3, "n")], "sheet string, at int, name string")
+    marks = spark.createDataFrame([("s", 1, 1), ("s", 5, 2), ("s", 30, 3), (None, 1, 4), ("t", 1, 5)], "sheet string, at int, pic int")
+    found = ordered.nearest_above(marks, rows, ["sheet"], "at", "name", "row")
+    assert {r.pic: r.row for r in found.collect()} == {1: "a", 2: "b", 3: "d", 4: "n", 5: None}
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "unboundedpreceding" in plan and "currentrow$(), unboundedfollowing" not in plan
