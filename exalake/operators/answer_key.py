@@ -50,18 +50,21 @@ def nth_to_nth(questions: DataFrame, key: DataFrame) -> DataFrame:
 def find_range_answers(questions: DataFrame, key: DataFrame) -> DataFrame:
     """questions (exam, qid, part, low, high), key (exam, part, no text, value): find_answers for a range of numbers.
 
-    The values of all its numbers joined by ', '; if any number has none, the value that the key has for 'low-high'.
+    The values of all its numbers joined by ', '; if any number has none, the value that the key has for 'low-high'.  Questions
+    of one exam and part over one range have one answer: it is looked up once, however many they are.
     """
     span = F.concat_ws("-", F.col("low").cast("string"), F.col("high").cast("string"))
     numbers = F.transform(F.sequence("low", "high"), lambda n: n.cast("string"))
-    each = questions.select("exam", "part", F.col("qid").alias("asked"), F.explode(F.array_append(numbers, span)).alias("no"))
-    found = find_answers(each.withColumn("qid", F.struct("asked", "no")), key).where("value is not null")
+    asked = questions.select("exam", "part", "low", "high").distinct().select("exam", "part", F.struct("part", "low", "high").alias("asked"), F.explode(F.array_append(numbers, span)).alias("no"))
+    found = find_answers(asked.withColumn("qid", F.struct("asked", "no")), key).where("value is not null")
     single = ~F.contains("no", F.lit("-"))
     values = F.sort_array(F.collect_list(F.when(single, F.struct(F.col("no").cast("int").alias("n"), "value"))))
-    got = found.groupBy("exam", F.col("asked").alias("qid")).agg(values.alias("v"), F.max(F.when(~single, F.col("value"))).alias("whole"))
+    got = found.groupBy(F.col("exam").alias("_exam"), "asked").agg(values.alias("v"), F.max(F.when(~single, F.col("value"))).alias("whole"))
     joined = F.array_join(F.transform("v", lambda x: x["value"]), ", ")
-    out = questions.join(got, ["exam", "qid"], "left")
-    return out.withColumn("value", F.when(F.size("v") == F.col("high") - F.col("low") + 1, joined).otherwise(F.col("whole"))).drop("v", "whole")
+    wide = F.col("asked.high") - F.col("asked.low") + 1
+    got = got.select("_exam", F.col("asked.part").alias("_part"), F.col("asked.low").alias("_low"), F.col("asked.high").alias("_high"), F.when(F.size("v") == wide, joined).otherwise(F.col("whole")).alias("value"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("exam", "part", "low", "high")]
+    return questions.join(got, on, "left").drop("_exam", "_part", "_low", "_high")
 
 
 def unused_after(key: DataFrame, answered: DataFrame) -> DataFrame:

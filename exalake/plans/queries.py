@@ -381,8 +381,8 @@ def find_range_answers(spark, sf_dir):
 
     Every second exam's key has one named part, beside the ranges without a part; questions of no part take the ranges alone there.
     """
-    lines = table(spark, sf_dir, "lineitem")
-    q = lines.select((F.col("l_orderkey") % 500).alias("exam"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("qid"), F.when(F.col("l_orderkey") % 2 == 0, "").otherwise("I").alias("part"), F.col("l_linenumber").cast("int").alias("low"), (F.col("l_linenumber") + F.col("l_orderkey") % 3).cast("int").alias("high")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    q = lines.select((F.col("l_orderkey") % 500).alias("exam"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("qid"), F.when(F.col("l_orderkey") % 2 == 0, "").otherwise("I").alias("part"), F.col("l_linenumber").cast("int").alias("low"), (F.col("l_linenumber") + F.col("l_orderkey") % 3).cast("int").alias("high"))
     exam = F.col("p_partkey") % 500
     single = table(spark, sf_dir, "part").groupBy(exam.alias("exam"), F.when(exam % 2 == 0, "").otherwise("I").alias("part"), (F.floor(F.col("p_partkey") / 500) % 7 + 1).cast("string").alias("no")).agg(F.min("p_brand").alias("value"))
     s = F.col("s_suppkey")

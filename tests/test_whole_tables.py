@@ -91,3 +91,16 @@ def test_nearest_above_reads_a_part_once(spark):
     assert {r.pic: r.row for r in found.collect()} == {1: "a", 2: "b", 3: "d", 4: "n", 5: None}
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "unboundedpreceding" in plan and "currentrow$(), unboundedfollowing" not in plan
+
+
+def test_a_range_is_looked_up_once(spark, monkeypatch):
+    """Questions of one exam, part and range ask the key once; each of them gets the answer, also where a name is missing."""
+    looked = []
+    once = answer_key.find_answers
+    monkeypatch.setattr(answer_key, "find_answers", lambda q, k: looked.append(q.count()) or once(q, k))
+    asked = [("e", i, "I" if i % 2 else "", 1, 2) for i in range(40)] + [("e", 90, None, 2, 4), (None, 91, "I", 1, 2), ("f", 92, "I", 1, 1)]
+    q = spark.createDataFrame(asked, "exam string, qid long, part string, low int, high int")
+    k = spark.createDataFrame([("e", "I", "1", "A"), ("e", "I", "2", "B"), ("e", "", "2-4", "C")], "exam string, part string, no string, value string")
+    got = {r.qid: r.value for r in answer_key.find_range_answers(q, k).collect()}
+    assert got == {**{i: "A, B" if i % 2 else None for i in range(40)}, 90: "C", 91: None, 92: None}
+    assert looked == [3 + 3 + 4 + 3 + 2]
