@@ -249,8 +249,12 @@ def short_variants(answers: Column, loose: bool = False) -> Column:
         apostrophe = F.when(a.rlike("[‘’ʼ]"), F.translate(a, "‘’ʼ", "'''")).when(a.rlike("[A-Za-z]'[A-Za-z]"), F.replace(a, F.lit("'"), F.lit("’")))
         return F.array(a, apostrophe, F.when(a.rlike("[“”]"), F.translate(a, "“”", '""')))
 
+    def bound(x: Column, f) -> Column:
+        """f(x) with x worked out once, however often f names it."""
+        return F.get(F.transform(F.array(x), f), F.lit(0))
+
     def more(xs: Column, one) -> Column:
-        return kept(F.concat(xs, F.array_compact(F.flatten(F.transform(xs, one)))))
+        return bound(xs, lambda v: kept(F.concat(v, F.array_compact(F.flatten(F.transform(v, one))))))
 
     base = kept(F.array_compact(F.flatten(F.transform(F.filter(clean, lambda s: s != ""), written))))
     base = more(base, lambda a: F.array(F.regexp_replace(a, r"\s*[.,;:!?]+$", "")))
@@ -259,4 +263,4 @@ def short_variants(answers: Column, loose: bool = False) -> Column:
         base = more(base, lambda a: F.when(a.rlike(hyphen), F.array(F.regexp_replace(a, hyphen, "$1 "), F.regexp_replace(a, hyphen, "$1"))).otherwise(F.array(no)))
         rest = lambda a: F.regexp_extract(a, article, 1)
         base = more(base, lambda a: F.array(F.when((rest(a) != "") & (F.size(F.split(rest(a), " ")) <= 3), rest(a))))
-    return variants(base)
+    return bound(base, variants)

@@ -104,3 +104,15 @@ def test_a_range_is_looked_up_once(spark, monkeypatch):
     got = {r.qid: r.value for r in answer_key.find_range_answers(q, k).collect()}
     assert got == {**{i: "A, B" if i % 2 else None for i in range(40)}, 90: "C", 91: None, 92: None}
     assert looked == [3 + 3 + 4 + 3 + 2]
+
+
+def test_each_answer_is_spelt_once(spark):
+    """What a step of the spellings starts from stands in the expression once, so it isn't worked out again for each use."""
+    from pyspark.sql import functions as F
+
+    from exalake.functions import cells
+
+    plan = spark.range(1).select(F.array(F.concat(F.lit("a-b "), F.col("id").cast("string"))).alias("said")).select(cells.short_variants(F.col("said"), loose=True).alias("v"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("said#") <= 4
+    assert plan.first().v[:2] == ["a-b 0", "a b 0"]
+    assert "Join" in QUERIES["short_answer_spellings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
