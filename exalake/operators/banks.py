@@ -95,10 +95,11 @@ def question_numbers(lines: DataFrame, by: str, order: str) -> DataFrame:
 def innermost_ranges(questions: DataFrame, ranges: DataFrame, by: str, widest: int = 80) -> DataFrame:
     """questions (by, no) with group, the narrowest range (by, group, low, high) around no; of equal ones the later.
 
-    A range is a row a number, so the join is one of equal keys; ranges over `widest` numbers are none.
+    A range is a row a number, so the join is one of equal keys; ranges over `widest` numbers are none.  These rows move to
+    their numbers as they are: to sort them for a first choice where they are made takes memory for all of a task's ranges.
     """
     each = ranges.where((F.col("high") >= F.col("low")) & (F.col("high") - F.col("low") < widest)).select(by, "group", (F.col("high") - F.col("low")).alias("_size"), F.explode(F.sequence("low", "high")).alias("no"))
-    best = each.groupBy(by, "no").agg(F.min_by("group", F.struct("_size", -F.col("group"))).alias("group"))
+    best = each.repartition(by, "no").groupBy(by, "no").agg(F.min_by("group", F.struct("_size", -F.col("group"))).alias("group"))
     return questions.join(best, [by, "no"], "left")
 
 

@@ -116,3 +116,16 @@ def test_each_answer_is_spelt_once(spark):
     assert plan._jdf.queryExecution().analyzed().toString().count("said#") <= 4
     assert plan.first().v[:2] == ["a-b 0", "a b 0"]
     assert "Join" in QUERIES["short_answer_spellings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranges_move_before_they_are_sorted(spark):
+    """Rows of ranges go to their numbers first; nothing is sorted on the side where they are made."""
+    from exalake.operators import banks
+
+    questions = spark.createDataFrame([(1, 4), (1, 9), (2, 4)], "exam int, no int")
+    ranges = spark.createDataFrame([(1, 1, 1, 8), (1, 2, 3, 5), (1, 3, 4, 6)], "exam int, group int, low int, high int")
+    found = banks.innermost_ranges(questions, ranges, "exam")
+    assert {(r.exam, r.no): r.group for r in found.collect()} == {(1, 4): 3, (1, 9): None, (2, 4): None}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    made = plan[: plan.index("Generate")]
+    assert "Exchange hashpartitioning" in made[made.rindex("Aggregate") :]
