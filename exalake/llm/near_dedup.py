@@ -6,19 +6,20 @@ just for common words.  Documents with an equal sketch are candidates; a banded
 copies are one node from the start.  Classes are the connected components of the verified links.
 
 A bucket of equal sketches is not spread into its pairs.  Each document meets the centre of its widest bucket first, one
-pair a document, and only members of a bucket that links don't connect by then go on: they meet the bucket's own centre, then
-more heads of it in each turn, in the last turn all of it.  Pairs
-whose lengths or word parities rule similarity out are never made; both bounds are exact.
+pair a document, and only members of a bucket that links don't connect by then go on: they meet the bucket's own centre, and
+what is still not connected meets by its rare words, of which similar documents share one.  Pairs
+whose lengths or word parities rule similarity out are never made; all bounds are exact.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exalake.llm.text_arrays import Words, byte_slices, drop, lower_bytes, materialise, may_hold, mix, prefix_hashes, shingles, span_hashes, utf8
@@ -30,14 +31,12 @@ SIMILARITY = 0.8
 SKETCHES, PER_SKETCH = 64, 2
 #: Buckets of at most so many are paired outright as soon as they meet their centre.
 SMALL = 4
-#: Later, buckets of at most so many are.
-PAIRED_OUTRIGHT = 64
-#: Heads that members of a bucket meet in each turn after the first; 0: its centre alone; None: all members.
-HEADS = (0, 8, 64, None)
+#: Later, buckets of at most so many are; members of larger ones meet by their rare words.
+PAIRED_OUTRIGHT = 8
 #: Edits that are looked for along single diagonals; beyond them the whole band goes at once.
 SCALAR_EDITS = 6
 #: Words of a document's parity filter, 64 bits each.
-PARITY_WORDS = 8
+PARITY_WORDS = 16
 PARITY = [f"parity{i}" for i in range(PARITY_WORDS)]
 
 
@@ -192,11 +191,15 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def may_be_similar(a: str, b: str, similarity: float) -> Column:
-    """False only for documents that can't be similar: by their lengths, or as an edit changes two parities at most."""
+    """False only for documents that can't be similar: by their lengths, or by the words that one has and the other hasn't.
+
+    Of the latter the longer one has |an - bn| more than the other, and at most as many as there are edits; parities that differ
+    are no more than both together.
+    """
     an, bn = F.col(f"{a}.n_words"), F.col(f"{b}.n_words")
     limit = (1 - similarity) * F.greatest(an, bn) + 1e-9
     differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in PARITY[1:]), F.bit_count(F.col(f"{a}.{PARITY[0]}").bitwiseXOR(F.col(f"{b}.{PARITY[0]}"))))
-    return (F.abs(an - bn) <= limit) & (differ <= 2 * limit)
+    return (F.abs(an - bn) <= limit) & (differ + F.abs(an - bn) <= 2 * limit)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -220,9 +223,8 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, f"id {kind}, key binary, n_words long, sketch array<long>, {', '.join(f'{w} long' for w in PARITY)}")
 
 
-def node_words(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(u, words) of the nodes in pairs: the word hashes of their texts, 32 bits each, on end."""
-    some = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
+def node_words(some: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(u, words) of the nodes in some (u): the word hashes of their texts, 32 bits each, on end."""
     ends = materialise(nodes.select("u", "key", "least").join(some, "u").select("u", F.col("key").alias("k"), "least", F.xxhash64("key").alias("hash")), "ends")
     near = rows.where(may_hold(ends, "hash")(F.xxhash64("key")))
     texts = near.join(ends, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("least"))).select("u", "text")
@@ -238,7 +240,15 @@ def node_words(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame
 
 def verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs (a, b) whose alignment makes them similar."""
-    words = node_words(pairs, nodes, rows)
+    some = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
+    words = node_words(some, nodes, rows)
+    links = aligned(pairs, words, similarity)
+    drop(words)
+    return links
+
+
+def aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """verify with the words (u, words) of all nodes in pairs."""
     both = pairs.join(words.select(F.col("u").alias("a"), F.col("words").alias("words_a")), "a").join(words.select(F.col("u").alias("b"), F.col("words").alias("words_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +257,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: floa
             got = [similar(of(x), of(y), similarity) for x, y in zip(part.column("words_a"), part.column("words_b"), strict=True)]
             yield part.select(["a", "b"]).filter(pa.array(got, pa.bool_()))
 
-    links = materialise(both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long"), "links")
-    drop(words)
-    return links
+    return materialise(both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long"), "links")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -268,27 +276,87 @@ def classes_of(members: DataFrame, nodes: DataFrame, rows: DataFrame, similarity
     side = lambda s: F.struct("n_words_" + s, *[f"{w}_{s}" for w in PARITY]).cast("struct<n_words:long," + ",".join(f"{w}:long" for w in PARITY) + ">").alias(s * 2)
     tried = materialise(sides.select("a", "b", side("a"), side("b")).where(may_be_similar("aa", "bb", similarity)).select("a", "b"), "tried")
     labels = components(verify(tried, nodes, rows, similarity))
-    left = members
-    for turn, heads in enumerate(HEADS, 1):
-        placed = left.select("bucket", "u").join(labels, "u", "left").withColumn("root", F.coalesce("root", "u"))
-        apart = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("u").alias("centre"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
-        before, left = left, materialise(placed.join(apart.select("bucket", "n", "centre"), "bucket"), "apart")
-        drop(before)
-        full = left.join(known, "u")
-        head = full
-        if heads is not None:
-            chosen = F.col("u") == F.col("centre") if not heads else F.pmod(F.xxhash64("u", "bucket", F.lit(turn)), F.col("n")) < heads
-            head = full.where((F.col("n") <= (PAIRED_OUTRIGHT if heads else SMALL)) | chosen)
-        met = full.alias("x").join(head.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & may_be_similar("x", "y", similarity))
-        pairs = met.select(F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if not pairs.isEmpty():
-            tried = tried.unionByName(pairs)
-            labels = merged(labels, verify(pairs, nodes, rows, similarity))
+    left = apart(members, labels)
+    drop(members)
+    pairs = materialise(bucket_pairs(left, known, (F.col("n") <= SMALL) | (F.col("u") == F.col("centre")), similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+    tried = tried.unionByName(pairs)
+    labels = merged(labels, verify(pairs, nodes, rows, similarity))
+    still = apart(left, labels)
     drop(left)
+    if not still.isEmpty():
+        words = node_words(still.select("u").distinct(), nodes, rows)
+        small = bucket_pairs(still.where(F.col("n") <= PAIRED_OUTRIGHT), known, F.lit(True), similarity)
+        large = rare_pairs(still.where(F.col("n") > PAIRED_OUTRIGHT), words, known, similarity)
+        rest = materialise(small.unionByName(large).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+        labels = merged(labels, aligned(rest, words, similarity))
+        drop(words)
+    drop(still)
     return labels
 
 
+def bucket_pairs(members: DataFrame, known: DataFrame, head: Column, similarity: float) -> DataFrame:
+    """(a, b): the pairs of members of one bucket and of different roots, one of them a head, that may be similar."""
+    full = members.join(known, "u")
+    met = full.alias("x").join(full.where(head).alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & may_be_similar("x", "y", similarity))
+    return met.select(F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b")).distinct()
+
+
+def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, u, root, n, centre): members of those buckets that labels don't connect."""
+    placed = members.select("bucket", "u").join(labels, "u", "left").withColumn("root", F.coalesce("root", "u"))
+    split = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("u").alias("centre"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    return materialise(placed.join(split.select("bucket", "n", "centre"), "bucket"), "apart")
+
+
+def word_table(words: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """(u, root, n_words, token, first): the words of each node of members, each labelled with its occurrence.
+
+    Similar nodes have all but (1 - similarity) * n words in common, n the longer one's, so they share one of the `first` rarest.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for u, root, text in zip(part.column("u"), part.column("root"), part.column("words"), strict=True):
+                own = np.sort(mix(np.frombuffer(text.as_buffer(), np.uint32).astype(np.uint64), 7))
+                new, at = np.append(True, own[1:] != own[:-1]), np.arange(len(own))
+                nth = at - np.maximum.accumulate(np.where(new, at, 0))
+                tokens, n = mix(own + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 8), len(own)
+                first = n - max(1, math.ceil(n * similarity - 1e-6)) + 1
+                same = [pa.array(np.full(n, x, np.int64)) for x in (u.as_py(), root.as_py(), n)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(tokens.view(np.int64)), pa.array(np.full(n, first, np.int64))], ["u", "root", "n_words", "token", "first"])
+
+    return words.join(members.select("u", "root").distinct(), "u").select("u", "root", "words").mapInArrow(run, "u long, root long, n_words long, token long, first long")
+
+
+def rare_pairs(members: DataFrame, words: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs that share one of members' buckets, have different roots and may be similar.
+
+    Nothing is paired by buckets.  All words are put in one order, rare ones first, and only nodes meet that share one of their
+    first few, as similar ones do: members of a bucket for one passage don't, unless it is most of their texts.  Words meet by
+    roots first, so that a large class isn't paired with itself.
+    """
+    of = members.groupBy("u").agg(F.collect_set("bucket").alias("own"))
+    tokens = materialise(word_table(words, members, similarity), "tokens")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    order = F.row_number().over(Window.partitionBy("u").orderBy("n", "token"))
+    ranked = tokens.join(counts, "token").withColumn("at", order).where("at <= first AND least != most")
+    prefix = materialise(ranked.join(known.drop("n_words"), "u").select("token", "root", "u", "n_words", (F.col("n_words") - F.col("at") + 1).alias("rest"), *PARITY), "prefix")
+    drop(tokens)
+    lone = [F.first(c).alias(c) for c in PARITY]
+    roots = prefix.groupBy("token", "root").agg(F.count("*").alias("size"), F.min("n_words").alias("shortest"), F.max("n_words").alias("n_words"), F.max("rest").alias("rest"), *lone)
+    longest = similarity * F.greatest("x.shortest", "y.shortest") - 1e-6
+    able = (F.col("x.n_words") >= longest) & (F.col("y.n_words") >= longest) & (F.least("x.rest", "y.rest") >= longest)
+    single = (F.col("x.size") > 1) | (F.col("y.size") > 1) | may_be_similar("x", "y", similarity)
+    sides = roots.alias("x").join(roots.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & able & single)
+    sides = sides.select("x.token", F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b"))
+    side = lambda s: prefix.select("token", F.col("root").alias("root_" + s), F.col("u").alias(s), F.col("n_words").alias("n_" + s), F.col("rest").alias("rest_" + s))
+    within = F.least("n_a", "n_b", "rest_a", "rest_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
+    right = side("b").withColumnRenamed("token", "token_b").withColumnRenamed("root_b", "of_b")
+    both = sides.join(side("a"), ["token", "root_a"]).join(right, (F.col("token") == F.col("token_b")) & (F.col("root_b") == F.col("of_b")) & within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    info = known.join(of, "u")
+    met = both.join(info.alias("x"), F.col("a") == F.col("x.u")).join(info.alias("y"), (F.col("b") == F.col("y.u")) & may_be_similar("x", "y", similarity) & F.arrays_overlap("x.own", "y.own"))
+    return met.select("a", "b")
+
+
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels after more links: only the roots that these connect are worked on."""
     ends = links.join(labels.select(F.col("u").alias("a"), F.col("root").alias("root_a")), "a", "left").join(labels.select(F.col("u").alias("b"), F.col("root").alias("root_b")), "b", "left")

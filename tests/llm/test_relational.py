@@ -221,3 +221,21 @@ def test_recall_by_edits():
             rows = near_dedup.order_min_hash(np.concatenate([a, b]), np.array([0, 300, 600]))
             met += bool((rows[0] == rows[1]).any())
         assert met / 60 >= least - 0.05, share
+
+
+def test_members_of_one_passage_are_not_paired(spark, monkeypatch):
+    """Texts that are alike in one long passage share buckets; only those alike in the rest as well are compared, and none is lost."""
+    compared, write = [], near_dedup.materialise
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        compared.extend([out.count()] if out.columns == ["a", "b"] and name != "links" and name != "edges" else [])
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", counted)
+    passage = [f"common{i}" for i in range(500)]
+    texts = [" ".join([*passage, *[f"own{n}x{i}" for i in range(200)]]) for n in range(90)]
+    texts.append(texts[50].replace("own50x7 ", "other ").replace("own50x90 ", "another "))
+    rows = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {n: n if n < 90 else 50 for n in range(91)}
+    assert sum(compared) < 1500, compared
