@@ -129,3 +129,12 @@ def test_ranges_move_before_they_are_sorted(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     made = plan[: plan.index("Generate")]
     assert "Exchange hashpartitioning" in made[made.rindex("Aggregate") :]
+
+
+def test_fill_blanks_deals_lines_before_it_groups_them(spark, sf_dir):
+    """Nearly every line is a group of its own: no task groups what it has read, and more tasks than usual share the groups."""
+    from exalake.plans.queries import QUERIES
+
+    plan = QUERIES["grade_fill_blanks"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert plan.count("RepartitionByExpression [l_orderkey") == 3 and plan.count(f", {tasks}\n") == 3
