@@ -5,15 +5,19 @@ similarity reaches the threshold then share one of their first few tokens (the p
 by length, by position and by a parity bitmap (each bit that differs is a token that differs), then verified on the whole
 sets.  A line goes if a line before it, by document id and place, is similar to it.
 
-Lines of one token set are one row from the start, numbered in the order of the lines.  Lines that share a token which
-stands in few prefixes meet there.  A token of many prefixes would pair them all: there each line first meets the earliest
-line of the token and of the token and its length.  Those still without a match are looked up by two tokens, the frequent
-one and a later one of the prefix (one longer for this), which similar lines share as well: no pairs are made, only whether
-there is a line before that passes the filters, and then, on the whole sets, whether one of those is similar.
+Lines of one token set are one row from the start, numbered in the order of the lines.  Each first meets the earliest line
+that has two of its three rarest tokens, which settles most members of a cluster.  All lines are then dealt to groups by a
+token of the prefix and the size class of the shorter line of a pair.  No pairs are made: a line of a group is kept or not by
+whether there is a line before that passes the filters, and then, on the whole sets, whether one of those is similar.  A group
+of many lines is dealt once more by a later token of the prefix (one longer for this), which similar lines share as well.
+Tokens take turns, so that a part of the prefixes is on disk at a time.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +30,14 @@ LEAST_CHARS = 1
 #: Places of the rarity table, whatever the size of the corpus.  A place counts all its tokens together, so a token can pass
 #: for more frequent than it is, never for rarer.  They order tokens only: what is found does not depend on them.
 RARITY_PLACES = 1 << 17
-#: A token of at least so many prefixes is frequent; lines of others all meet at once.
+#: A group of at least so many lines is dealt once more by a second token; lines of others all meet at once.
 MANY_PREFIXES = 1024
+#: Turns that the tokens take.
+TURNS = 2
+#: Sets of fewer tokens are similar to equal sets only, which are one row.
+LEAST_TOKENS = -(-NUMERATOR // (DENOMINATOR - NUMERATOR))
+#: From this size class on (sets of 2 ** class tokens at least) parity has two words.
+WIDE_CLASS = 6
 _HASH_BITS = 56
 
 
@@ -78,13 +88,15 @@ def _class(n: Column) -> Column:
 
 
 def line_sets(every: DataFrame, rare: Column) -> DataFrame:
-    """token_sets as id, h, no, s1 and s2 (the digest of the set), n (tokens), prefix (the first tokens and one more), bits and bits2 (parity of hashed tokens)."""
+    """token_sets as id, h, no, s1 and s2 (the digest of the set), n (tokens), prefix (the first tokens and one more), bits (parity of hashed tokens) and bits2 (that of half of them, for large sets)."""
     low = F.lit((1 << _HASH_BITS) - 1).cast("long")
     ranked = F.sort_array(F.transform("keys", lambda k: F.shiftleft(F.coalesce(F.get(rare, _place(k)).cast("long"), F.lit(0).cast("long")), _HASH_BITS).bitwiseOR(k.bitwiseAND(low))))
     none = F.lit(0).cast("long")
-    half = lambda mine: F.aggregate("keys", none, lambda acc, k: F.when(mine(k), acc.bitwiseXOR(one_bit(F.shiftrightunsigned(k, 57)))).otherwise(acc))
+    spot = lambda k: one_bit(F.shiftrightunsigned(k, 57))
+    bits = F.aggregate("keys", none, lambda acc, k: acc.bitwiseXOR(spot(k)))
+    half = F.aggregate("keys", none, lambda acc, k: acc.bitwiseXOR(spot(k).bitwiseAND(F.shiftright(k, 63))))  # of negative keys
     n = F.size("keys")
-    return every.select("id", "h", "no", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), n.alias("n"), F.slice(ranked, F.lit(1), _first(n) + 1).alias("prefix"), half(lambda k: k >= none).alias("bits"), half(lambda k: k < none).alias("bits2"))
+    return every.withColumn("ranked", ranked).select("id", "h", "no", F.xxhash64("ranked").alias("s1"), F.xxhash64(F.lit(1), "ranked").alias("s2"), n.alias("n"), F.slice("ranked", F.lit(1), _first(n) + 1).alias("prefix"), bits.alias("bits"), F.when(n >= 1 << WIDE_CLASS, half).otherwise(none).alias("bits2"))
 
 
 def _first(n: Column) -> Column:
@@ -107,16 +119,36 @@ def grown(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
-def meet(later: DataFrame, earlier: DataFrame, *keys: str) -> DataFrame:
-    """(a, b): pairs of a line and one before it that agree in keys and pass the filters."""
-    both = grown(later).alias("x").join(earlier.alias("y"), [*[F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys], F.col("y.u") < F.col("x.u"), may_match("x", "y")])
-    return both.select(F.col("x.u").alias("a"), F.col("y.u").alias("b"))
+def leaders(sets: DataFrame) -> DataFrame:
+    """(a, b): lines and the earliest one that has two of their three rarest tokens."""
+    rare = [F.get("prefix", F.lit(i)) for i in range(3)]
+    two = F.array_compact(F.array(*[F.when(y.isNotNull(), F.xxhash64(x, y)) for x, y in combinations(rare, 2)]))
+    keyed = sets.where(F.col("n") >= LEAST_TOKENS).select("u", F.explode(two).alias("k"))
+    first = materialise(keyed.groupBy("k").agg(F.min("u").alias("b"), F.count("*").alias("c")).where("c > 1").select("k", "b"), "leaders")
+    met = keyed.where(may_hold(first, "k")(F.col("k"))).join(grown(first), "k").where("b < u").select(F.col("u").alias("a"), "b")
+    met = materialise(met.distinct(), "led")
+    drop(first)
+    return met
+
 
+def groups(sets: DataFrame) -> DataFrame:
+    """(key, u, n, bits, bits2, pos, token, later): the groups of each line; later, the tokens of the prefix behind.
 
-def earliest(rows: DataFrame, *keys: str) -> DataFrame:
-    """The first line of each group of keys, a row a group; the rows of a group are combined where they are."""
-    rest = [c for c in ("u", "n", "pos", "bits", "bits2") if c not in keys]
-    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("e")).select(*keys, *[F.col(f"e.{c}").alias(c) for c in rest])
+    A pair meets in the size class of its shorter line; a longer line is in that class as well if its own is the next.
+    """
+    n, log = F.col("n"), lambda x: F.length(F.bin(x)) - 1
+    least = F.ceil(n * NUMERATOR / DENOMINATOR).cast("int")
+    # tokens that a set of n has in common with a similar one of m at least
+    common = lambda m: F.ceil((n + m) * NUMERATOR / (NUMERATOR + DENOMINATOR)).cast("int")
+    own = F.struct(log(n).alias("class"), (n - common(F.greatest(least, F.call_function("shiftleft", F.lit(1), log(n)))) + 1).alias("first"))
+    below = F.struct(log(least).alias("class"), (n - common(least) + 1).alias("first"))
+    both = F.when(log(n) == log(least), F.array(own)).otherwise(F.array(own, below))
+    classed = sets.where(n >= LEAST_TOKENS).select("u", "n", "bits", "bits2", "prefix", F.inline(both))
+    wide = F.col("class") >= WIDE_CLASS
+    words = [F.when(wide, F.col("bits").bitwiseXOR(F.col("bits2"))).otherwise(F.col("bits")).alias("bits"), F.when(wide, F.col("bits2")).otherwise(F.lit(0).cast("long")).alias("bits2")]
+    rows = classed.select("u", "n", *words, "class", "first", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("first"))).alias("pos", "token"))
+    later = F.slice("prefix", F.col("pos") + 2, F.col("first") - F.col("pos"))
+    return rows.select(F.xxhash64("token", "class").alias("key"), "u", "n", "bits", "bits2", "pos", "token", later.alias("later"))
 
 
 def sets_of(some: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
@@ -150,29 +182,62 @@ def verified(pairs: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
     return found
 
 
-def followers(later: DataFrame, earlier: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
-    """(u) of the later lines that agree with a similar line before them in both tokens.
+ROW = ["key", "u", "n", "bits", "bits2", "pos"]
+
 
-    Rows are kept or not, never paired: however many lines have the same two tokens, no step has more rows than it reads.
+def before() -> list[Column]:
+    """y is a line of x's group that stands before x and passes the filters."""
+    return [F.col("x.key") == F.col("y.key"), F.col("y.u") < F.col("x.u"), may_match("x", "y")]
+
+
+def asking_lines(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of lines not found that have such a line before them.
+
+    Rows are kept or not, never paired: however many lines a group has, no step has more rows than it reads.
     """
-    keys = ["token", "token2"]
-    sides = lambda x, y: [*[F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys], F.col("y.u") < F.col("x.u"), may_match("x", "y")]
-    asking = materialise(grown(later).alias("x").join(grown(earlier).alias("y"), sides("x", "y"), "left_semi"), "asking")
-    asked = materialise(grown(earlier).alias("y").join(grown(asking).alias("x"), sides("x", "y"), "left_semi"), "asked")
+    asking = rows.alias("x").join(grown(rows).alias("y"), before(), "left_semi")
+    return materialise(asking.join(grown(found), "u", "left_anti").select(*ROW), "asking")
+
+
+def candidates(sets: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asking_lines of all groups, and the lines before them that they ask for."""
+    rows = groups(sets)
+    # only a token that occurs so often can have so many prefixes
+    often = F.shiftright("token", _HASH_BITS) >= _class(F.lit(MANY_PREFIXES))
+    frequent = materialise(rows.where(often).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= MANY_PREFIXES).select("key"), "frequent")
+    some, parts = not frequent.isEmpty(), []
+    in_many = may_hold(frequent, "key") if some else None
+
+    def two(rows: DataFrame) -> DataFrame:
+        many = rows.where(in_many(F.col("key"))).join(grown(frequent), "key", "left_semi")
+        return many.select(*ROW, F.explode("later").alias("token2")).withColumn("key", F.xxhash64("key", "token2")).select(*ROW)
+
+    for turn in range(TURNS):
+        mine = rows.where(F.pmod("token", F.lit(TURNS)) == turn)
+        few = mine.select(*ROW)
+        parts.append(asking_lines(few.join(grown(frequent), "key", "left_anti") if some else few, found))
+        if some:
+            parts.append(asking_lines(two(mine), found))
+    asking = reduce(DataFrame.unionByName, parts)
+    every = rows.select(*ROW).unionByName(two(rows)) if some else rows.select(*ROW)
+    near = every.where(may_hold(asking, "key")(F.col("key")))
+    asked = materialise(near.alias("y").join(grown(asking).alias("x"), before(), "left_semi").select(*ROW), "asked")
+    drop(frequent)
+    return asking, asked
+
+
+def followers(asking: DataFrame, asked: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
+    """(u) of the asking lines whose token set is similar to that of an asked one of their group before them."""
     sets = sets_of(asking.select("u").unionByName(asked.select("u")).distinct(), places, rows)
     whole = lambda side: side.join(grown(sets), "u")
-    met = grown(whole(asking)).alias("x").join(grown(whole(asked)).alias("y"), [*sides("x", "y"), alike("x.keys", "y.keys")], "left_semi")
+    met = grown(whole(asking)).alias("x").join(grown(whole(asked)).alias("y"), [*before(), alike("x.keys", "y.keys")], "left_semi")
     found = materialise(met.select("u").distinct(), "followers")
-    for table in (asking, asked, sets):
-        drop(table)
+    drop(sets)
     return found
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d_id, d_h, kept): for each document with any, the places of lines that no earlier line is similar to.
-
-    Of each line's partners the one that shares most of its prefix is verified first, the others only where that one fails.
-    """
+    """(d_id, d_h, kept): for each document with any, the places of lines that no earlier line is similar to."""
     rows = numbered(docs, id_col, text_col)
     ranked = line_sets(token_sets(rows), rarity(rows))
     own = F.struct(F.col("id").isNull().alias("nul"), "id", "h", "no").alias("own")
@@ -180,32 +245,16 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = materialise(firsts.repartitionByRange("own").sortWithinPartitions("own").select(F.monotonically_increasing_id().alias("u"), "own", "n", "prefix", "bits", "bits2"), "firsts")
     places = sets.select("u", "own")
 
-    prefixes = sets.select("u", "n", "bits", "bits2", "prefix", F.posexplode(F.slice("prefix", F.lit(1), _first(F.col("n")))).alias("pos", "token"))
-    starts = prefixes.select("u", "n", "bits", "bits2", "pos", "token")
-    # only a token that occurs so often can have so many prefixes
-    often = F.shiftright("token", _HASH_BITS) >= _class(F.lit(MANY_PREFIXES))
-    frequent = materialise(starts.where(often).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= MANY_PREFIXES).select("token"), "frequent")
-    few = starts.where(~often).unionByName(starts.where(often).join(grown(frequent), "token", "left_anti"))
-    met = meet(few, few, "token")
-    some = not frequent.isEmpty()
-    if some:
-        many = materialise(prefixes.where(often).select("u", "n", "bits", "bits2", "pos", "token", F.slice("prefix", F.col("pos") + 2, F.size("prefix")).alias("later")).join(grown(frequent), "token", "left_semi"), "many")
-        met = met.unionByName(meet(many, earliest(many, "token"), "token")).unionByName(meet(many, earliest(many, "token", "n"), "token", "n"))
-    met = materialise(met.groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
-    best = materialise(met.groupBy("a").agg(F.max_by("b", "shared").alias("b")), "best")
-    found = verified(best, places, rows)
-    rest = materialise(met.select("a", "b").join(grown(found.withColumnRenamed("u", "a")), "a", "left_anti").join(best, ["a", "b"], "left_anti"), "rest")
-    drop(met), drop(best)
-    found = found.unionByName(verified(rest, places, rows))
-    drop(rest)
-    if some:
-        open_ = materialise(many.join(grown(found), "u", "left_anti"), "open")
-        two = lambda side: side.select("u", "n", "bits", "bits2", "pos", "token", F.explode("later").alias("token2"))
-        found = found.unionByName(followers(two(open_), two(many.join(grown(open_.select("token").distinct()), "token", "left_semi")), places, rows))
-        drop(open_), drop(many)
+    led = leaders(sets)
+    found = verified(led, places, rows)
+    drop(led)
+    asking, asked = candidates(sets, found)
+    more = followers(asking, asked, places, rows)
+    drop(asking), drop(asked)
+    found = found.unionByName(more)
     kept = places.join(grown(found), "u", "left_anti")
     out = materialise(kept.groupBy(F.col("own.id").alias("d_id"), F.col("own.h").alias("d_h")).agg(F.collect_set("own.no").alias("kept")), "kept")
-    drop(frequent), drop(sets)
+    drop(found), drop(sets)
     return out
 
 

@@ -85,6 +85,23 @@ def test_lines_of_a_frequent_token_are_not_paired(spark, monkeypatch):
     assert max(sizes.values()) < 60 * n, sizes  # paired: 543,162
 
 
+def test_similar_lines_of_rare_tokens_are_not_paired(spark, monkeypatch):
+    """A cluster of 400 similar lines, below MANY_PREFIXES; a set of two tokens in two orders."""
+    words, n, sizes = [f"word{i}" for i in range(40)], 400, {}
+    cluster = [" ".join({(i * 7 + 13 * j) % 40: f"x{i}y{j}" for j in range(2)}.get(k, w) for k, w in enumerate(words)) for i in range(n)]
+
+    def counted(df, name, **options):
+        out = materialise(df, name, **options)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    materialise = line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    got = line_dedup.line_report(spark.createDataFrame(list(enumerate([*cluster, "a b", "B  a"])), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if not r.n_removed} == {0, n}
+    assert max(sizes.values()) < 60 * n, sizes  # paired: 79,800
+
+
 def test_short_lines_take_part(spark):
     docs = [(1, "Les.\n\nAll rights reserved.\na b c d"), (2, "Les.\n\nall  rights reserved.\n "), (3, "a b c d e\nles.\nx\na b c"), (4, "x\n\t\n\t")]
     got = {r.doc_id: r.removed for r in line_dedup.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
